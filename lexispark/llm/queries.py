@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cooccur, topn
+from lexispark.llm import cooccur, lookalike, sentences, topn
 from lexispark.sources.tables import latest_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,50 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query(_P3_SQL + "SELECT w1, w2, w3, p AS p_cond FROM r WHERE k <= 3")
 def p3_followers(spark: SparkSession, d: str) -> DataFrame:
     return _followers(spark, d)
+
+
+# -- problem 1 -------------------------------------------------------------------------------------
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "application"), "sent_id", "sentence", "ingested_at")
+
+
+@query()
+def p1_sentence_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, and their mean and greatest length, per language."""
+    rows = latest_once(table(spark, d, "application").select("sent_id", "lang", "ingested_at"), ["sent_id"], ["ingested_at"])
+    length = F.col("end_char") - F.col("start_char")
+    return (
+        p1_found(spark, d)
+        .join(rows.select("sent_id", "lang"), "sent_id")
+        .groupBy("lang")
+        .agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg(length), 6).alias("mean_chars"), F.max(length).alias("max_chars"))
+    )
+
+
+# -- problem 7 -------------------------------------------------------------------------------------
+_P7_FIELDS = {"hindi_unigrams": "token", "marathi_trigrams": "w1"}
+
+
+def _forms(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return lookalike.canonical_forms(table(spark, d, name), _P7_FIELDS[name])
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        lookalike.same_print_pairs(_forms(spark, d, name), column).select(F.lit(f"{name}.{column}").alias("field_name"), "form_lo", "form_hi")
+        for name, column in _P7_FIELDS.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def p7_canonical_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts brought to one form: spellings and summed counts per canonical form."""
+    rows = latest_once(table(spark, d, "hindi_unigrams"), ["uni_id"], ["cnt"])
+    return (
+        rows.join(_forms(spark, d, "hindi_unigrams"), "token")
+        .groupBy("canonical")
+        .agg(F.countDistinct("token").alias("spellings"), F.sum("cnt").alias("cnt"))
+    )
