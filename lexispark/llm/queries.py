@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cooccur, lookalike, sentences, topn
+from lexispark.llm import cooccur, leakage, lookalike, repetition, sentences, topn
 from lexispark.sources.tables import latest_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,35 @@ def p7_canonical_counts(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("canonical")
         .agg(F.countDistinct("token").alias("spellings"), F.sum("cnt").alias("cnt"))
     )
+
+
+# -- problem 9 -------------------------------------------------------------------------------------
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.contained_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "text")
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query()
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item: the documents that hold a passage of it, and the greatest share of its windows in one."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max(F.col("windows_found") / F.col("item_windows")), 6).alias("greatest_share"))
+
+
+# -- problem 10 ------------------------------------------------------------------------------------
+def _repetition(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repetition(spark, d).where("repeated_share >= 0.3").select("doc_id")
+
+
+@query()
+def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its share of repeated words and its probability of being repetitive."""
+    return _repetition(spark, d).select("doc_id", "n_words", "repeated_words", *(F.round(c, 6).alias(c) for c in ("repeated_share", "posterior")))
