@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cooccur, leakage, lookalike, repetition, sentences, topn
+from lexispark.llm import cooccur, leakage, lookalike, overlap, repetition, sentences, topn
 from lexispark.sources.tables import latest_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its share of repeated words and its probability of being repetitive."""
     return _repetition(spark, d).select("doc_id", "n_words", "repeated_words", *(F.round(c, 6).alias(c) for c in ("repeated_share", "posterior")))
+
+
+# -- problem 6 -------------------------------------------------------------------------------------
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.split_overlaps(overlap.table_records(table(spark, d, "application"), table(spark, d, "bonus")))
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.record_pairs(*_overlaps(spark, d)).drop("similarity")
+
+
+@query()
+def p6_overlap_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(*_overlaps(spark, d))

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lexispark.sources.tables import latest_once
 
 SCHEMA = "vec long, split_name string, source string, loaded_at timestamp, cols array<int>, vals array<double>"
 
@@ -75,10 +76,6 @@ def vectors(blocks: DataFrame) -> DataFrame:
 
 
 def once(blocks: DataFrame) -> DataFrame:
-    """The blocks, each once: as loaded last. Only block numbers and load times are shuffled, not the arrays.
-
-    Equal deliveries at the same moment are told apart by a number within the partition of the scan.
-    """
-    newest = blocks.groupBy("block_id").agg(F.max("loaded_at").alias("__newest"))
-    kept = blocks.join(newest, "block_id").where(F.col("loaded_at").eqNullSafe(F.col("__newest"))).drop("__newest")
-    return kept
+    """The blocks, each once: as loaded last."""
+    needed = ["block_id", "split_name", "source", "first_vec", "n_rows", "data", "indices", "indptr", "loaded_at"]
+    return latest_once(blocks.select(*needed), ["block_id"], ["loaded_at"])
