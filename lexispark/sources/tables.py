@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,12 +18,14 @@ def latest_once(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> Da
     """One row per key: the one delivered last.
 
     Of rows with equal ``latest`` columns the one with the greatest remaining columns wins, so
-    the choice does not depend on partitioning. Rows with a null key are kept apart from
-    others but still collapse among themselves. Empty input gives empty output. The
+    the choice does not depend on partitioning. Rows with a null key can't be known as copies: they collapse
+    only if they are equal in every column. Empty input gives empty output. The
     rank filter is pushed below the shuffle (WindowGroupLimit), so copies collapse map-side.
     """
     name = "__rank_of_delivery"
     others = [c for c, kind in df.dtypes if c not in keys and c not in latest and not kind.startswith("map")]
     order = [F.col(c).desc_nulls_last() for c in [*latest, *others]]
-    window = Window.partitionBy(*keys).orderBy(*order)
+    unknown = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    own = F.when(unknown, F.xxhash64(*[F.col(c) for c in [*keys, *latest, *others]]))
+    window = Window.partitionBy(*keys, own).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) == 1).drop(name)
