@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import vectors, wordkernel
+from lexispark.llm.frequency import CELLS, cell_frequencies
 from lexispark.operators.skew import salted_join
 from lexispark.session import checkpointed
 from lexispark.sources.tables import latest_once
 
-#: Cells of the document-frequency table by which entries are ordered: its size doesn't grow with the data.
-CELLS = 1 << 18
 TERMS = "kind string, id long, split_name string, source string, at timestamp, set_id binary, terms array<long>"
 
 
@@ -67,16 +66,6 @@ def vector_terms(df: DataFrame) -> DataFrame:
     return df.select("vec", "split_name", "source", "loaded_at", "cols").mapInArrow(step, TERMS)
 
 
-def _frequency(classes: DataFrame) -> np.ndarray:
-    """Document frequencies in CELLS hashed cells, over all records: a table of fixed size."""
-    cell = F.pmod(F.col("term"), F.lit(CELLS)).cast("int")
-    counted = classes.select(F.explode("terms").alias("term")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    out = np.zeros(CELLS, dtype=np.int64)
-    pdf = counted.toPandas()
-    out[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
-    return out
-
-
 POSTING = "term long, set_id binary, train boolean, held boolean, size int, place int"
 
 
@@ -115,7 +104,7 @@ def class_pairs(classes: DataFrame, share: float) -> DataFrame:
     vectors of equal weights, so the cosine join finds every such pair; the exact product then decides.
     """
     cosine = 2 * share / (1 + share)
-    postings = _postings(classes, _frequency(classes), cosine)
+    postings = _postings(classes, cell_frequencies(classes.select(F.explode("terms").alias("term"))), cosine)
     side = lambda flag, s: postings.where(flag).select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "place")))
     weight = F.sqrt(F.col("size_t").cast("double") * F.col("size_e"))
     residual = F.sqrt((F.col("size_t") - F.col("place_t") - 1).cast("double") * (F.col("size_e") - F.col("place_e") - 1))

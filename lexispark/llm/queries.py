@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cooccur, leakage, lookalike, overlap, repetition, sentences, topn
+from lexispark.llm import cooccur, leakage, lookalike, neighbours, overlap, repetition, sentences, topn, vectors
 from lexispark.sources.tables import latest_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p6_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*_overlaps(spark, d))
+
+
+# -- problem 4 -------------------------------------------------------------------------------------
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_vectors(vectors.vectors(table(spark, d, "bonus")))
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(F.least("vec", "near").alias("vec_lo"), F.greatest("vec", "near").alias("vec_hi")).distinct()
+
+
+@query()
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d)
