@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cooccur, leakage, lookalike, neighbours, overlap, repetition, sentences, topn, vectors
+from lexispark.llm import cooccur, distinctive, leakage, lookalike, neighbours, overlap, packing, repetition, sentences, topn, vectors
 from lexispark.sources.tables import latest_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,77 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d)
+
+
+# -- problem 8 -------------------------------------------------------------------------------------
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query()
+def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+# -- problem 5 -------------------------------------------------------------------------------------
+def _distinctive_words(spark: SparkSession, d: str, **how) -> DataFrame:
+    rows = latest_once(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at"), ["sent_id"], ["ingested_at"])
+    size = distinctive.collection_size(rows.select(F.size(distinctive.white_space_words("sentence")).alias("size")))
+    corpus = distinctive.corpus_terms(distinctive.word_entries(rows, "sent_id", "sentence"))
+    asked = distinctive.word_entries(rows.where("lang IN ('hi', 'mr') AND split_name IN ('val', 'test')"), "sent_id", "sentence")
+    return distinctive.distinctive_terms(asked, corpus, size, 3, **how)
+
+
+def _distinctive_columns(spark: SparkSession, d: str, **how) -> DataFrame:
+    rows = vectors.vectors(vectors.once(table(spark, d, "bonus")))
+    entries = rows.select(F.col("vec").alias("rec_id"), "split_name", F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("size"), F.explode(F.arrays_zip("cols", "vals")).alias("x"))
+    entries = entries.select("rec_id", "split_name", "size", F.col("x.cols").alias("term"), F.col("x.vals").alias("weight"))
+    size = distinctive.collection_size(rows.select(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("size")))
+    return distinctive.distinctive_terms(entries.where("split_name IN ('val', 'test')"), distinctive.corpus_terms(entries), size, 1, share_of_record=False, **how)
+
+
+def _both_kinds(spark: SparkSession, d: str, **how) -> DataFrame:
+    words, columns = _distinctive_words(spark, d, **how), _distinctive_columns(spark, d, **how)
+    return words.select(F.lit("sentence").alias("kind"), "rec_id", "term", "score", "place").unionByName(
+        columns.select(F.lit("vector").alias("kind"), "rec_id", F.col("term").cast("string").alias("term"), "score", "place")
+    )
+
+
+_P5_SQL = """
+WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY ingested_at DESC) AS k FROM application) WHERE k = 1),
+ w AS (SELECT sent_id, lang, split_name, list_filter(regexp_split_to_array(coalesce(sentence, ''),
+   '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '') AS ws FROM a),
+ t AS (SELECT sent_id, lang, split_name, len(ws) AS n, unnest(ws) AS term FROM w),
+ e AS (SELECT sent_id, lang, split_name, n, term, count(*) AS tf FROM t GROUP BY ALL),
+ c AS (SELECT term, count(*) AS df FROM e GROUP BY 1),
+ n AS (SELECT count(*) AS big FROM w WHERE len(ws) > 0),
+ s AS (SELECT sent_id, e.term, tf / n::DOUBLE * (ln((big + 1) / (df + 1)::DOUBLE) + 1) AS score FROM e JOIN c USING (term) CROSS JOIN n
+       WHERE lang IN ('hi', 'mr') AND split_name IN ('val', 'test')),
+ sr AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, term) AS place FROM s),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC) AS k FROM bonus) WHERE k = 1),
+ r AS (SELECT split_name, first_vec + i AS vec, list_slice(data, indptr[i + 1] - indptr[1] + 1, indptr[i + 2] - indptr[1]) AS vs,
+   list_slice(indices, indptr[i + 1] - indptr[1] + 1, indptr[i + 2] - indptr[1]) AS cs FROM b, unnest(range(n_rows)) AS u(i)),
+ x AS (SELECT split_name, vec, unnest(vs)::DOUBLE AS v, unnest(cs) AS col FROM r),
+ y AS (SELECT split_name, vec, col, sum(v) AS v FROM x WHERE NOT isnan(v) AND v <> 0 GROUP BY ALL),
+ yc AS (SELECT col, count(*) AS df FROM y GROUP BY 1), yn AS (SELECT count(DISTINCT vec) AS big FROM y),
+ vr AS (SELECT vec, col, v * (ln((big + 1) / (df + 1)::DOUBLE) + 1) AS score, row_number() OVER (PARTITION BY vec ORDER BY v * (ln((big + 1) / (df + 1)::DOUBLE) + 1) DESC, col) AS place
+       FROM y JOIN yc USING (col) CROSS JOIN yn WHERE split_name IN ('val', 'test'))
+SELECT 'sentence' AS kind, sent_id AS rec_id, term FROM sr WHERE place <= 3
+UNION ALL SELECT 'vector', vec, col::VARCHAR FROM vr WHERE place = 1
+"""
+
+
+@query(_P5_SQL)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _both_kinds(spark, d, scoring="idf").select("kind", "rec_id", "term")
+
+
+@query()
+def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """The same records scored by smoothed language-model divergence, terms of two records and more."""
+    return _both_kinds(spark, d, scoring="divergence", min_df=2).withColumn("score", F.round("score", 6))
