@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import vectors, wordkernel
-from lexispark.llm.frequency import CELLS, cell_frequencies
+from lexispark.llm.frequency import CELLS, cell_frequencies, touched
 from lexispark.operators.skew import salted_join
 from lexispark.session import checkpointed
 from lexispark.sources.tables import latest_once
@@ -66,22 +66,42 @@ def vector_terms(df: DataFrame) -> DataFrame:
     return df.select("vec", "split_name", "source", "loaded_at", "cols").mapInArrow(step, TERMS)
 
 
-POSTING = "term long, set_id binary, train boolean, held boolean, size int, place int"
+POSTING = "term long, cid long, held boolean, size int, place int, bits_a long, bits_b long"
+#: Sets whose postings a task remembers having sent, so that copies are sent once per task.
+REMEMBERED = 500_000
 
 
-def _postings(classes: DataFrame, frequency: np.ndarray, cosine: float) -> DataFrame:
+def _bits(term: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit picture of every set: the pictures of two sets differ in at most as many bits as the sets in entries."""
+    place = (wordkernel.mix(term.view(np.uint64)) >> np.uint64(57)).astype(np.uint64)
+    one = np.left_shift(np.uint64(1), place & np.uint64(63))
+    high = place >= 64
+    zero = np.uint64(0)
+    return tuple(np.bitwise_or.reduceat(np.where(m, one, zero), bounds[:-1]).view(np.int64) for m in (~high, high))
+
+
+def _postings(records: DataFrame, frequency: np.ndarray, cosine: float) -> DataFrame:
     """The indexed entries of every set: rarest first, until the norm of what is left falls below the threshold."""
-    shared = classes.sparkSession.sparkContext.broadcast(frequency)
+    shared = records.sparkSession.sparkContext.broadcast(frequency)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        cells, sent = shared.value, set()
         for batch in batches:
-            if not batch.num_rows:
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            fresh = []
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k not in sent:
+                    sent.add(k)
+                    fresh.append(i)
+            if not fresh:
                 continue
-            lists = batch.column(3)
+            batch = batch.take(pa.array(fresh))
+            lists = batch.column(2)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            term = lists.flatten().to_numpy(zero_copy_only=False)
+            term = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False))
             size = np.diff(bounds)
+            low, high = _bits(term, bounds)
             row = np.repeat(np.arange(batch.num_rows), size)
             order = np.lexsort((term, cells[term & (CELLS - 1)], row))
             place = np.arange(len(term)) - np.repeat(bounds[:-1], size)
@@ -90,36 +110,44 @@ def _postings(classes: DataFrame, frequency: np.ndarray, cosine: float) -> DataF
             at = row[keep]
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(term[order][keep]), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(size[at].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
-                names=["term", "set_id", "train", "held", "size", "place"],
+                [pa.array(term[order][keep]), batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (size[at].astype(np.int32), place[keep].astype(np.int32), low[at], high[at]))],
+                names=["term", "cid", "held", "size", "place", "bits_a", "bits_b"],
             )
 
-    return classes.select("set_id", "train", "held", "terms").mapInArrow(step, POSTING)
+    return records.select("cid", "held", "terms").mapInArrow(step, POSTING)
 
 
-def class_pairs(classes: DataFrame, share: float) -> DataFrame:
-    """Pairs (set_t of train, set_e held out) of classes whose distinct entries are shared to at least ``share``.
+def set_pairs(records: DataFrame, share: float) -> DataFrame:
+    """Pairs (set_id_t of train, set_id_e held out) of sets that share at least ``share`` of the entries either has.
 
     shared / all >= share implies a cosine of at least 2·share/(1+share) between the two sets seen as unit
-    vectors of equal weights, so the cosine join finds every such pair; the exact product then decides.
+    vectors of equal weights, so the cosine join finds every such pair. Its inverted lists are pruned by
+    the greatest product the matched entry and the norms of both rests still allow, by size, and by
+    pictures of 128 bits that bound the number of entries not shared; the exact product decides.
     """
     cosine = 2 * share / (1 + share)
-    postings = _postings(classes, cell_frequencies(classes.select(F.explode("terms").alias("term"))), cosine)
-    side = lambda flag, s: postings.where(flag).select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "place")))
+    postings = _postings(records, cell_frequencies(records.select(F.explode("terms").alias("term"))), cosine)
+    fields = ("cid", "size", "place", "bits_a", "bits_b")
+    side = lambda flag, s: postings.where(flag).select("term", *(F.col(c).alias(f"{c}_{s}") for c in fields))
     weight = F.sqrt(F.col("size_t").cast("double") * F.col("size_e"))
     residual = F.sqrt((F.col("size_t") - F.col("place_t") - 1).cast("double") * (F.col("size_e") - F.col("place_e") - 1))
+    entries = F.col("size_t") + F.col("size_e")
+    apart = F.bit_count(F.col("bits_a_t").bitwiseXOR(F.col("bits_a_e"))) + F.bit_count(F.col("bits_b_t").bitwiseXOR(F.col("bits_b_e")))
     near = (
         (F.col("size_t") >= F.ceil(F.col("size_e") * F.lit(share) - F.lit(1e-9)))
         & (F.col("size_e") >= F.ceil(F.col("size_t") * F.lit(share) - F.lit(1e-9)))
         & ((F.lit(1.0) + residual) >= weight * F.lit(cosine - 1e-9))
+        & (apart <= entries - 2 * F.ceil(entries * F.lit(share / (1 + share)) - F.lit(1e-9)))
     )
-    candidates = salted_join(side("held", "e"), side("train", "t"), ["term"], "set_id_t").where(near).select("set_id_t", "set_id_e").distinct()
-    terms = lambda s: classes.select(F.col("set_id").alias(f"set_id_{s}"), F.col("terms").alias(f"terms_{s}"))
-    product = F.size(F.array_intersect("terms_t", "terms_e"))
+    found = salted_join(side("held", "e"), side("NOT held", "t"), ["term"], "cid_t").where(near).select("cid_t", "cid_e").distinct()
+    candidates = checkpointed(found)
+    asked = candidates.select("cid_t").unionByName(candidates.select(F.col("cid_e").alias("cid_t")))
+    sets = touched(records.select("cid", "set_id", "terms"), "cid", asked).groupBy("cid", "set_id").agg(F.first("terms").alias("terms"))
+    named = lambda s: sets.select(F.col("cid").alias(f"cid_{s}"), F.col("set_id").alias(f"set_id_{s}"), F.col("terms").alias(f"terms_{s}"))
     return (
-        candidates.join(terms("e"), "set_id_e")
-        .join(terms("t"), "set_id_t")
-        .withColumn("shared", product)
+        candidates.join(named("e"), "cid_e")
+        .join(named("t"), "cid_t")
+        .withColumn("shared", F.size(F.array_intersect("terms_t", "terms_e")))
         .withColumn("similarity", F.col("shared") / (F.size("terms_t") + F.size("terms_e") - F.col("shared")))
         .where(F.col("similarity") >= F.lit(share - 1e-12))
         .select("set_id_t", "set_id_e", "similarity")
@@ -127,24 +155,20 @@ def class_pairs(classes: DataFrame, share: float) -> DataFrame:
 
 
 def split_overlaps(records: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(class pairs, membership) of records in TERMS form between split 'train' and all other splits.
+    """(set pairs, membership) of records in TERMS form between split 'train' and all other splits.
 
-    Class pairs: set_id_t, set_id_e, similarity. Membership: kind, id, split_name, source, set_id, one row per record,
-    as delivered last. Records with equal entries form one class and are compared once, so a group of
+    Set pairs: set_id_t, set_id_e, similarity. Membership: kind, id, split_name, source, set_id, one row per record,
+    as delivered last. Records with equal entries share one set, which is compared once, so a group of
     copies costs what one record costs. Records without entries or split match nothing.
     """
     filled = records.where((F.size("terms") > 0) & F.col("split_name").isNotNull())
-    members = latest_once(filled.select("kind", "id", "at", "split_name", "source", "set_id"), ["kind", "id"], ["at"]).drop("at")
-    classes = checkpointed(
-        filled.groupBy("set_id").agg(
-            F.max(F.col("split_name") == "train").alias("train"), F.max(F.col("split_name") != "train").alias("held"), F.first("terms").alias("terms")
-        )
-    )
-    return class_pairs(classes, share), members
+    kept = checkpointed(filled.withColumn("cid", F.xxhash64("set_id")).withColumn("held", F.col("split_name") != "train"))
+    members = latest_once(kept.select("kind", "id", "at", "split_name", "source", "set_id"), ["kind", "id"], ["at"]).drop("at")
+    return set_pairs(kept, share), members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Class pairs spelled out: kind, eval_split, source, id_lo, id_hi, similarity. The result is defined as these pairs."""
+    """Set pairs spelled out: kind, eval_split, source, id_lo, id_hi, similarity. The result is defined as these pairs."""
     held = members.where("split_name <> 'train'").select("kind", F.col("split_name").alias("eval_split"), "source", F.col("id").alias("id_e"), F.col("set_id").alias("set_id_e"))
     train = members.where("split_name = 'train'").select(F.col("id").alias("id_t"), F.col("set_id").alias("set_id_t"))
     return salted_join(salted_join(pairs, held, ["set_id_e"], "id_e"), train, ["set_id_t"], "id_t").select(
