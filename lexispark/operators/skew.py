@@ -35,19 +35,19 @@ def lookup_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how:
     return warm.join(F.broadcast(hot_values), key, "inner").unionByName(cold.join(values, key, how))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, rows_per_salt: int = 20_000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, rows_per_salt: int = 20_000, parts: int = HOT_PARTS) -> DataFrame:
     """Inner equi-join in which a hot key of the right side is split into salts.
 
-    The number of salts of a key is its right-side count / ``rows_per_salt``; the right row takes the
-    salt of its id, the left row is repeated once per salt. Keys below the threshold get
-    one salt, so nothing is repeated for them.
+    A key is hot when it holds more than ``rows_per_salt`` right rows and more than 1/``parts`` of all of them, so
+    there are at most ``parts`` hot keys and their table is broadcast; it has one salt per that many rows. The
+    right row takes the salt of its id, the left row is repeated once per salt; other keys have one salt. Each
+    side is shuffled once.
     """
     keys = list(keys)
-    salts = (
-        right.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).cast("int").alias("__salts"))
-        .where(F.col("__salts") > 1)
-    )
+    counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__total"))
+    each = F.greatest(F.lit(rows_per_salt).cast("double"), F.col("__total") / F.lit(parts))
+    salts = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("__n") > each).select(*keys, F.ceil(F.col("__n") / each).cast("int").alias("__salts")))
     left2 = left.join(salts, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     right2 = (
         right.join(salts, keys, "left")

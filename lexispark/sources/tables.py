@@ -29,3 +29,24 @@ def latest_once(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> Da
     own = F.when(unknown, F.xxhash64(*[F.col(c) for c in [*keys, *latest, *others]]))
     window = Window.partitionBy(*keys, own).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) == 1).drop(name)
+
+
+#: Bits of the table of suspects in latest_once_wide.
+SUSPECT_BITS = 1 << 22
+
+
+def latest_once_wide(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> DataFrame:
+    """latest_once for wide rows of which few are delivered more than once: texts stay where they are read.
+
+    The keys alone are counted first. Those seen more than once mark a bitmap of fixed size (at most
+    SUSPECT_BITS/64 rows, broadcast whatever the table's size); rows outside it are known to be
+    single and pass through, the others go through latest_once. A full bitmap would only send more rows there.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SUSPECT_BITS))
+    word = (bit / 64).cast("int")
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    table = repeated.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 64 as int))")).alias("__bits"))
+    marked = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(table), "__word", "left")
+    suspect = F.coalesce(F.expr("(shiftrightunsigned(__bits, cast(__bit % 64 as int)) & 1L) = 1L"), F.lit(False))
+    single = marked.where(~suspect).select(*df.columns)
+    return single.unionByName(latest_once(marked.where(suspect).select(*df.columns), keys, latest))
