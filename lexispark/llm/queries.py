@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import cooccur, distinctive, leakage, lookalike, neighbours, overlap, packing, repetition, sentences, topn, vectors
-from lexispark.sources.tables import latest_once, table
+from lexispark.sources.tables import latest_once, latest_once_wide, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -206,9 +206,9 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
 
 # -- problem 5 -------------------------------------------------------------------------------------
 def _distinctive_words(spark: SparkSession, d: str, **how) -> DataFrame:
-    rows = latest_once(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at"), ["sent_id"], ["ingested_at"])
+    rows = latest_once_wide(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at"), ["sent_id"], ["ingested_at"])
     size = distinctive.collection_size(rows.select(F.size(distinctive.white_space_words("sentence")).alias("size")))
-    corpus = distinctive.corpus_terms(distinctive.word_entries(rows, "sent_id", "sentence"))
+    corpus = distinctive.word_corpus(rows, "sentence")
     asked = distinctive.word_entries(rows.where("lang IN ('hi', 'mr') AND split_name IN ('val', 'test')"), "sent_id", "sentence")
     return distinctive.distinctive_terms(asked, corpus, size, 3, **how)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexispark.sources.tables import latest_once
+from lexispark.sources.tables import latest_once_wide
 
 SCHEMA = "vec long, split_name string, source string, loaded_at timestamp, cols array<int>, vals array<double>"
 
@@ -78,4 +78,4 @@ def vectors(blocks: DataFrame) -> DataFrame:
 def once(blocks: DataFrame) -> DataFrame:
     """The blocks, each once: as loaded last."""
     needed = ["block_id", "split_name", "source", "first_vec", "n_rows", "data", "indices", "indptr", "loaded_at"]
-    return latest_once(blocks.select(*needed), ["block_id"], ["loaded_at"])
+    return latest_once_wide(blocks.select(*needed), ["block_id"], ["loaded_at"])
