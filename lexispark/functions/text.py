@@ -39,6 +39,7 @@ MESSAGE_PATTERN = rf"https?://{NOT_BLANK}+|www\.{NOT_BLANK}+|[a-zA-Z0-9._%+-]+@[
 #: Pre-tokens of the sub-word models.
 SUBWORD_PATTERN = r"[\x{900}-\x{97f}]+|[a-zA-Z]+|\p{Nd}+|[^\p{L}\p{N}_\s\p{Z}]"
 SENTENCE_END = r"[.!?।॥]\s*"
+EDGE_BLANKS = " \t\n\r\x0b\x0c"
 # Lists of the plural analyser.
 IRREGULAR_PLURALS = {
     "children": "child", "feet": "foot", "teeth": "tooth", "men": "man", "women": "woman", "mice": "mouse", "geese": "goose", "people": "person",
@@ -63,7 +64,8 @@ def _all_matches(text: Column, pattern: str) -> Column:
 
 def sentence_split(text: Column) -> Column:
     """Parts between sentence ends (also danda), trimmed, empty ones dropped. Abbreviations and decimals split too."""
-    return _nonempty(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), SENTENCE_END), F.trim))
+    strip = lambda x: F.trim(x, F.lit(EDGE_BLANKS))
+    return _nonempty(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), SENTENCE_END), strip))
 
 
 def word_tokens(sentence: Column) -> Column:
@@ -123,8 +125,6 @@ def run_dfa(word: Column, moves: dict[tuple[str, str], str], start: str, finals:
 def plural_root(word: Column) -> Column:
     """Struct (root, number) of a word by the plural automaton; null root where the word is not alphabetic."""
     w = F.lower(word)
-    stem = F.expr  # short name for SQL over a word column is not needed: all below are expressions on w
-    del stem
     n = F.length(w)
     cut = lambda k: F.substring(w, 1, n - k)
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR_PLURALS.items() for x in pair])

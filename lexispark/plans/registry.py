@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return QUERIES
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("text", "morphology")
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its own name, with the SQL that must agree with it."""
+
+    def wrap(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lexispark.plans.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    _load()
+    return dict(_SQL)
