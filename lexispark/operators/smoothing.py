@@ -44,7 +44,10 @@ def select_model(smoothed: DataFrame, n: int, method: str) -> DataFrame:
 
 def sentence_grams(sentences: DataFrame, key: str, tokens: str, orders: list[int]) -> DataFrame:
     """(key, n, place, gram) inside every sentence."""
-    per = F.flatten(F.array(*[F.transform(ngrams(F.col(tokens), n), lambda g, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("place"), g.alias("gram"))) for n in orders]))
+    def of(n: int) -> Column:
+        return F.transform(ngrams(F.col(tokens), n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("place"), g.alias("gram")))
+
+    per = F.flatten(F.array(*[of(n) for n in orders]))
     return sentences.select(key, F.explode(per).alias("x")).select(key, "x.n", "x.place", "x.gram")
 
 
