@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,3 +55,19 @@ def ship(spark: SparkSession) -> None:
 
 
 _SHIPPED: set[str] = set()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed parquet table in the folder of checkpointed(): columns not needed later aren't read back.
+
+    The table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-"))
+    target = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(target)
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(target)
