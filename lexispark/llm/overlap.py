@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexispark.llm import vectors, wordkernel
 from lexispark.llm.frequency import CELLS, cell_frequencies, touched
 from lexispark.operators.skew import salted_join
-from lexispark.session import checkpointed
+from lexispark.session import checkpointed, stored
 from lexispark.sources.tables import latest_once
 
 TERMS = "kind string, id long, split_name string, source string, at timestamp, set_id binary, terms array<long>"
@@ -162,9 +162,9 @@ def split_overlaps(records: DataFrame, share: float = 0.7) -> tuple[DataFrame, D
     copies costs what one record costs. Records without entries or split match nothing.
     """
     filled = records.where((F.size("terms") > 0) & F.col("split_name").isNotNull())
-    kept = checkpointed(filled.withColumn("cid", F.xxhash64("set_id")).withColumn("held", F.col("split_name") != "train"))
+    kept = stored(filled)
     members = latest_once(kept.select("kind", "id", "at", "split_name", "source", "set_id"), ["kind", "id"], ["at"]).drop("at")
-    return set_pairs(kept, share), members
+    return set_pairs(kept.select(F.xxhash64("set_id").alias("cid"), (F.col("split_name") != "train").alias("held"), "set_id", "terms"), share), members
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
