@@ -166,9 +166,15 @@ def rule_suffix(word: Column) -> Column:
     return F.coalesce(*[test(s) for s in SUFFIXES])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression named inside a lambda would run again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """The n-grams of a token array as arrays, in order; arrays shorter than n have none."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    empty = F.array().cast("array<array<string>>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.slice(t, i, n))).otherwise(empty))
 
 
 def adjacent_pairs(symbols: Column) -> Column:

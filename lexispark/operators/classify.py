@@ -57,7 +57,8 @@ def nb_scores(docs: DataFrame, key: str, features: Column, counts: DataFrame, cl
     met = rows.join(per_feature, "feature", "inner" if skip_unknown else "left")
     p = (F.coalesce(F.element_at("m", F.col("label")), F.lit(0)) + F.lit(k)) / (F.col("total") + F.lit(k) * F.col("v"))
     sums = met.crossJoin(F.broadcast(known.select("label", "total", "v"))).groupBy(key, "label").agg(F.sum(F.col("times") * F.ln(p)).alias("s"))
-    base = docs.crossJoin(F.broadcast(known)).join(sums, [key, "label"], "left") if not flags else docs.select(key, *[F.col(f).alias(f"d_{f}") for f in FLAGS]).crossJoin(F.broadcast(known)).join(sums, [key, "label"], "left")
+    own = docs.select(key, *[F.col(f).alias(f"d_{f}") for f in FLAGS] if flags else [])
+    base = own.crossJoin(F.broadcast(known)).join(sums, [key, "label"], "left")
     score = F.ln("prior") + F.coalesce("s", F.lit(0.0))
     if flags:
         for f in FLAGS:

@@ -352,8 +352,9 @@ SELECT word, round(p / (SELECT sum(p) FROM s), 9) AS p FROM s"""
 def next_word_probs(spark: SparkSession, d: str) -> DataFrame:
     """The distribution of the word after the most frequent word, by the Kneser-Ney model."""
     words, model, alphas, vocab = _model(spark, d, "kn")
-    top = counts(spark, d).where("n = 1").orderBy(F.col("cnt").desc(), F.element_at("gram", 1)).limit(1).select(F.col("gram").alias("context"))
-    return rounded(generate.next_word_probs(top, "context", words, model, alphas, vocab, 4).select("word", "p"), "p")
+    top = counts(spark, d).where("n = 1").orderBy(F.col("cnt").desc(), F.element_at("gram", 1)).select("gram").first()
+    context = tuple(top.gram) if top else ()
+    return rounded(generate.next_word_probs([context], words, model, alphas, vocab, 4).select("word", "p"), "p")
 
 
 @query()

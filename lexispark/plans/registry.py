@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "morphology", "language_models")
+MODULES = ("text", "morphology", "language_models", "vector_space", "classification", "subwords")
 
 
 def query(sql: str | None = None):
