@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import let
+
 #: Items of a basket are paired block by block, so one giant record becomes many small rows.
 BLOCK = 64
 
@@ -22,16 +24,9 @@ def baskets(df: DataFrame, record: str, items: list[str]) -> DataFrame:
 
 def _block_pairs(items: Column) -> Column:
     """All (left block, right block) of a sorted item array, left not after right."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(BLOCK)).cast("int")), lambda b: b * F.lit(BLOCK) + 1)
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda a: F.transform(
-                F.filter(blocks, lambda b: b >= a),
-                lambda b: F.struct((a == b).alias("same"), F.slice(items, a, F.lit(BLOCK)).alias("left"), F.slice(items, b, F.lit(BLOCK)).alias("right")),
-            ),
-        )
-    )
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(BLOCK)).cast("int")), lambda b: b * F.lit(BLOCK) + 1)
+    cut = lambda a, b: F.struct(F.slice(items, a, F.lit(BLOCK)).alias("left"), F.slice(items, b, F.lit(BLOCK)).alias("right"))
+    return let(starts, lambda s: F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b >= a), lambda b: cut(a, b)))))
 
 
 def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int = 8, min_pmi: float = 2.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import let
 from lexispark.operators.skew import lookup_join
 
 #: Fixed value: the characters of Unicode's White_Space property.
@@ -25,7 +26,7 @@ def word_entries(df: DataFrame, key: str, text: str) -> DataFrame:
 def word_corpus(df: DataFrame, text: str) -> DataFrame:
     """(term, df, cf) over all texts, one shuffle: words are sorted within their text, so the first of a kind is seen in place."""
     ordered = df.select(F.array_sort(white_space_words(text)).alias("w"))
-    flagged = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("w", i - 1) == x), 0).otherwise(1).alias("new")))
+    flagged = let(F.col("w"), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(w, i - 1) == x), 0).otherwise(1).alias("new"))))
     return ordered.select(F.explode(flagged).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.new").alias("df"), F.count(F.lit(1)).cast("double").alias("cf"))
 
 
