@@ -99,9 +99,11 @@ def contained_items(docs: DataFrame, key: str, text: str, items: DataFrame, item
     Items travel to the workers as a broadcast of at most BLOCK_CHARS characters (or one item); more items
     make more blocks, ordered by size class, each searched against all texts. The texts are read
     in place and never shuffled. Null and short texts or items match nothing; rows with equal keys are searched
-    separately and reported once.
+    separately and reported once. An item column named like the key comes out as item_<name>.
     """
     spark = docs.sparkSession
+    if item == key:
+        items, item = items.withColumnRenamed(item, f"item_{item}"), f"item_{item}"
     kinds = dict(docs.dtypes), dict(items.dtypes)
     schema = f"`{key}` {kinds[0][key]}, `{item}` {kinds[1][item]}, windows_found long, item_windows long"
 

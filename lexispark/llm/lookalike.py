@@ -88,7 +88,7 @@ ALIKE_SEQUENCES = """
 IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0\u00ad"
 JOINERS = "\u200c\u200d"
 VIRAMAS = "्্੍્୍்్್്්"
-BLANKS = "\t             \u3000"
+BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @functools.cache
