@@ -76,7 +76,7 @@ def sampled_sentences(spark: SparkSession, path: str, n: int, seed: int = 42) ->
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(idx, line) of one text file: trimmed, blank lines dropped, idx counts the remaining lines from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\\r?\\n"), F.trim), lambda x: x != "").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "").alias("l"))
     return whole.select(F.posexplode("l").alias("idx", "line"))
 
 
