@@ -40,6 +40,8 @@ _BLANK = re.compile(r"[\s\x85\u2028\u2029]+")
 _EVENT = re.compile(r"[.!?।॥|؟۔。！？…｡“”‘’„「」『』«»《》〈〉\"'()\[\]{}（）【】]|(?<=[฀-๿\u200b-\u200f\u2060\ufeff”\"'’)0-9!?])[^\S\n\r]+(?=[฀-๿“\"'‘(0-9\u200b-\u200f\u2060\ufeff])")
 _LINES = re.compile(f"[^{LINE}]+")
 _LIST = re.compile(r"\s*(?:\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Zक-ह]|[ivxIVX]{1,5})[.)]|[-•*–])(?=\s)")
+#: Longest run before a dot that is looked at as a word: no shortened word is longer.
+LONGEST = 64
 _TOKEN_END = " \t\u00a0\u2009\u202f\u3000(["
 
 
@@ -87,54 +89,78 @@ def _uncased(ch: str) -> bool:
 
 
 def _matched(text: str, events: list[tuple[int, str]]) -> dict[int, int]:
-    """Openers and closers that belong together: opener -> closer. An opener left alone is plain text."""
+    """Openers and closers that belong together: opener -> closer. An opener left alone is plain text.
+
+    A closer nobody awaits is told by a count, so the stack is only walked to be shortened: linear work.
+    """
     stack: list[tuple[str, int]] = []
+    awaited: dict[str, int] = {}
     pairs: dict[int, int] = {}
     for i, ch in events:
         if ch in OPEN or ch in BRACKET:
-            stack.append((OPEN.get(ch) or BRACKET[ch], i))
+            closer = OPEN.get(ch) or BRACKET[ch]
+            stack.append((closer, i))
+            awaited[closer] = awaited.get(closer, 0) + 1
             continue
         straight = ch in "\"'"
         if not straight and ch not in CLOSE and ch not in UNBRACKET:
             continue
         before = text[i - 1] if i else " "
         after = text[i + 1] if i + 1 < len(text) else " "
-        if ch in "'’" and before.isalnum() and after.isalnum():
+        if ch in "'\u2019" and before.isalnum() and after.isalnum():
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == ch and (not straight or not before.isspace()):
-                pairs[stack[k][1]] = i
-                del stack[k:]
-                break
-        else:
-            if straight and not after.isspace():
-                stack.append((ch, i))
+        if awaited.get(ch, 0) and not (straight and before.isspace()):
+            while True:
+                closer, at = stack.pop()
+                awaited[closer] -= 1
+                if closer == ch:
+                    pairs[at] = i
+                    break
+        elif straight and not after.isspace():
+            stack.append((ch, i))
+            awaited[ch] = awaited.get(ch, 0) + 1
     return pairs
 
 
-def _dot_is_plain(text: str, low: int, high: int, dot: int) -> bool:
+class _Token:
+    """The run between blanks around a dot, looked up once per run, and whether it is an address."""
+
+    __slots__ = ("start", "stop", "address")
+
+    def __init__(self) -> None:
+        self.start = self.stop = -1
+        self.address = False
+
+    def at(self, text: str, low: int, high: int, dot: int) -> "_Token":
+        if not self.start <= dot < self.stop:
+            i = dot
+            while i > low and text[i - 1] not in _TOKEN_END:
+                i -= 1
+            j = dot
+            while j < high and text[j] not in _TOKEN_END:
+                j += 1
+            run = text[i:j]
+            self.start, self.stop, self.address = i, j, "www." in run or "://" in run or "@" in run
+        return self
+
+
+def _dot_is_plain(text: str, low: int, high: int, dot: int, token: _Token) -> bool:
     """Whether a single dot stands inside a number, a name, an address or a shortened word."""
     before = text[dot - 1] if dot > low else " "
     after = text[dot + 1] if dot + 1 < high else ""
     if after.isdigit() and (before.isdigit() or before.isspace()):
         return True
-    start = dot
-    while start > low and text[start - 1] not in _TOKEN_END:
-        start -= 1
+    run = token.at(text, low, high, dot)
+    start = max(run.start, low, dot - LONGEST)
     if after and not after.isspace() and after not in CLOSING and after not in INVISIBLE:
-        token = text[start : dot + 1]
-        if after.isalnum() or after in "/@_-":
-            stop = dot
-            while stop < high and text[stop] not in _TOKEN_END:
-                stop += 1
-            whole = text[start:stop]
-            if "www." in whole or "://" in whole or "@" in whole:
-                return True
-            word = token[:-1].strip("“‘\"'「")
-            if unicodedata.category(after)[0] in "LM" and len(word) >= 4 and "." not in word and (after.isupper() or _uncased(after)) and not after.isascii():
-                return False
-            return not (after.isupper() and len(word) >= 4 and word.islower())
-        return True
+        if not (after.isalnum() or after in "/@_-") or run.address or run.start < start:
+            return True
+        word = text[start:dot].strip("\u201c\u2018\"'\u300c")
+        if len(word) < 4 or "." in word:
+            return True
+        if after.isascii():
+            return not (after.isupper() and word.islower())
+        return not (unicodedata.category(after)[0] in "LM" and (after.isupper() or _uncased(after)))
     next_at = _next_visible(text, dot + 1, high)
     if next_at >= high:
         return False
@@ -194,6 +220,7 @@ def _line_spans(text: str, low: int, high: int, out: list[int]) -> None:
     if events:
         pairs = _matched(line, events) if any(ch in OPEN or ch in BRACKET or ch in "\"'" for _, ch in events) else {}
         stack: list[int] = []  # where the open levels close
+        token = _Token()
         quoted_end = -1  # place after a terminator that closed inside the current outermost quotation
         outer = -1
         for i, ch in events:
@@ -223,7 +250,9 @@ def _line_spans(text: str, low: int, high: int, out: list[int]) -> None:
                     j = i + 1
                     while j < n and (line[j] in END or line[j] in INVISIBLE):
                         j += 1
-                    quoted_end = i if j == stack[-1] or line[j:j + 1] in CLOSING and j < n else quoted_end
+                    if j == stack[-1] or (j < n and line[j] in CLOSING):
+                        quoted_end = i
+                    skip_to = j
                     continue
                 if ch == "|":
                     j = i - 1
@@ -236,7 +265,7 @@ def _line_spans(text: str, low: int, high: int, out: list[int]) -> None:
                     j += 1
                 run = line[i:j]
                 if run == ".":
-                    if _dot_is_plain(line, begin, n, i):
+                    if _dot_is_plain(line, begin, n, i, token):
                         continue
                 elif set(run) <= {".", "…"}:
                     k = _next_visible(line, j, n)
