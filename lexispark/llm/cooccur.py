@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import let
+from lexispark.session import stored
 
-#: Items of a basket are paired block by block, so one giant record becomes many small rows.
+#: Items of a basket are paired block by block, so a large basket becomes many small rows.
 BLOCK = 64
+#: Baskets of more useful items than this are never gathered into one row.
+GIANT = 512
 
 
 def baskets(df: DataFrame, record: str, items: list[str]) -> DataFrame:
@@ -29,6 +32,30 @@ def _block_pairs(items: Column) -> Column:
     return let(starts, lambda s: F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b >= a), lambda b: cut(a, b)))))
 
 
+def _with_giants(counted: DataFrame, members: DataFrame, n_giants: int, min_together: int) -> DataFrame:
+    """Pair counts of the other baskets with those of the giant ones added. ``members``: rec, item, size of the giants.
+
+    Fewer giants than min_together can't make a pair alone: a pair that counts stands in min_together - n_giants other
+    baskets at least, so only those candidates are looked up among the giants' items, and no pair is ever
+    enumerated there. With more giants their items meet in tiles of blocks, each row once per block of its basket.
+    """
+    if n_giants < min_together:
+        candidates = counted.where(F.col("n_both") >= min_together - n_giants)
+        lo, hi = members.select("rec", F.col("item").alias("word_lo")), members.select("rec", F.col("item").alias("word_hi"))
+        met = candidates.join(lo, "word_lo").join(hi, ["rec", "word_hi"]).groupBy("word_lo", "word_hi").agg(F.count(F.lit(1)).alias("more"))
+        return candidates.join(met, ["word_lo", "word_hi"], "left").select("word_lo", "word_hi", (F.col("n_both") + F.coalesce("more", F.lit(0))).alias("n_both"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks").cast("long")).cast("int"))
+    placed = own.select("rec", "item", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tile = placed.groupBy("rec", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(
+        F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("item"))).alias("left"), F.collect_list(F.when(F.col("own") >= F.col("other"), F.col("item"))).alias("right")
+    )
+    inside = tile.where("a = b").select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where(F.col("x") < F.col("y"))
+    across = tile.where("a < b").select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y"))
+    more = inside.unionByName(across).select(F.least("x", "y").alias("word_lo"), F.greatest("x", "y").alias("word_hi")).groupBy("word_lo", "word_hi").agg(F.count(F.lit(1)).alias("n_both"))
+    return counted.unionByName(more).groupBy("word_lo", "word_hi").agg(F.sum("n_both").alias("n_both"))
+
+
 def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int = 8, min_pmi: float = 2.0) -> DataFrame:
     """Pairs lo < hi that share at least ``min_together`` records with ln lift >= ``min_pmi``.
 
@@ -39,32 +66,31 @@ def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int
     Every item is first held against two bounds no pair can beat: n(x,y) <= n(x), and
     n(x,y)·N/(n(x)·n(y)) <= N/max(n(x), n(y)); items below min_together or above N·e^-min_pmi records therefore
     leave the baskets without changing the result. Equal baskets collapse to one with a weight; its
-    pairs are enumerated once, in blocks of 64 x 64 items, and summed map-side.
+    pairs are enumerated once, in blocks of 64 x 64 items, and summed map-side. Baskets of more than GIANT items
+    are kept apart: see _with_giants.
     """
     member = baskets(df, record, items)
     n_records = df.where(F.col(record).isNotNull()).select(record).distinct().agg(F.count(F.lit(1)).alias("n_records"))
     counts = member.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     useful = counts.join(F.broadcast(n_records), (F.col("n") >= min_together) & (F.col("n") <= F.col("n_records") * F.lit(math.exp(-min_pmi)) * F.lit(1 + 1e-9)))
+    kept = stored(member.join(useful.select("item"), "item").select("rec", "item"))
+    giants = kept.groupBy("rec").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GIANT)
+    n_giants = giants.count()
+    small = kept if not n_giants else kept.join(giants.select("rec"), "rec", "left_anti")
     weighted = (
-        member.join(useful.select("item"), "item")
-        .groupBy("rec")
-        .agg(F.sort_array(F.collect_set("item")).alias("basket"))
-        .where(F.size("basket") > 1)
-        .groupBy("basket")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        small.groupBy("rec").agg(F.sort_array(F.collect_set("item")).alias("basket")).where(F.size("basket") > 1).groupBy("basket").agg(F.count(F.lit(1)).alias("weight"))
     )
-    split = weighted.select("weight", F.explode(_block_pairs(F.col("basket"))).alias("b"))
-    wide = split.where(F.size("b.left") + F.size("b.right") > BLOCK).repartition(F.xxhash64("b.left", "b.right"))
-    small = split.where(F.size("b.left") + F.size("b.right") <= BLOCK)
-    pairs = (
-        small.unionByName(wide)
+    counted = (
+        weighted.select("weight", F.explode(_block_pairs(F.col("basket"))).alias("b"))
         .select("weight", "b.right", F.explode("b.left").alias("word_lo"))
         .select("weight", "word_lo", F.explode("right").alias("word_hi"))
         .where(F.col("word_lo") < F.col("word_hi"))
         .groupBy("word_lo", "word_hi")
         .agg(F.sum("weight").alias("n_both"))
-        .where(F.col("n_both") >= min_together)
     )
+    if n_giants:
+        counted = _with_giants(counted, kept.join(giants, "rec"), n_giants, min_together)
+    pairs = counted.where(F.col("n_both") >= min_together)
     lo = useful.select(F.col("item").alias("word_lo"), F.col("n").alias("n_lo"))
     hi = useful.select(F.col("item").alias("word_hi"), F.col("n").alias("n_hi"))
     lift = F.col("n_both") * F.col("n_records") / (F.col("n_lo").cast("double") * F.col("n_hi"))

@@ -68,7 +68,9 @@ def test_sentences_long_and_table(spark):
 
 
 # -- 2 ---------------------------------------------------------------------------------------------
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("giant", [512, 100, 4])
+def test_pairs_against_brute_force(spark, monkeypatch, giant):
+    monkeypatch.setattr(cooccur, "GIANT", giant)
     random.seed(1)
     words = [f"w{i}" for i in range(60)]
     rows, sets = [], {}
