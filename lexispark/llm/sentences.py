@@ -22,10 +22,8 @@ CLOSERS_OF_TIME = "a.m p.m A.M P.M etc Co Ltd Inc Corp Bros U.S U.K".split()
 BEFORE_NUMBER = "p pp No Nos no vol".split()
 #: Names of Latin letters in Devanagari, used as initials.
 LETTER_NAMES = "ए बी सी डी ई एफ जी एच आई आय जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू व्ही एक्स वाई वाय जेड झेड".split()
-#: Words that take up a quotation as part of their own clause.
-QUOTATIVES = set(
-    "कहकर नामक कहते बोलकर पूछकर ऐसा ऐसे जैसा जैसे कहलाने असे असा अशी असं म्हणून म्हणत या ह्या नावाचा नावाची नावाचे नामे বলে নামে নামক என்று என்ற எனும் کہہ نامی".split()
-)
+#: Words that take up a quotation as part of their own clause, even one that "said," introduced.
+QUOTATIVES = set("कहकर नामक बोलकर पूछकर म्हणून म्हणत नावाचा नावाची नावाचे বলে নামে নামক என்று என்ற எனும் کہہ نامی".split())
 QUOTATIVE_STARTS = ("と", "って", "という")
 
 END = ".!?।॥؟۔。！？…｡"
@@ -147,12 +145,15 @@ class _Token:
 def _dot_is_plain(text: str, low: int, high: int, dot: int, token: _Token) -> bool:
     """Whether a single dot stands inside a number, a name, an address or a shortened word."""
     before = text[dot - 1] if dot > low else " "
-    after = text[dot + 1] if dot + 1 < high else ""
+    k = dot + 1
+    while k < high and text[k] in INVISIBLE:
+        k += 1
+    after = text[k] if k < high else ""
     if after.isdigit() and (before.isdigit() or before.isspace()):
         return True
     run = token.at(text, low, high, dot)
     start = max(run.start, low, dot - LONGEST)
-    if after and not after.isspace() and after not in CLOSING and after not in INVISIBLE:
+    if after and not after.isspace() and after not in CLOSING:
         if not (after.isalnum() or after in "/@_-") or run.address or run.start < start:
             return True
         word = text[start:dot].strip("\u201c\u2018\"'\u300c")
@@ -184,7 +185,11 @@ def _dot_is_plain(text: str, low: int, high: int, dot: int, token: _Token) -> bo
 
 
 def _continues(text: str, line_low: int, high: int, opened: int, sentence_low: int, at: int) -> bool:
-    """After a closing mark: whether what follows takes the quotation up."""
+    """After a closing mark: whether what follows takes the quotation up.
+
+    Where letters have case it decides. Elsewhere a quotation introduced by a comma or colon is complete, unless
+    a quotative follows; one that stands within its clause, or opens it, is taken up.
+    """
     i = _next_visible(text, at, high)
     if i >= high:
         return False
@@ -205,7 +210,7 @@ def _continues(text: str, line_low: int, high: int, opened: int, sentence_low: i
     j = opened - 1
     while j >= sentence_low and (text[j].isspace() or text[j] in INVISIBLE):
         j -= 1
-    return j >= sentence_low and text[j] not in ",:，：、"
+    return j < sentence_low or text[j] not in ",:，：、"
 
 
 def _line_spans(text: str, low: int, high: int, out: list[int]) -> None:

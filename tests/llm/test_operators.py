@@ -406,3 +406,10 @@ def test_word_kernel():
     assert list(w.doc) == [0, 0, 2, 2, 3, 3, 3]
     assert w.hash[0] == w.hash[1] == w.hash[6] and w.hash[2] == w.hash[3]
     assert w.text(0, 2) == "ab ab"
+
+
+def test_quotations_of_uncased_scripts():
+    assert cut("‘तो आला? मग?’ असा सवाल केला. दुसरे.") == ["‘तो आला? मग?’ असा सवाल केला.", "दुसरे."]
+    assert cut("ते म्हणाले, “आला. गेला.” या गावात.") == ["ते म्हणाले, “आला. गेला.”", "या गावात."]
+    assert cut("8 कि.​मी. चाल. मग.") == ["8 कि.​मी. चाल.", "मग."]
+    assert cut("他说：「好。」她走了。") == ["他说：「好。」", "她走了。"]
