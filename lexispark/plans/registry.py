@@ -34,6 +34,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
+#: Columns that are 32-bit in Spark (array sizes, positions, ranks) and 64-bit in the SQL.
+_INT_COLUMNS = {
+    "sent_idx": "sentence_split", "tok_idx": "message_tokens subword_pretokens", "tokens": "blank_tokens", "types": "blank_tokens", "pairs": "distinct_pairs", "pos": "pmi",
+    "place": "tfidf_top_terms cosine_knn_aligned cosine_knn_full cosine_knn_self",
+    "n": "ngram_vocab ngram_mle ngram_top freq_of_freq context_sums add_one add_k token_type smoothing_comparison good_turing_table good_turing_prob katz_discount katz_prob katz_backoff_weights kn_discount kn_prob",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    """The SQL of every query that has one, with integer widths as in Spark."""
     _load()
-    return dict(_SQL)
+    out = dict(_SQL)
+    for name, sql in _SQL.items():
+        narrow = [c for c, queries_ in _INT_COLUMNS.items() if name in queries_.split()]
+        if narrow:
+            out[name] = f"SELECT * REPLACE ({', '.join(f'{c}::INTEGER AS {c}' for c in narrow)}) FROM ({sql})"
+    return out
