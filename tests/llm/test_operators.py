@@ -411,5 +411,36 @@ def test_word_kernel():
 def test_quotations_of_uncased_scripts():
     assert cut("‘तो आला? मग?’ असा सवाल केला. दुसरे.") == ["‘तो आला? मग?’ असा सवाल केला.", "दुसरे."]
     assert cut("ते म्हणाले, “आला. गेला.” या गावात.") == ["ते म्हणाले, “आला. गेला.”", "या गावात."]
-    assert cut("8 कि.​मी. चाल. मग.") == ["8 कि.​मी. चाल.", "मग."]
+    assert cut("8 कि.\u200bमी. चाल. मग.") == ["8 कि.\u200bमी. चाल.", "मग."]
     assert cut("他说：「好。」她走了。") == ["他说：「好。」", "她走了。"]
+
+
+def test_very_long_texts(spark):
+    words = [f"t{i}" for i in range(60_000)]
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, long), (2, "short one"), (3, None)], "id long, text string")
+    items = spark.createDataFrame([(9, " ".join(words[30_000:30_020]))], "item long, text string")
+    assert [(r.id, r.item) for r in leakage.contained_items(docs, "id", "text", items, "item", "text").collect()] == [(1, 9)]
+    size = distinctive.collection_size(docs.select(distinctive.F.size(distinctive.white_space_words("text")).alias("size")))
+    best = distinctive.distinctive_terms(distinctive.word_entries(docs, "id", "text"), distinctive.word_corpus(docs, "text"), size, 1, scoring="idf").collect()
+    assert {(r.rec_id, r.term) for r in best} == {(1, "t0"), (2, "one")}
+    rows = [(1, long, "train", "s", NOW, 0), (2, long + " more", "val", None, NOW, 0), (3, "x", "val", "s", None, 0)]
+    pairs, members = overlap.split_overlaps(overlap.sentence_terms(spark.createDataFrame(rows, APP)))
+    assert [(r.id_lo, r.id_hi, r.source) for r in overlap.record_pairs(pairs, members).collect()] == [(1, 2, None)]
+    token = "क" * 50_000
+    forms = lookalike.canonical_forms(spark.createDataFrame([(token,), (token + "\u200b",)], "t string"), "t")
+    assert lookalike.same_print_pairs(forms, "t").count() == 1
+    placed = packing.pack_texts(docs, "id", "text").where("id = 1").agg(packing.F.sum("n_tokens").alias("n"), packing.F.count("piece").alias("k")).first()
+    assert placed.k == -(-placed.n // 2048)
+
+
+def test_hot_groups_hold_together(spark):
+    """A third of the rows in one record, group or class of copies."""
+    rows = [(0, f"w{i % 50}", f"w{(i + 1) % 50}") for i in range(3000)] + [(1 + i // 3, f"w{i % 50}", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "rec long, a string, b string")
+    assert cooccur.pair_scores(df, "rec", ["a", "b"], 1, -50.0).count() > 0
+    app = [(i, "same text here", "train" if i % 2 else "test", "s", NOW, 0) for i in range(400)] + [(1000 + i, f"other {i}", "train", "s", NOW, 0) for i in range(800)]
+    pairs, members = overlap.split_overlaps(overlap.sentence_terms(spark.createDataFrame(app, APP)))
+    assert pairs.count() == 1 and overlap.record_pairs(pairs, members).count() == 200 * 200
+    report = overlap.overlap_report(pairs, members).first()
+    assert (report.records, report.overlapping, report.exact, report.links) == (200, 200, 200, 40_000)
