@@ -141,3 +141,12 @@ def lambda_analysis(weights: tuple[float, ...]) -> dict[str, float]:
 
     best = max(range(4), key=lambda i: weights[i])
     return {**{f"share_{i + 1}": 100 * w for i, w in enumerate(weights)}, "strongest": best + 1, "entropy": -sum(w * math.log(w + 1e-10) for w in weights)}
+
+
+def compare_models(means: DataFrame) -> DataFrame:
+    """(model, avg_log_p, improvement, best): by how many percent the best model's perplexity is below each model's.
+
+    ``means``: model, avg_log_p. Models without a valid text have null; of equal means the smaller name is best.
+    """
+    top = means.where("avg_log_p IS NOT NULL").agg(F.max("avg_log_p").alias("top"), F.min(F.struct((-F.col("avg_log_p")).alias("k"), "model"))["model"].alias("best"))
+    return means.crossJoin(F.broadcast(top)).select("model", "avg_log_p", (F.lit(100.0) * (F.lit(1.0) - F.exp(F.col("avg_log_p") - F.col("top")))).alias("improvement"), "best")

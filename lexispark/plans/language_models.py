@@ -367,3 +367,20 @@ def greedy_generate(spark: SparkSession, d: str) -> DataFrame:
 def beam_generate(spark: SparkSession, d: str) -> DataFrame:
     rows = [("kn", i, w) for i, w in enumerate(generate.beam(*_model(spark, d, "kn"), 4, max_length=6, width=20))]
     return spark.createDataFrame(rows, "model string, pos int, word string")
+
+
+@query(
+    f"""{_G}, {_QUADS}, {_TEST.replace("split_name = 'test'", "split_name = 'val'")},
+ sc AS (SELECT sent_id, tg.n::VARCHAR AS model, sum(ln(greatest(coalesce(gt.p, p_unseen), 1e-10))) AS log_p FROM tg JOIN un USING (n) LEFT JOIN gt ON gt.gram = tg.gram GROUP BY ALL
+   UNION ALL SELECT sent_id, 'mixed', sum(ln(greatest(0.1 * p1 + 0.2 * p2 + 0.3 * p3 + 0.4 * p4, 1e-10))) FROM q4 GROUP BY sent_id),
+ av AS (SELECT model, avg(log_p) AS a FROM sc WHERE log_p >= -745 GROUP BY model)
+SELECT model, round(a, 6) AS avg_log_p, round(100 * (1 - exp(a - (SELECT max(a) FROM av))), 6) AS improvement, (SELECT model FROM av ORDER BY a DESC, model LIMIT 1) AS best FROM av"""
+)
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The four Good-Turing models and their fixed mixture on the val passages."""
+    model, unseen = smoothing.good_turing(counts(spark, d))
+    rows = smoothing.sentence_grams(tests(spark, d, "val"), "sent_id", "toks", ORDERS).join(model, ["n", "gram"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
+    single = rows.groupBy("sent_id", F.col("n").cast("string").alias("model")).agg(F.sum(F.ln(F.greatest(F.coalesce("p", "p_unseen"), F.lit(1e-10)))).alias("log_p"))
+    mixed = _quads(spark, d).groupBy("sent_id").agg(F.sum(F.ln(F.greatest(smoothing.interpolated(LAMBDAS), F.lit(1e-10)))).alias("log_p")).select("sent_id", F.lit("mixed").alias("model"), "log_p")
+    means = single.unionByName(mixed).where(F.col("log_p") >= smoothing.UNDERFLOW).groupBy("model").agg(F.avg("log_p").alias("avg_log_p"))
+    return rounded(smoothing.compare_models(means), "avg_log_p", "improvement", places=6)
