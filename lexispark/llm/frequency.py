@@ -14,10 +14,15 @@ CELLS = 1 << 18
 
 def cell_frequencies(entries: DataFrame) -> np.ndarray:
     """How many rows of ``entries`` (column term, a number) fall in each cell; at most CELLS rows reach the driver."""
+    return summed_cells(entries.select("term", F.lit(1).cast("long").alias("n")))
+
+
+def summed_cells(counts: DataFrame) -> np.ndarray:
+    """The column n summed by the cell of the column term."""
     cell = F.pmod(F.col("term"), F.lit(CELLS)).cast("int")
-    counted = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    rows = counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, dtype=np.int64)
-    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -33,7 +38,7 @@ def touched(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """
     key = ids.columns[0]
     bit = F.pmod(F.col(key), F.lit(TOUCH_BITS))
-    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toPandas()
+    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
     table = np.zeros(TOUCH_BITS // 64, dtype=np.int64)
     table[words["w"].to_numpy()] = words["bits"].to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(table)
