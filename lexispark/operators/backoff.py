@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators.ngrams import join_grams
+
 
 def katz_discounts(counts: DataFrame, threshold: int = 5) -> DataFrame:
-    """(n, gram, cnt, discounted) of orders 2 and up: (c+1)·N(c+1)/N(c), or c - 0.5 where N(c+1) is 0; above the threshold c."""
+    """(n, gram, cnt, discounted) of orders 2 and up: (c+1)·N(c+1)/N(c), or c - 0.5 where N(c+1) is 0; above the threshold c.
+
+    The look-up table has at most ``threshold`` rows per order and is broadcast.
+    """
     nc = counts.groupBy("n", "cnt").agg(F.count(F.lit(1)).alias("nc"))
     following = nc.select("n", (F.col("cnt") - 1).alias("cnt"), F.col("nc").alias("next_nc"))
-    d = F.when(F.col("cnt") > threshold, F.col("cnt").cast("double")).when(F.col("next_nc").isNotNull(), (F.col("cnt") + 1) * (F.col("next_nc") / F.col("nc"))).otherwise(F.greatest(F.col("cnt") - 0.5, F.lit(0.0)))
-    table = nc.join(following, ["n", "cnt"], "left").select("n", "cnt", d.alias("discounted"))
-    return counts.where("n > 1").join(table, ["n", "cnt"]).select("n", "gram", "cnt", "discounted")
+    d = F.when(F.col("next_nc").isNotNull(), (F.col("cnt") + 1) * (F.col("next_nc") / F.col("nc"))).otherwise(F.greatest(F.col("cnt") - 0.5, F.lit(0.0)))
+    table = F.broadcast(nc.where(F.col("cnt") <= threshold).join(following, ["n", "cnt"], "left").select("n", "cnt", d.alias("low")))
+    return counts.where("n > 1").join(table, ["n", "cnt"], "left").select("n", "gram", "cnt", F.coalesce(F.col("low"), F.col("cnt").cast("double")).alias("discounted"))
 
 
 def katz_model(counts: DataFrame, threshold: int = 5, textbook: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +33,7 @@ def katz_model(counts: DataFrame, threshold: int = 5, textbook: bool = False) ->
     rows = katz_discounts(counts, threshold).withColumn("history", F.slice("gram", F.lit(1), F.col("n") - 1))
     sums = rows.groupBy("n", "history").agg(F.sum("cnt" if textbook else "discounted").cast("double").alias("base"), F.sum("discounted").alias("mass"))
     p = F.when(F.col("base") > 0, F.col("discounted") / F.col("base")).otherwise(0.0)
-    more = rows.join(sums.drop("mass"), ["n", "history"]).select("n", "gram", p.alias("p"))
+    more = join_grams(rows, sums.drop("mass"), ["history", "n"]).select("n", "gram", p.alias("p"))
     seen = F.when(F.col("base") > 0, F.col("mass") / F.col("base")).otherwise(0.0)
     alphas = sums.select("n", "history", F.round(F.greatest(F.lit(1.0) - seen, F.lit(0.0)), 12).alias("alpha"))
     return ones.unionByName(more), alphas
@@ -53,7 +58,7 @@ def kn_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = more.groupBy("n", "history").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("continuations"))
     discounts = F.broadcast(kn_discounts(counts))
     p = F.greatest(F.col("cnt") - F.col("d"), F.lit(0.0)) / F.col("total")
-    higher = more.join(sums.drop("continuations"), ["n", "history"]).join(discounts, "n").select("n", "gram", p.alias("p"))
+    higher = join_grams(more, sums.drop("continuations"), ["history", "n"]).join(discounts, "n").select("n", "gram", p.alias("p"))
     alphas = sums.join(discounts, "n").select("n", "history", (F.col("d") * F.col("continuations") / F.col("total")).alias("alpha"))
     return ones.unionByName(higher), alphas
 
@@ -71,14 +76,15 @@ def backoff_score(queries: DataFrame, gram: str, model: DataFrame, alphas: DataF
     back = alphas.select(F.col("history").alias("h"), "alpha")
     for n in range(max_n, 0, -1):
         here = (F.size("rest") == n) & F.col("p").isNull()
-        state = state.join(lookup.where(F.size("rest") == n), "rest", "left")
+        state = join_grams(state, lookup.where(F.size("rest") == n), ["rest"], "left")
         hit = F.when(here & F.col("seen").isNotNull(), F.col("factor") * F.col("seen"))
         if n == 1:
             state = state.withColumn("p", F.coalesce("p", hit, F.when(here, F.col("factor") * F.lit(1.0 / max(1, 1000 * vocab))))).drop("seen")
         else:
             state = state.withColumn("p", F.coalesce("p", hit)).drop("seen")
             open_ = (F.size("rest") == n) & F.col("p").isNull()
-            state = state.withColumn("h", F.when(open_, F.slice("rest", 1, n - 1))).join(back.where(F.size("h") == n - 1), "h", "left")
+            own = F.array(F.concat(F.lit("\x00"), F.array_join("g", "\x00")))  # of the settled rows: matches nothing, and spreads them
+            state = join_grams(state.withColumn("h", F.when(open_, F.slice("rest", 1, n - 1)).otherwise(own)), back.where(F.size("h") == n - 1), ["h"], "left")
             state = state.withColumn("factor", F.when(open_, F.col("factor") * F.coalesce("alpha", F.lit(1.0))).otherwise(F.col("factor")))
             state = state.withColumn("rest", F.when(open_, F.slice("rest", 2, n - 1)).otherwise(F.col("rest"))).drop("h", "alpha")
-    return queries.join(state.select(F.col("g").alias(gram), "p"), gram, "left")
+    return join_grams(queries, state.select(F.col("g").alias(gram), "p"), [gram], "left")

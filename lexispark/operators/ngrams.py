@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import ngrams
 
 
+def join_grams(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on n-gram arrays, led by a 64-bit hash of them: sorting compares numbers, arrays only where hashes agree."""
+    h = F.xxhash64(*keys)
+    return left.withColumn("__h", h).join(right.withColumn("__h", h), ["__h", *keys], how).drop("__h")
+
+
 def within(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     """(gram) rows of all orders inside each row's token array: no shuffle."""
     return df.select(F.explode(F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in orders]))).alias("gram"))
@@ -70,7 +76,7 @@ def mle(counts: DataFrame) -> DataFrame:
     ones = counts.where("n = 1").crossJoin(F.broadcast(total)).withColumn("p", F.col("cnt") / F.col("total")).drop("total")
     history = counts.select(F.col("gram").alias("history"), F.col("cnt").alias("seen"))
     more = counts.where("n > 1").withColumn("history", F.slice("gram", F.lit(1), F.col("n") - 1))
-    conditional = more.join(history, "history", "left").withColumn("p", F.coalesce(F.col("cnt") / F.col("seen"), F.lit(0.0))).select("n", "gram", "cnt", "p")
+    conditional = join_grams(more, history, ["history"], "left").withColumn("p", F.coalesce(F.col("cnt") / F.col("seen"), F.lit(0.0))).select("n", "gram", "cnt", "p")
     return ones.unionByName(conditional)
 
 

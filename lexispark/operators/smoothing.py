@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams
+from lexispark.operators.ngrams import join_grams
 
 #: ln of the smallest positive double: a product below it would be 0.
 UNDERFLOW = -745.0
@@ -59,7 +60,7 @@ def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFram
     """
     p = F.coalesce(F.col("p"), unseen if isinstance(unseen, Column) else F.lit(unseen))
     p = F.greatest(p, F.lit(floor)) if floor is not None else p
-    rows = sentence_grams(sentences, key, tokens, orders).join(model, ["n", "gram"], "left")
+    rows = join_grams(sentence_grams(sentences, key, tokens, orders), model, ["gram", "n"], "left")
     return rows.groupBy(key, "n").agg(F.count(F.lit(1)).alias("grams"), F.sum(F.ln(p)).alias("log_p"))
 
 
@@ -80,10 +81,16 @@ def good_turing_unseen(counts: DataFrame, nc: DataFrame) -> DataFrame:
 
 
 def good_turing(counts: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(model, unseen): n, gram, cnt, p = c*/total; and the row of good_turing_unseen per order."""
+    """(model, unseen): n, gram, cnt, p = c*/total; and the row of good_turing_unseen per order.
+
+    Counts above the threshold keep their value, so the table that is looked up has at most ``threshold`` rows per order
+    and is broadcast: the many n-grams seen once never meet in one task.
+    """
     nc = counts.groupBy("n", "cnt").agg(F.count(F.lit(1)).alias("nc"))
     unseen = good_turing_unseen(counts, nc)
-    model = counts.join(good_turing_counts(nc, threshold).drop("nc"), ["n", "cnt"]).join(F.broadcast(unseen.select("n", "total")), "n").select("n", "gram", "cnt", (F.col("c_star") / F.col("total")).alias("p"))
+    low = F.broadcast(good_turing_counts(nc, threshold).where(F.col("cnt") <= threshold).drop("nc"))
+    star = F.coalesce(F.col("c_star"), F.col("cnt").cast("double"))
+    model = counts.join(low, ["n", "cnt"], "left").join(F.broadcast(unseen.select("n", "total")), "n").select("n", "gram", "cnt", (star / F.col("total")).alias("p"))
     return model, unseen
 
 
@@ -108,7 +115,7 @@ def quad_probabilities(sentences: DataFrame, key: str, tokens: str, model: DataF
     """(key, place, p1..p4) of every 4-gram: the probabilities of its last 1, 2, 3 and 4 words. Short sentences have none."""
     quads = sentence_grams(sentences, key, tokens, [4]).select(key, "place", "gram")
     parts = quads.select(key, "place", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("n"), F.slice("gram", F.lit(5) - n, n).alias("gram")))).alias("x"))
-    scored = parts.select(key, "place", "x.n", "x.gram").join(model.select("n", "gram", "p"), ["n", "gram"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
+    scored = join_grams(parts.select(key, "place", "x.n", "x.gram"), model.select("n", "gram", "p"), ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
     p = F.coalesce("p", "p_unseen")
     return scored.groupBy(key, "place").agg(*[F.max(F.when(F.col("n") == i, p)).alias(f"p{i}") for i in (1, 2, 3, 4)])
 

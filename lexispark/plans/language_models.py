@@ -171,7 +171,7 @@ def sentence_score_matrix(spark: SparkSession, d: str) -> DataFrame:
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
     methods = ("add_one", "add_k", "token_type")
     wide = smoothing.additive(counts(spark, d)).groupBy("n", "gram").agg(*[F.max(F.when(F.col("method") == m, F.col("p"))).alias(m) for m in methods])
-    rows = smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS).join(wide, ["n", "gram"], "left")
+    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), wide, ["gram", "n"], "left")
     sums = rows.groupBy("sent_id", "n").agg(F.count(F.lit(1)).alias("grams"), *[F.round(F.sum(F.ln(F.coalesce(m, F.lit(1e-10)))), 6).alias(m) for m in methods])
     cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("log_p")) for m in methods])
     return sums.select("sent_id", "n", "grams", F.explode(cells).alias("x")).select("sent_id", "n", "grams", "x.method", "x.log_p")
@@ -200,7 +200,7 @@ def sentence_probability_smoothed(spark: SparkSession, d: str) -> DataFrame:
     methods = ("add_one", "add_k", "token_type")
     wide = smoothing.additive(c).groupBy("n", "gram").agg(*[F.max(F.when(F.col("method") == m, F.col("p"))).alias(m) for m in methods])
     tot = smoothing.totals(c).select("n", (F.lit(1.0) / (F.col("total") + F.col("vocab"))).alias("u"))
-    rows = smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS).join(wide, ["n", "gram"], "left").join(F.broadcast(tot), "n")
+    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), wide, ["gram", "n"], "left").join(F.broadcast(tot), "n")
     sums = rows.groupBy("sent_id", "n").agg(*[F.round(F.sum(F.ln(F.coalesce(m, "u"))), 6).alias(m) for m in methods])
     cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("log_p")) for m in methods])
     return sums.select("sent_id", "n", F.explode(cells).alias("x")).select("sent_id", "n", "x.method", "x.log_p")
@@ -224,7 +224,7 @@ _GTS = f"""{_GT}, {_TEST}, sc AS (SELECT sent_id, tg.n, sum(ln(greatest(coalesce
 
 def _gt_scores(spark: SparkSession, d: str) -> DataFrame:
     model, unseen = smoothing.good_turing(counts(spark, d))
-    rows = smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS).join(model, ["n", "gram"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
+    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), model, ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
     return rows.groupBy("sent_id", "n").agg(F.sum(F.ln(F.greatest(F.coalesce("p", "p_unseen"), F.lit(1e-10)))).alias("log_p"))
 
 
@@ -379,7 +379,7 @@ SELECT model, round(a, 6) AS avg_log_p, round(100 * (1 - exp(a - (SELECT max(a)
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The four Good-Turing models and their fixed mixture on the val passages."""
     model, unseen = smoothing.good_turing(counts(spark, d))
-    rows = smoothing.sentence_grams(tests(spark, d, "val"), "sent_id", "toks", ORDERS).join(model, ["n", "gram"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
+    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d, "val"), "sent_id", "toks", ORDERS), model, ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
     single = rows.groupBy("sent_id", F.col("n").cast("string").alias("model")).agg(F.sum(F.ln(F.greatest(F.coalesce("p", "p_unseen"), F.lit(1e-10)))).alias("log_p"))
     mixed = _quads(spark, d).groupBy("sent_id").agg(F.sum(F.ln(F.greatest(smoothing.interpolated(LAMBDAS), F.lit(1e-10)))).alias("log_p")).select("sent_id", F.lit("mixed").alias("model"), "log_p")
     means = single.unionByName(mixed).where(F.col("log_p") >= smoothing.UNDERFLOW).groupBy("model").agg(F.avg("log_p").alias("avg_log_p"))
