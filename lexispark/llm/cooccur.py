@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import let
-from lexispark.session import stored
+from lexispark.session import checkpointed, stored
 
 #: Items of a basket are paired block by block, so a large basket becomes many small rows.
 BLOCK = 64
@@ -18,11 +18,8 @@ GIANT = 512
 
 def baskets(df: DataFrame, record: str, items: list[str]) -> DataFrame:
     """(record, item) once each. Rows without a record, and null items, are left out."""
-    one = [df.select(F.col(record).alias("rec"), F.col(c).alias("item")) for c in items]
-    stacked = one[0]
-    for other in one[1:]:
-        stacked = stacked.unionByName(other)
-    return stacked.where(F.col("rec").isNotNull() & F.col("item").isNotNull()).distinct()
+    words = df.where(F.col(record).isNotNull()).select(F.col(record).alias("rec"), F.explode(F.array(*items)).alias("item"))
+    return words.where(F.col("item").isNotNull()).distinct()
 
 
 def _block_pairs(items: Column) -> Column:
@@ -69,10 +66,11 @@ def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int
     pairs are enumerated once, in blocks of 64 x 64 items, and summed map-side. Baskets of more than GIANT items
     are kept apart: see _with_giants.
     """
-    member = baskets(df, record, items)
+    member = stored(baskets(df, record, items))
     n_records = df.where(F.col(record).isNotNull()).select(record).distinct().agg(F.count(F.lit(1)).alias("n_records"))
     counts = member.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     useful = counts.join(F.broadcast(n_records), (F.col("n") >= min_together) & (F.col("n") <= F.col("n_records") * F.lit(math.exp(-min_pmi)) * F.lit(1 + 1e-9)))
+    useful = checkpointed(useful.select("item", "n"))
     kept = stored(member.join(useful.select("item"), "item").select("rec", "item"))
     giants = kept.groupBy("rec").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GIANT)
     n_giants = giants.count()
