@@ -63,15 +63,15 @@ def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int
     Every item is first held against two bounds no pair can beat: n(x,y) <= n(x), and
     n(x,y)·N/(n(x)·n(y)) <= N/max(n(x), n(y)); items below min_together or above N·e^-min_pmi records therefore
     leave the baskets without changing the result. Equal baskets collapse to one with a weight; its
-    pairs are enumerated once, in blocks of 64 x 64 items, and summed map-side. Baskets of more than GIANT items
+    pairs are enumerated once, as numbers in blocks of 64 x 64 items, and summed map-side. Baskets of more than GIANT items
     are kept apart: see _with_giants.
     """
     member = stored(baskets(df, record, items))
     n_records = df.where(F.col(record).isNotNull()).select(record).distinct().agg(F.count(F.lit(1)).alias("n_records"))
     counts = member.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     useful = counts.join(F.broadcast(n_records), (F.col("n") >= min_together) & (F.col("n") <= F.col("n_records") * F.lit(math.exp(-min_pmi)) * F.lit(1 + 1e-9)))
-    useful = checkpointed(useful.select("item", "n"))
-    kept = stored(member.join(useful.select("item"), "item").select("rec", "item"))
+    useful = checkpointed(useful.select("item", "n", F.monotonically_increasing_id().alias("id")))  # numbers are fixed by the checkpoint
+    kept = stored(member.join(useful, "item").select("rec", F.col("id").alias("item")))
     giants = kept.groupBy("rec").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GIANT)
     n_giants = giants.count()
     small = kept if not n_giants else kept.join(giants.select("rec"), "rec", "left_anti")
@@ -89,13 +89,12 @@ def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int
     if n_giants:
         counted = _with_giants(counted, kept.join(giants, "rec"), n_giants, min_together)
     pairs = counted.where(F.col("n_both") >= min_together)
-    lo = useful.select(F.col("item").alias("word_lo"), F.col("n").alias("n_lo"))
-    hi = useful.select(F.col("item").alias("word_hi"), F.col("n").alias("n_hi"))
+    side = lambda s: useful.select(F.col("id").alias(f"word_{s}"), F.struct(F.col("item").alias("w"), "n").alias(s))
+    named = pairs.join(side("lo"), "word_lo").join(side("hi"), "word_hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), "n_both")
+    flat = named.select(F.col("lo.w").alias("word_lo"), F.col("hi.w").alias("word_hi"), F.col("lo.n").alias("n_lo"), F.col("hi.n").alias("n_hi"), "n_both")
     lift = F.col("n_both") * F.col("n_records") / (F.col("n_lo").cast("double") * F.col("n_hi"))
     return (
-        pairs.join(lo, "word_lo")
-        .join(hi, "word_hi")
-        .crossJoin(F.broadcast(n_records))
+        flat.crossJoin(F.broadcast(n_records))
         .withColumn("lift", lift)
         .withColumn("pmi", F.ln("lift"))
         .where(F.col("pmi") >= min_pmi)
