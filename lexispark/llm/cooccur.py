@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import let
+from lexispark.operators.skew import lookup_join
 from lexispark.session import checkpointed, stored
 
 #: Items of a basket are paired block by block, so a large basket becomes many small rows.
@@ -71,7 +72,7 @@ def pair_scores(df: DataFrame, record: str, items: list[str], min_together: int
     counts = member.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     useful = counts.join(F.broadcast(n_records), (F.col("n") >= min_together) & (F.col("n") <= F.col("n_records") * F.lit(math.exp(-min_pmi)) * F.lit(1 + 1e-9)))
     useful = checkpointed(useful.select("item", "n", F.monotonically_increasing_id().alias("id")))  # numbers are fixed by the checkpoint
-    kept = stored(member.join(useful, "item").select("rec", F.col("id").alias("item")))
+    kept = stored(lookup_join(member, useful, "item", "n").select("rec", F.col("id").alias("item")))
     giants = kept.groupBy("rec").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GIANT)
     n_giants = giants.count()
     small = kept if not n_giants else kept.join(giants.select("rec"), "rec", "left_anti")
