@@ -309,3 +309,26 @@ def test_skewed_joins(spark):
     values = left.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("a").alias("m"))
     assert skew.lookup_join(left, values, "k", "w").count() == 2000
     assert skew.hot_keys(values, "k", "w", parts=2).count() <= 2
+
+
+def test_core_operators_on_nothing(spark):
+    """Empty tables, null arrays and extra columns with names used inside."""
+    docs = spark.createDataFrame([], "id long, toks array<string>, gram int, n int, cnt int")
+    counts = ngrams.ngram_counts(docs, "id", "toks", [1, 2, 3, 4], "corpus")
+    assert ngrams.mle(counts).count() == 0 and smoothing.additive(counts).count() == 0
+    model, unseen = smoothing.good_turing(counts)
+    assert model.count() == 0 and unseen.count() == 0
+    for made in (backoff.katz_model(counts), backoff.kn_model(counts)):
+        assert made[0].count() == 0 and made[1].count() == 0
+        asked = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "gram array<string>")
+        rows = {tuple(r.gram or ()): r.p for r in backoff.backoff_score(asked, "gram", *made, 0, 2).collect()}
+        assert rows[("a", "b")] == 1.0 and rows[()] is None
+    words = subword.word_frequencies(spark.createDataFrame([], "text string, word int"), "text")
+    assert subword.bpe_train(words, 5).count() == 0 and subword.wordpiece_vocab(words, 5).count() == 1
+    tagged = spark.createDataFrame([], "id long, words array<string>, tags array<string>")
+    assert tagging.hmm_transitions(tagged).count() == 0
+    assert classify.split_by_ratio(spark.range(0).withColumnRenamed("id", "doc_id"), "doc_id").count() == 0
+    assert morphology.best_split(morphology.word_counts(spark.createDataFrame([], "w string, cnt int"), "w")).count() == 0
+    nulls = spark.createDataFrame([(1, None, 5), (2, ["a"], 6)], "id long, toks array<string>, len int")
+    assert vectors.term_frequency(nulls, "id", "toks").count() == 1
+    assert ngrams.ngram_counts(nulls, "id", "toks", [1, 2], "corpus").count() == 1
