@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -44,7 +45,8 @@ def _merged(symbols: list[str], left: str, right: str) -> list[str]:
 def learn_merges(freqs: dict[str, int], merges: int, vocab_size: int | None = None) -> list[tuple[str, str, int]]:
     """(left, right, freq) in merge order; of equally frequent pairs the smaller one.
 
-    Pair counts are kept up to date per merge, and only words that hold the merged pair are touched.
+    Pair counts are kept up to date per merge, and only words that hold the merged pair are touched. The best pair is the
+    top of a heap, into which every pair goes again when its count changes; entries of older counts are passed over.
     """
     splits = {w: list(w) for w in freqs}
     vocab = {c for w in freqs for c in w}
@@ -54,34 +56,45 @@ def learn_merges(freqs: dict[str, int], merges: int, vocab_size: int | None = No
         for p in zip(s, s[1:]):
             stats[p] += freqs[w]
             where[p].add(w)
+    heap = [(-n, p) for p, n in stats.items()]
+    heapq.heapify(heap)
     out = []
-    while len(out) < merges and (vocab_size is None or len(vocab) < vocab_size):
-        live = {p: n for p, n in stats.items() if n > 0}
-        if not live:
-            break
-        best = min(live, key=lambda p: (-live[p], p))
-        out.append((*best, live[best]))
+    while heap and len(out) < merges and (vocab_size is None or len(vocab) < vocab_size):
+        n, best = heapq.heappop(heap)
+        if -n != stats.get(best, 0) or n >= 0:
+            continue
+        out.append((*best, -n))
         vocab.add(best[0] + best[1])
-        for w in list(where[best]):
-            s = splits[w]
-            for p in zip(s, s[1:]):
+        changed = set()
+        for w in where.pop(best):
+            old = splits[w]
+            s = splits[w] = _merged(old, *best)
+            if len(s) == len(old):
+                continue
+            for p in zip(old, old[1:]):
                 stats[p] -= freqs[w]
-            s = splits[w] = _merged(s, *best)
+                changed.add(p)
             for p in zip(s, s[1:]):
                 stats[p] += freqs[w]
                 where[p].add(w)
-        del stats[best]
+                changed.add(p)
+        for p in changed:
+            if stats[p] > 0:
+                heapq.heappush(heap, (-stats[p], p))
+            else:
+                del stats[p]
+                where.pop(p, None)
     return out
 
 
-def bpe_train(words: DataFrame, merges: int = 100, max_types: int = 200_000) -> DataFrame:
+def bpe_train(words: DataFrame, merges: int = 100, max_types: int = 200_000, vocab_size: int | None = None) -> DataFrame:
     """(rank, left, right, freq).
 
     The corpus is counted by Spark; the merge loop runs over the ``max_types`` most frequent word types (a
     documented bound on what reaches the driver; of equal frequency the smaller word).
     """
     kept = words.where(F.length("word") <= MAX_WORD).orderBy(F.col("freq").desc(), "word").limit(max_types)
-    learnt = learn_merges({r.word: r.freq for r in kept.collect()}, merges)
+    learnt = learn_merges({r.word: r.freq for r in kept.collect()}, merges, vocab_size)
     return words.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(learnt)], "rank int, left string, right string, freq long")
 
 

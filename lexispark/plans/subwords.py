@@ -11,7 +11,7 @@ from lexispark.plans.registry import query
 from lexispark.plans.text import documents
 from lexispark.session import checkpointed
 
-VOCAB, MERGES = 32_000, 200
+VOCAB, MERGES = 32_000, 32_000
 
 _W = f"""WITH w AS (SELECT word, count(*) AS freq FROM (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '{SUBWORD_PATTERN}'))) AS word FROM documents) GROUP BY 1),
  sh AS (SELECT * FROM w WHERE length(word) <= {S.MAX_WORD})"""
@@ -37,14 +37,14 @@ def bpe_pair_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return S.bpe_train(word_types(spark, d), MERGES)
+    return S.bpe_train(word_types(spark, d), MERGES, vocab_size=VOCAB)
 
 
 @query()
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every document: words are encoded once per type and joined back."""
     words = checkpointed(word_types(spark, d))
-    pieces = S.bpe_encode(words, S.bpe_train(words, MERGES))
+    pieces = S.bpe_encode(words, S.bpe_train(words, MERGES, vocab_size=VOCAB))
     rows = documents(spark, d).select("doc_id", F.explode(pretokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("times"))
     return rows.join(pieces, "word").groupBy("doc_id").agg(F.sum("times").alias("words"), F.sum(F.col("times") * F.size("pieces")).alias("tokens"))
 

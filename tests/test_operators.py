@@ -332,3 +332,28 @@ def test_core_operators_on_nothing(spark):
     nulls = spark.createDataFrame([(1, None, 5), (2, ["a"], 6)], "id long, toks array<string>, len int")
     assert vectors.term_frequency(nulls, "id", "toks").count() == 1
     assert ngrams.ngram_counts(nulls, "id", "toks", [1, 2], "corpus").count() == 1
+
+
+def test_bpe_to_the_end_against_full_scans():
+    random.seed(5)
+    freqs = {"".join(random.choice("abc") for _ in range(random.randint(1, 9))): random.randint(1, 4) for _ in range(120)}
+    splits, want = {w: list(w) for w in freqs}, []
+    while True:
+        stats = Counter()
+        for w, s in splits.items():
+            for p in zip(s, s[1:]):
+                stats[p] += freqs[w]
+        if not stats:
+            break
+        best = min(stats, key=lambda p: (-stats[p], p))
+        want.append((*best, stats[best]))
+        splits = {w: subword._merged(s, *best) for w, s in splits.items()}
+    assert subword.learn_merges(freqs, 10**6) == want
+    short = subword.learn_merges(freqs, 10**6, vocab_size=50)
+    assert 3 + len({a + b for a, b, _ in short}) == 50 and short == want[: len(short)]
+
+
+def test_bpe_queries_train_as_long_as_the_reference():
+    from lexispark.plans import subwords
+
+    assert (subwords.MERGES, subwords.VOCAB) == (32_000, 32_000)
