@@ -359,13 +359,13 @@ def next_word_probs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_generate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(kind, i, w) for kind in ("katz", "kn") for i, w in enumerate(generate.greedy(*_model(spark, d, kind), 4, max_length=8))]
+    rows = [(kind, i, w) for kind in ("katz", "kn") for i, w in enumerate(generate.greedy(*_model(spark, d, kind), 4, max_length=15))]
     return spark.createDataFrame(rows, "model string, pos int, word string")
 
 
 @query()
 def beam_generate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("kn", i, w) for i, w in enumerate(generate.beam(*_model(spark, d, "kn"), 4, max_length=6, width=20))]
+    rows = [(kind, i, w) for kind in ("katz", "kn") for i, w in enumerate(generate.beam(*_model(spark, d, kind), 4, max_length=15, width=20))]
     return spark.createDataFrame(rows, "model string, pos int, word string")
 
 

@@ -357,3 +357,14 @@ def test_bpe_queries_train_as_long_as_the_reference():
     from lexispark.plans import subwords
 
     assert (subwords.MERGES, subwords.VOCAB) == (32_000, 32_000)
+
+
+def test_generation_queries_are_as_long_as_the_reference(spark, monkeypatch):
+    from lexispark.plans import language_models
+
+    text = lambda kind, max_n, max_length=15, **_: [kind] * max_length
+    monkeypatch.setattr(language_models, "_model", lambda spark, d, kind: (kind,))
+    monkeypatch.setattr(generate, "greedy", text)
+    monkeypatch.setattr(generate, "beam", text)
+    for f in (language_models.greedy_generate, language_models.beam_generate):
+        assert Counter((r.model, r.word) for r in f(spark, "").collect()) == {("katz", "katz"): 15, ("kn", "kn"): 15}
