@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import subword_pretokens
+from lexispark.session import stored
 
 UNKNOWN = "[UNK]"
 #: Longest word type whose pieces are enumerated.
@@ -87,14 +88,111 @@ def learn_merges(freqs: dict[str, int], merges: int, vocab_size: int | None = No
     return out
 
 
-def bpe_train(words: DataFrame, merges: int = 100, max_types: int = 200_000, vocab_size: int | None = None) -> DataFrame:
+def _next_merges(pairs: list[tuple[str, str, int]], whole: bool) -> list[tuple[str, str, int]]:
+    """The front of the most frequent pairs that surely are the next merges, in this order. ``whole``: there are no pairs but these.
+
+    A new pair stands where a neighbour of a merged one stood, (x, left) or (right, x), and is at most as frequent. So the
+    front ends with a pair of equal symbols (its own neighbour), before a neighbour of the others, and where a neighbour is
+    as frequent and the new pair would be the smaller one. For that, all pairs as frequent have to be given: so not for the last count.
+    """
+    least = 0 if whole or not pairs else pairs[-1][2]
+    by_count: dict[int, list[tuple[str, str]]] = defaultdict(list)
+    for left, right, n in pairs:
+        by_count[n].append((left, right))
+    out: list[tuple[str, str, int]] = []
+    begins: dict[str, list[str]] = defaultdict(list)  # left -> rights, right -> lefts of the front
+    ends: dict[str, list[str]] = defaultdict(list)
+
+    def new_pairs(x: str, y: str) -> Iterator[tuple[str, str]]:
+        """What the pair may become by the merges of the front: x may have been taken up by its left, y by its right."""
+        yield from ((a, b) for a in [x, *(z + x for z in ends.get(x, ()))] for b in [y, *(y + z for z in begins.get(y, ()))] if (a, b) != (x, y))
+
+    for left, right, n in pairs:
+        if out:
+            if n <= least or right in begins or left in ends:
+                break
+            if any(p <= (left, right) for x, y in by_count[n] for p in new_pairs(x, y)):
+                break
+        out.append((left, right, n))
+        if left == right:
+            break
+        begins[left].append(right)
+        ends[right].append(left)
+    return out
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Frequencies and symbols of each batch after the merges."""
+    ranked = shared.value
+    for batch in batches:
+        yield batch.column(0).to_pylist(), [_applied(s, ranked) for s in batch.column(1).to_pylist()]
+
+
+def _merges_in_rounds(words: DataFrame, merges: int, vocab_size: int | None, top: int, fold: int) -> list[tuple[str, str, int]]:
+    """As learn_merges, with the word types and their symbols left in Spark.
+
+    Each round counts all pairs and brings the ``top`` most frequent to the driver, which takes those that surely come next
+    (_next_merges). Merges are applied where the symbols are read; the table of symbols is written anew every ``fold`` merges.
+    """
+    context = words.sparkSession.sparkContext
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(w) for w in batch.column(1).to_pylist()], type=pa.list_(pa.string()))], names=["freq", "s"])
+
+    table = stored(words.where("word IS NOT NULL").select(F.col("freq").cast("long"), "word").mapInArrow(letters, "freq long, s array<string>"))
+    size = table.select(F.explode("s").alias("c")).distinct().count()
+    out: list[tuple[str, str, int]] = []
+    folded = 0
+    made: set[str] = set()
+    while len(out) < merges and (vocab_size is None or size + len(made) < vocab_size):
+        shared = context.broadcast({p[:2]: i for i, p in enumerate(out[folded:])})
+
+        def rewrite(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for freqs, symbols in _mapped(batches, shared):
+                kept = [(n, s) for n, s in zip(freqs, symbols) if len(s) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], type=pa.int64()), pa.array([s for _, s in kept], type=pa.list_(pa.string()))], names=["freq", "s"])
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for freqs, symbols in _mapped(batches, shared):
+                stats: Counter[tuple[str, str]] = Counter()
+                for n, s in zip(freqs, symbols):
+                    for p in zip(s, s[1:]):
+                        stats[p] += n
+                columns = [pa.array([p[0] for p in stats], type=pa.string()), pa.array([p[1] for p in stats], type=pa.string()), pa.array(list(stats.values()), type=pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["left", "right", "freq"])
+
+        if len(out) - folded >= fold:
+            table = stored(table.mapInArrow(rewrite, "freq long, s array<string>"))
+            folded = len(out)
+            shared.unpersist()
+            continue
+        pairs = table.mapInArrow(count, "left string, right string, freq long").groupBy("left", "right").agg(F.sum("freq").alias("freq"))
+        best = [tuple(r) for r in pairs.where("freq > 0").orderBy(F.col("freq").desc(), "left", "right").limit(top).collect()]
+        shared.unpersist()
+        if not best:
+            break
+        for p in _next_merges(best, len(best) < top):
+            if len(out) == merges or (vocab_size is not None and size + len(made) >= vocab_size):
+                break
+            out.append(p)
+            made.add(p[0] + p[1])
+    return out
+
+
+def bpe_train(words: DataFrame, merges: int = 100, max_types: int = 200_000, vocab_size: int | None = None, top: int = 4096, fold: int = 1000) -> DataFrame:
     """(rank, left, right, freq).
 
-    The corpus is counted by Spark; the merge loop runs over the ``max_types`` most frequent word types (a
-    documented bound on what reaches the driver; of equal frequency the smaller word).
+    The corpus is counted by Spark. Up to ``max_types`` word types (of 16 characters on average) are merged by the driver;
+    of more, the symbols stay in Spark and only the ``top`` most frequent pairs of a round reach the driver. All
+    types count in both, and both give the same merges.
     """
-    kept = words.where(F.length("word") <= MAX_WORD).orderBy(F.col("freq").desc(), "word").limit(max_types)
-    learnt = learn_merges({r.word: r.freq for r in kept.collect()}, merges, vocab_size)
+    known = words.where("word IS NOT NULL")
+    size = known.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("letters")).first()
+    if size.types <= max_types and size.letters <= 16 * max_types:
+        learnt = learn_merges({r.word: r.freq for r in known.select("word", "freq").collect()}, merges, vocab_size)
+    else:
+        learnt = _merges_in_rounds(words, merges, vocab_size, top, fold)
     return words.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(learnt)], "rank int, left string, right string, freq long")
 
 
@@ -109,23 +207,23 @@ def _per_word(words: DataFrame, column: str, encode) -> DataFrame:
     return words.where(F.col(column).isNotNull()).select(column).distinct().mapInArrow(step, f"`{column}` string, pieces array<string>")
 
 
+def _applied(symbols: list[str], ranked: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols after all merges in rank order."""
+    done = -1
+    while len(symbols) > 1:
+        ranks = [ranked[p] for p in zip(symbols, symbols[1:]) if ranked.get(p, -1) > done]
+        if not ranks:
+            break
+        done = min(ranks)
+        left, right = next(p for p in zip(symbols, symbols[1:]) if ranked.get(p) == done)
+        symbols = _merged(symbols, left, right)
+    return symbols
+
+
 def bpe_encode(words: DataFrame, merges: DataFrame, column: str = "word") -> DataFrame:
     """(word, pieces) of distinct words, merges applied in rank order. The merge table is a model of fixed size."""
     ranked = {(r.left, r.right): r.rank for r in merges.collect()}
-
-    def encode(word: str) -> list[str]:
-        symbols = list(word)
-        done = -1
-        while len(symbols) > 1:
-            ranks = [ranked[p] for p in zip(symbols, symbols[1:]) if ranked.get(p, -1) > done]
-            if not ranks:
-                break
-            done = min(ranks)
-            left, right = next(p for p in zip(symbols, symbols[1:]) if ranked.get(p) == done)
-            symbols = _merged(symbols, left, right)
-        return symbols
-
-    return _per_word(words, column, encode)
+    return _per_word(words, column, lambda word: _applied(list(word), ranked))
 
 
 def word_pieces(words: DataFrame) -> DataFrame:

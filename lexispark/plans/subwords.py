@@ -37,7 +37,7 @@ def bpe_pair_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return S.bpe_train(word_types(spark, d), MERGES, vocab_size=VOCAB)
+    return S.bpe_train(checkpointed(word_types(spark, d)), MERGES, vocab_size=VOCAB)
 
 
 @query()

@@ -368,3 +368,39 @@ def test_generation_queries_are_as_long_as_the_reference(spark, monkeypatch):
     monkeypatch.setattr(generate, "beam", text)
     for f in (language_models.greedy_generate, language_models.beam_generate):
         assert Counter((r.model, r.word) for r in f(spark, "").collect()) == {("katz", "katz"): 15, ("kn", "kn"): 15}
+
+
+def test_next_merges_are_those_of_one_at_a_time():
+    sizes = []
+    for seed in range(40):
+        random.seed(seed)
+        freqs = {"".join(random.choice("abcdefgh"[: 2 + seed % 7]) for _ in range(random.randint(1, 9))): random.choice([1, 1, 2, 3, 50]) for _ in range(60)} | {c * (seed % 13): 40 + seed for c in "ax"}
+        splits, got, want = {w: list(w) for w in freqs}, [], subword.learn_merges(freqs, 10**6)
+        while True:
+            stats = Counter()
+            for w, s in splits.items():
+                for p in zip(s, s[1:]):
+                    stats[p] += freqs[w]
+            best = sorted(((*p, n) for p, n in stats.items()), key=lambda p: (-p[2], p[:2]))
+            top = random.choice([1, 5, 1000])
+            batch = subword._next_merges(best[:top], len(best) < top)
+            if not batch:
+                break
+            sizes.append(len(batch))
+            for left, right, n in batch:
+                splits = {w: subword._merged(s, left, right) for w, s in splits.items()}
+            got += batch
+        assert got == want
+    assert max(sizes) > 3
+
+
+def test_bpe_counts_all_types_beyond_the_driver(spark):
+    freqs = {"a" * 60: 9, "low": 5, "lower": 3, "newest": 3, "widest": 2, "q": 1, "xy" * 30: 2}
+    words = spark.createDataFrame(list(freqs.items()), "word string, freq long")
+    want = subword.learn_merges(freqs, 14)
+    assert ("a", "a", 9 * 59) == want[0]
+    for limits in ({}, {"max_types": 2}, {"max_types": 2, "top": 3, "fold": 5}):
+        rows = subword.bpe_train(words, 14, **limits).orderBy("rank").collect()
+        assert [(r.left, r.right, r.freq) for r in rows] == want
+    rows = subword.bpe_train(words, 14, max_types=2, vocab_size=20).collect()
+    assert len(rows) == len(subword.learn_merges(freqs, 14, vocab_size=20)) < 14
