@@ -59,16 +59,17 @@ def normalised(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.join(norms, key).select(key, "term", (F.col("value") / F.col("norm")).alias("value"))
 
 
-def cosine_neighbours(queries: DataFrame, base: DataFrame, k: int = 5, align: bool = False, exclude_self: bool = False, fill: DataFrame | None = None) -> DataFrame:
+def cosine_neighbours(queries: DataFrame, base: DataFrame, k: int = 5, align: bool = False, exclude_self: bool = False, fill: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query, neighbour, score, place): the k most similar documents; of equal (rounded) scores the smaller id.
 
-    Both sides are (id, term, value). align=True first drops, on the base side, every term the queries don't
-    use, which changes the norms. exclude_self leaves out the query itself and scores of 0. ``fill`` (ids
+    Both sides are (id, term, value). align=True first drops, on the base side, every term outside ``vocabulary`` (term),
+    which changes the norms. It has the terms of all rows the queries are taken from; without it, those of the queries. exclude_self leaves out the query itself and scores of 0. ``fill`` (ids
     of base documents) completes queries with fewer than k overlapping documents by zero scores in id order: the
     first 2k ids are enough for that.
     """
     if align:
-        base = base.join(queries.select("term").distinct(), "term", "left_semi")
+        used = queries if vocabulary is None else vocabulary
+        base = base.join(used.select("term").distinct(), "term", "left_semi")
         queries = queries.join(base.select("term").distinct(), "term", "left_semi")
     q = normalised(queries, "id").select(F.col("id").alias("query"), "term", F.col("value").alias("v"))
     b = normalised(base, "id").select(F.col("id").alias("neighbour"), "term", F.col("value").alias("w"))

@@ -404,3 +404,10 @@ def test_bpe_counts_all_types_beyond_the_driver(spark):
         assert [(r.left, r.right, r.freq) for r in rows] == want
     rows = subword.bpe_train(words, 14, max_types=2, vocab_size=20).collect()
     assert len(rows) == len(subword.learn_merges(freqs, 14, vocab_size=20)) < 14
+
+
+def test_alignment_uses_the_whole_query_side(spark):
+    base = spark.createDataFrame([(1, "x", 1.0), (1, "y", 1.0), (2, "x", 1.0), (2, "z", 2.0)], "id long, term string, value double")
+    held = spark.createDataFrame([(50, "x", 1.0), (51, "y", 3.0)], "id long, term string, value double")
+    got = vectors.cosine_neighbours(held.where("id % 50 = 0"), base, align=True, vocabulary=held.select("term")).orderBy("place").collect()
+    assert [(r.query, r.neighbour, r.score) for r in got] == [(50, 2, 1.0), (50, 1, 0.707107)]
