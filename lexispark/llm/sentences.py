@@ -154,10 +154,13 @@ def _dot_is_plain(text: str, low: int, high: int, dot: int, token: _Token) -> bo
     run = token.at(text, low, high, dot)
     start = max(run.start, low, dot - LONGEST)
     if after and not after.isspace() and after not in CLOSING:
-        if not (after.isalnum() or after in "/@_-") or run.address or run.start < start:
+        if not (after.isalnum() or after in "/@_-") or run.address:
             return True
-        word = text[start:dot].strip("\u201c\u2018\"'\u300c")
-        if len(word) < 4 or "." in word:
+        first = max(run.start, low)
+        if text.rfind(".", first, dot) >= 0:  # looks back to the last dot only, so a run is read once
+            return True
+        word = text[first:dot].strip("\u201c\u2018\"'\u300c")
+        if len(word) < 4:
             return True
         if after.isascii():
             return not (after.isupper() and word.islower())

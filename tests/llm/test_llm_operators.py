@@ -57,6 +57,13 @@ def test_sentences(text, want):
     assert cut(text) == want
 
 
+def test_sentences_within_a_run_without_blanks():
+    texts = ["गेली.गेलेत.मग", "私" * 80 + ".次", "गेली." * 3 + "मग"]
+    assert [len(sentences.sentence_spans(t)) // 2 for t in texts] == [3, 2, 4]
+    for plain in ("www." + "a" * 80 + ".com", "a" * 80 + ".b" * 50, "3.14.15"):
+        assert len(sentences.sentence_spans(plain)) // 2 == 1
+
+
 def test_sentences_long_and_table(spark):
     long = "ab. " * 200_000
     assert len(sentences.sentence_spans(long)) // 2 in (1, 200_000)
