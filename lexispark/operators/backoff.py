@@ -1,4 +1,4 @@
-"""Back-off models: Katz with Good-Turing discounts, and Kneser-Ney, scored by one join per order."""
+"""Back-off models: Katz with Good-Turing discounts, and Kneser-Ney, scored by one join for all orders."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.ngrams import join_grams
+from lexispark.operators.skew import lookup_join, salts_of
 
 
 def katz_discounts(counts: DataFrame, threshold: int = 5) -> DataFrame:
@@ -20,6 +21,15 @@ def katz_discounts(counts: DataFrame, threshold: int = 5) -> DataFrame:
     return counts.where("n > 1").join(table, ["n", "cnt"], "left").select("n", "gram", "cnt", F.coalesce(F.col("low"), F.col("cnt").cast("double")).alias("discounted"))
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__h", F.xxhash64("history"))
+
+
+def _by_history(rows: DataFrame):
+    """Grouped so that the sums lie where a join on (hash, n, history) wants them: no second shuffle of the sums."""
+    return _hashed(rows).groupBy("__h", "n", "history")
+
+
 def katz_model(counts: DataFrame, threshold: int = 5, textbook: bool = False) -> tuple[DataFrame, DataFrame]:
     """(model, alphas): n, gram, p and n, history, alpha.
 
@@ -31,9 +41,9 @@ def katz_model(counts: DataFrame, threshold: int = 5, textbook: bool = False) ->
     total = counts.where("n = 1").agg(F.sum("cnt").alias("total"))
     ones = counts.where("n = 1").crossJoin(F.broadcast(total)).select("n", "gram", (F.col("cnt") / F.greatest("total", F.lit(1))).alias("p"))
     rows = katz_discounts(counts, threshold).withColumn("history", F.slice("gram", F.lit(1), F.col("n") - 1))
-    sums = rows.groupBy("n", "history").agg(F.sum("cnt" if textbook else "discounted").cast("double").alias("base"), F.sum("discounted").alias("mass"))
+    sums = _by_history(rows).agg(F.sum("cnt" if textbook else "discounted").cast("double").alias("base"), F.sum("discounted").alias("mass"))
     p = F.when(F.col("base") > 0, F.col("discounted") / F.col("base")).otherwise(0.0)
-    more = join_grams(rows, sums.drop("mass"), ["history", "n"]).select("n", "gram", p.alias("p"))
+    more = _hashed(rows).join(sums.drop("mass"), ["__h", "n", "history"]).select("n", "gram", p.alias("p"))
     seen = F.when(F.col("base") > 0, F.col("mass") / F.col("base")).otherwise(0.0)
     alphas = sums.select("n", "history", F.round(F.greatest(F.lit(1.0) - seen, F.lit(0.0)), 12).alias("alpha"))
     return ones.unionByName(more), alphas
@@ -55,36 +65,46 @@ def kn_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = contexts.agg(F.sum("contexts").alias("total"))
     ones = contexts.crossJoin(F.broadcast(total)).select(F.lit(1).alias("n"), F.array("w").alias("gram"), (F.col("contexts") / F.col("total")).alias("p"))
     more = counts.where("n > 1").withColumn("history", F.slice("gram", F.lit(1), F.col("n") - 1))
-    sums = more.groupBy("n", "history").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("continuations"))
+    sums = _by_history(more).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("continuations"))
     discounts = F.broadcast(kn_discounts(counts))
     p = F.greatest(F.col("cnt") - F.col("d"), F.lit(0.0)) / F.col("total")
-    higher = join_grams(more, sums.drop("continuations"), ["history", "n"]).join(discounts, "n").select("n", "gram", p.alias("p"))
+    higher = _hashed(more).join(sums.drop("continuations"), ["__h", "n", "history"]).join(discounts, "n").select("n", "gram", p.alias("p"))
     alphas = sums.join(discounts, "n").select("n", "history", (F.col("d") * F.col("continuations") / F.col("total")).alias("alpha"))
     return ones.unionByName(higher), alphas
 
 
-def backoff_score(queries: DataFrame, gram: str, model: DataFrame, alphas: DataFrame, vocab: int, max_n: int) -> DataFrame:
-    """The queries with ``p``: the last max_n words looked up, else alpha(history) times the score of the shorter n-gram.
+def score_ngrams(asked: DataFrame, gram: str, model: DataFrame, alphas: DataFrame, vocab: int, max_n: int, counts: DataFrame | None = None) -> DataFrame:
+    """(gram, p) of distinct n-grams: the last max_n words looked up, else alpha(history) times the score of the shorter n-gram.
 
-    Distinct n-grams are scored once. Every order is one pair of shuffled joins; no row is scored by a driver loop.
-    An unseen unigram has 1/(1000·vocab). Empty or null n-grams have null.
+    Every n-gram asks once for all its endings and for their histories; one join with the model and the
+    weights answers, led by a hash, and one aggregation per n-gram takes the longest ending seen. An ending that
+    very many n-grams share (a frequent last word) is parted by the salts of lookup_join. An unseen unigram has 1/(1000·vocab). Empty
+    and null n-grams don't come out.
     """
-    asked = queries.select(F.col(gram).alias("g")).where(F.size("g") > 0).distinct()
-    cut = F.when(F.size("g") > max_n, F.slice("g", F.lit(-max_n), F.lit(max_n))).otherwise(F.col("g"))
-    state = asked.select("g", cut.alias("rest"), F.lit(1.0).alias("factor"), F.lit(None).cast("double").alias("p"))
-    lookup = model.select(F.col("gram").alias("rest"), F.col("p").alias("seen"))
-    back = alphas.select(F.col("history").alias("h"), "alpha")
-    for n in range(max_n, 0, -1):
-        here = (F.size("rest") == n) & F.col("p").isNull()
-        state = join_grams(state, lookup.where(F.size("rest") == n), ["rest"], "left")
-        hit = F.when(here & F.col("seen").isNotNull(), F.col("factor") * F.col("seen"))
-        if n == 1:
-            state = state.withColumn("p", F.coalesce("p", hit, F.when(here, F.col("factor") * F.lit(1.0 / max(1, 1000 * vocab))))).drop("seen")
-        else:
-            state = state.withColumn("p", F.coalesce("p", hit)).drop("seen")
-            open_ = (F.size("rest") == n) & F.col("p").isNull()
-            own = F.array(F.concat(F.lit("\x00"), F.array_join("g", "\x00")))  # of the settled rows: matches nothing, and spreads them
-            state = join_grams(state.withColumn("h", F.when(open_, F.slice("rest", 1, n - 1)).otherwise(own)), back.where(F.size("h") == n - 1), ["h"], "left")
-            state = state.withColumn("factor", F.when(open_, F.col("factor") * F.coalesce("alpha", F.lit(1.0))).otherwise(F.col("factor")))
-            state = state.withColumn("rest", F.when(open_, F.slice("rest", 2, n - 1)).otherwise(F.col("rest"))).drop("h", "alpha")
-    return join_grams(queries, state.select(F.col("g").alias(gram), "p"), [gram], "left")
+    known = asked.select(F.col(gram).alias("g")).where(F.size("g") > 0)
+    n = F.least(F.size("g"), F.lit(max_n))
+    needs = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("g", -i, i))
+    pairs = F.concat(
+        F.transform(needs, lambda e: F.struct(F.size(e).alias("n"), F.lit(False).alias("back"), e.alias("key"))),
+        F.transform(F.filter(needs, lambda e: F.size(e) > 1), lambda e: F.struct(F.size(e).alias("n"), F.lit(True).alias("back"), F.slice(e, F.lit(1), F.size(e) - 1).alias("key"))),
+    )
+    wanted = known.select("g", F.explode(pairs).alias("x")).select("g", "x.n", "x.back", "x.key")
+    entries = model.select(F.lit(False).alias("back"), F.col("gram").alias("key"), F.col("p").alias("v")).unionByName(alphas.select(F.lit(True).alias("back"), F.col("history").alias("key"), F.col("alpha").alias("v")))
+    if counts is None:
+        met = join_grams(wanted, entries, ["key", "back"], "left")
+    else:
+        words = counts.where("n = 1").select(F.col("gram").alias("key"), "cnt")
+        hot = salts_of(words, ["key"], "cnt").withColumn("back", F.explode(F.array(F.lit(True), F.lit(False))))
+        met = lookup_join(wanted, entries, ["key", "back"], how="left", hot=hot)
+    of = lambda i, back: F.max(F.when((F.col("n") == i) & (F.col("back") == F.lit(back)), F.col("v")))
+    cells = [of(i, False).alias(f"p{i}") for i in range(1, max_n + 1)] + [of(i, True).alias(f"a{i}") for i in range(2, max_n + 1)]
+    score = F.coalesce("p1", F.lit(1.0 / max(1, 1000 * vocab)))
+    for i in range(2, max_n + 1):
+        score = F.when(F.size("g") >= i, F.coalesce(f"p{i}", F.coalesce(f"a{i}", F.lit(1.0)) * score)).otherwise(score)
+    return met.groupBy("g").agg(*cells).select(F.col("g").alias(gram), score.alias("p"))
+
+
+def backoff_score(queries: DataFrame, gram: str, model: DataFrame, alphas: DataFrame, vocab: int, max_n: int, counts: DataFrame | None = None) -> DataFrame:
+    """The queries with ``p`` (see score_ngrams): distinct n-grams are scored once. Empty or null n-grams have null."""
+    scored = score_ngrams(queries.select(gram).distinct(), gram, model, alphas, vocab, max_n, counts)
+    return join_grams(queries, scored, [gram], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import has_exclaim, has_number, has_url, message_tokens, ngrams
+from lexispark.operators.ranges import PART_ROWS, range_bounds, range_part, ranked
 
 FLAGS = ("has_url", "has_number", "has_exclaim")
 
@@ -76,16 +77,11 @@ def best_label(scores: DataFrame, key: str) -> DataFrame:
 def position(df: DataFrame, order: list[Column]) -> DataFrame:
     """The rows with ``place`` (from 1) in a total order, without one window over all rows.
 
-    Rows are cut into 256 parts by the first byte of a hash-like first order column; each part is ranked in its own
-    task, and 256 part sizes give the offsets. The first order column must be a hexadecimal string.
+    Rows are cut into 65,536 parts by the first four digits of the first order column, which must be an evenly spread
+    hexadecimal string (a digest); each part is ranked on its own, and the part sizes give the offsets.
     """
-    part = F.conv(F.substring(order[0], 1, 2), 16, 10).cast("int")
-    marked = df.withColumn("__part", part)
-    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return marked.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__before") + rank).drop("__part", "__before")
+    part = F.conv(F.substring(order[0], 1, 4), 16, 10).cast("int")
+    return ranked(df.withColumn("__part", part), "__part", order, "place").drop("__part")
 
 
 def _shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -108,19 +104,16 @@ def split_by_count(df: DataFrame, key: str, held_out: int = 1000, seed: int = 42
     return rows.withColumn("part", F.when(F.col("place") <= size, "test").when(F.col("place") <= 2 * size, "val").otherwise("train")).drop("place", "__n")
 
 
-def k_folds(df: DataFrame, key: str, k: int = 3) -> DataFrame:
+def k_folds(df: DataFrame, key: str, k: int = 3, part_rows: int = PART_ROWS) -> DataFrame:
     """(key, fold): contiguous folds of n/k rows in key order, the last takes the rest.
 
-    Places come from key ranges ranked on their own, offset by one row per range.
+    Places come from ranges at the quantiles of the integer key, ranked on their own and offset by one row per range.
     """
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    marked = df.select(key).withColumn("__part", F.floor(F.col(key) / 100_000))
-    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    placed = marked.join(sizes.select("__part", before.alias("__before")), "__part").withColumn("__place", F.col("__before") + rank - 1)
+    marked = df.select(key).withColumn("__part", range_part(F.col(key), range_bounds(df, key, part_rows)))
+    placed = ranked(marked, "__part", [F.col(key)], "__place")
     size = F.greatest(F.floor(F.col("__n") / k), F.lit(1))
-    return placed.crossJoin(F.broadcast(n)).select(key, F.least(F.floor(F.col("__place") / size), F.lit(k - 1)).cast("int").alias("fold"))
+    return placed.crossJoin(F.broadcast(n)).select(key, F.least(F.floor((F.col("__place") - 1) / size), F.lit(k - 1)).cast("int").alias("fold"))
 
 
 def classification_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

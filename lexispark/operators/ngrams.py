@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams
+from lexispark.operators.ranges import PART_ROWS, range_bounds, range_part
 
 
 def join_grams(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -15,16 +16,23 @@ def join_grams(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def within(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
-    """(gram) rows of all orders inside each row's token array: no shuffle."""
-    return df.select(F.explode(F.flatten(F.array(*[ngrams(F.col(tokens), n) for n in orders]))).alias("gram"))
+    """(gram) rows of all orders inside each row's token array: no shuffle.
+
+    A window of the longest order is cut at every token and its beginnings are the n-grams, so a long text is
+    streamed and never held as all its n-grams at once.
+    """
+    at = F.sequence(F.lit(1), F.size(tokens))
+    windows = df.where(F.size(tokens) > 0).select(F.explode(F.transform(at, lambda i: F.slice(tokens, i, F.lit(max(orders))))).alias("w"))
+    return windows.select(F.explode(F.array(*[F.when(F.size("w") >= n, F.slice("w", 1, n)) for n in orders])).alias("gram")).where("gram IS NOT NULL")
 
 
-def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], bucket_rows: int = 100_000) -> DataFrame:
+def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], part_rows: int = PART_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """(gram) rows that begin in one row and end in a later one, rows taken in the order of their integer key.
 
-    Only the key, the first and the last few tokens of every row move. Rows are cut into key ranges of
-    ``bucket_rows``, each walked in its own window; what follows a range comes from a table of one row per
-    range. Rows without tokens are passed over. Keys must be unique and not null.
+    Only the key, the first and the last few tokens of every row move. Rows are cut into ranges of about ``part_rows``
+    by the quantiles of the key, however its values are spread, and each range is walked in its own window; what follows a
+    range comes from a table of one row per range. Rows without tokens are passed over. Keys must be unique and not null.
+    ``keys`` (a table with the column ``key``) may name where the quantiles are cheaper to read.
     """
     reach = max(orders) - 1
     if reach < 1:
@@ -32,16 +40,16 @@ def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], bucket_row
     ends = (
         df.where(F.col(key).isNotNull() & (F.size(tokens) > 0))
         .select(F.col(key).alias("k"), F.slice(tokens, 1, reach).alias("head"), F.reverse(F.slice(F.reverse(tokens), 1, reach)).alias("tail"))
-        .withColumn("bucket", F.floor(F.col("k") / bucket_rows))
+        .withColumn("part", range_part(F.col("k"), range_bounds(df if keys is None else keys, key, part_rows)))
     )
-    inside = Window.partitionBy("bucket").orderBy("k")
+    inside = Window.partitionBy("part").orderBy("k")
     empty = F.array().cast("array<string>")
     nexts = lambda column, window: F.flatten(F.array(*[F.coalesce(F.lead(column, i).over(window), empty) for i in range(1, reach + 1)]))
     walked = ends.withColumn("after", nexts("head", inside)).withColumn("place", F.row_number().over(inside))
-    starts = walked.where(F.col("place") == 1).select("bucket", F.slice(F.concat("head", "after"), 1, reach).alias("start"))
-    following = starts.select("bucket", nexts("start", Window.orderBy("bucket")).alias("beyond"))
+    starts = walked.where(F.col("place") == 1).select("part", F.slice(F.concat("head", "after"), 1, reach).alias("start"))
+    following = starts.select("part", nexts("start", Window.orderBy("part")).alias("beyond"))
     halo = F.slice(F.concat("after", "beyond"), 1, reach)
-    joined = walked.join(following, "bucket").select("tail", halo.alias("halo"))
+    joined = walked.join(F.broadcast(following), "part").select("tail", halo.alias("halo"))
     own = []
     for n in orders:
         if n > 1:
@@ -49,14 +57,14 @@ def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], bucket_row
     return joined.select(F.explode(F.flatten(F.array(*own))).alias("gram"))
 
 
-def ngram_counts(df: DataFrame, key: str, tokens: str, orders: list[int], boundary: str = "row") -> DataFrame:
+def ngram_counts(df: DataFrame, key: str, tokens: str, orders: list[int], boundary: str = "row", keys: DataFrame | None = None) -> DataFrame:
     """(n, gram, cnt) of all orders in one aggregation, counted map-side first.
 
     boundary='row' keeps to each token array; 'corpus' treats all rows, ordered by ``key``, as one text.
     """
     grams = within(df, tokens, orders)
     if boundary == "corpus":
-        grams = grams.unionByName(crossing(df, key, tokens, orders))
+        grams = grams.unionByName(crossing(df, key, tokens, orders, keys=keys))
     elif boundary != "row":
         raise ValueError(f"unknown boundary {boundary!r}: 'row' or 'corpus'")
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")).select(F.size("gram").alias("n"), "gram", "cnt")

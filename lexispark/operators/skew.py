@@ -20,19 +20,33 @@ def hot_keys(counts: DataFrame, key: str, count: str, parts: int = HOT_PARTS) ->
     return counts.join(F.broadcast(total), F.col(count) * F.lit(parts) >= F.col("__total")).select(key, count)
 
 
-def lookup_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def salts_of(values: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """(keys, __salts) of the keys that own at least 1/HOT_PARTS of the summed ``weight``: share times HOT_PARTS, rounded up."""
+    total = values.agg(F.sum(weight).alias("__total"))
+    salts = F.greatest(F.ceil(F.col(weight) * F.lit(HOT_PARTS) / F.col("__total")).cast("int"), F.lit(1))
+    return values.join(F.broadcast(total), F.col(weight) * F.lit(HOT_PARTS) >= F.col("__total")).select(*keys, salts.alias("__salts"))
+
+
+def lookup_join(rows: DataFrame, values: DataFrame, key: str | Sequence[str], weight: str | None = None, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` to ``values`` (one row per ``key``) without sending a hot key to one task.
 
-    ``values.weight`` says how often a key is expected among the rows. Hot keys (see hot_keys) are
-    served from a broadcast of at most HOT_PARTS rows; all others go through a shuffled join.
-    Null keys match nothing. Both halves together return what a plain join would.
+    ``values.weight`` says how often a key is expected among the rows (or ``hot``, as salts_of gives it). A key that owns a
+    share of the weight is parted into as many salts (share times HOT_PARTS, rounded up): its rows take one by a hash of their
+    other columns, its value is repeated for all, so at most 2 * HOT_PARTS rows are added. Each side is read and shuffled once. The
+    table of hot keys has at most HOT_PARTS rows and is broadcast. how is 'inner' or 'left'; null keys match
+    nothing. Joins on arrays are led by a hash of them, so that sorting compares numbers.
     """
-    hot = hot_keys(values.select(key, weight), key, weight).select(F.col(key), F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    warm = marked.where(F.col("__hot")).drop("__hot")
-    cold = marked.where(F.col("__hot").isNull()).drop("__hot")
-    hot_values = values.join(F.broadcast(hot), key, "inner").drop("__hot")
-    return warm.join(F.broadcast(hot_values), key, "inner").unionByName(cold.join(values, key, how))
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = F.broadcast(salts_of(values, keys, weight) if hot is None else hot)
+    own = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    salted = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(F.lit(7), *own), F.col("__salts"))).otherwise(0).cast("int"))
+    spread = values.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    lead = [c for c, kind in values.dtypes if c in keys and kind.startswith("array")]
+    on = [*keys, "__salt"]
+    if lead:
+        salted, spread = salted.withColumn("__h", F.xxhash64(*lead)), spread.withColumn("__h", F.xxhash64(*lead))
+        on = ["__h", *on]
+    return salted.drop("__salts").join(spread.drop("__salts"), on, how).drop("__salt", "__h")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str, rows_per_salt: int = 20_000, parts: int = HOT_PARTS) -> DataFrame:

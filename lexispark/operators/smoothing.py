@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import ngrams
 from lexispark.operators.ngrams import join_grams
+from lexispark.operators.skew import lookup_join
 
 #: ln of the smallest positive double: a product below it would be 0.
 UNDERFLOW = -745.0
@@ -18,25 +18,38 @@ def totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("types")).crossJoin(F.broadcast(vocab))
 
 
-def additive(counts: DataFrame, k: float = 0.5) -> DataFrame:
-    """(n, gram, cnt, method, p) for add_one, add_k and token_type: joint probabilities of the n-grams seen.
+METHODS = ("add_one", "add_k", "token_type")
+
+
+def additive_wide(counts: DataFrame, k: float = 0.5) -> DataFrame:
+    """(n, gram, cnt, add_one, add_k, token_type): joint probabilities of the n-grams seen, no shuffle of the n-grams.
 
     The vocabulary is the one of tokens for every order.
     """
     c = counts.join(F.broadcast(totals(counts)), "n")
-    base = c.select(
+    return c.select(
         "n", "gram", "cnt",
         ((F.col("cnt") + 1) / (F.col("total") + F.col("vocab"))).alias("add_one"),
         ((F.col("cnt") + F.lit(k)) / (F.col("total") + F.lit(k) * F.col("vocab"))).alias("add_k"),
         (F.lit(1.0) / F.col("types")).alias("token_type"),
     )
-    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("p")) for m in ("add_one", "add_k", "token_type")])
-    return base.select("n", "gram", "cnt", F.explode(methods).alias("x")).select("n", "gram", "cnt", "x.method", "x.p")
+
+
+def additive(counts: DataFrame, k: float = 0.5) -> DataFrame:
+    """(n, gram, cnt, method, p): additive_wide with a row per method."""
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("p")) for m in METHODS])
+    return additive_wide(counts, k).select("n", "gram", "cnt", F.explode(methods).alias("x")).select("n", "gram", "cnt", "x.method", "x.p")
+
+
+def summary_report(counts: DataFrame) -> DataFrame:
+    """(n, tokens, total_unique_ngrams, vocab_size, techniques): what was counted and smoothed, a row per order."""
+    techniques = F.array(*[F.lit(m) for m in METHODS])
+    return totals(counts).select("n", F.col("total").alias("tokens"), F.col("types").alias("total_unique_ngrams"), F.col("vocab").alias("vocab_size"), F.array_join(techniques, ", ").alias("techniques"))
 
 
 def select_model(smoothed: DataFrame, n: int, method: str) -> DataFrame:
     """The table of one order and method; unknown names are an error, not an empty table."""
-    if method not in ("add_one", "add_k", "token_type"):
+    if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if n not in (1, 2, 3, 4):
         raise ValueError(f"unknown order {n}")
@@ -44,24 +57,32 @@ def select_model(smoothed: DataFrame, n: int, method: str) -> DataFrame:
 
 
 def sentence_grams(sentences: DataFrame, key: str, tokens: str, orders: list[int]) -> DataFrame:
-    """(key, n, place, gram) inside every sentence."""
-    def of(n: int) -> Column:
-        return F.transform(ngrams(F.col(tokens), n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("place"), g.alias("gram")))
-
-    per = F.flatten(F.array(*[of(n) for n in orders]))
-    return sentences.select(key, F.explode(per).alias("x")).select(key, "x.n", "x.place", "x.gram")
+    """(key, n, place, gram) inside every sentence, cut from windows of the longest order."""
+    at = F.sequence(F.lit(1), F.size(tokens))
+    windows = sentences.where(F.size(tokens) >= min(orders)).select(key, F.posexplode(F.transform(at, lambda i: F.slice(tokens, i, F.lit(max(orders))))).alias("place", "w"))
+    cells = F.array(*[F.when(F.size("w") >= n, F.struct(F.lit(n).alias("n"), F.slice("w", 1, n).alias("gram"))) for n in orders])
+    return windows.select(key, "place", F.explode(cells).alias("x")).where("x IS NOT NULL").select(key, "x.n", "place", "x.gram")
 
 
-def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFrame, orders: list[int], unseen: Column | float, floor: float | None = None) -> DataFrame:
-    """(key, n, grams, log_p): the summed ln p of a sentence's n-grams; none for sentences shorter than n.
+def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFrame, orders: list[int], values: dict[str, Column], short: float | None = None, weight: str | None = None) -> DataFrame:
+    """(key, n, token_count, grams, one ln p per value) of every sentence with tokens and every order.
 
-    ``model``: n, gram, p. ``unseen`` is the probability of n-grams without a row; with ``floor`` smaller ones are
-    raised to it.
+    ``model`` (n, gram, ...) meets the n-grams in one left join; each of ``values`` is the probability of one n-gram, as an
+    expression of the model's columns (null for n-grams not in it), and is multiplied over the sentence. A sentence shorter
+    than n has ln ``short``, or null (probability 0) without it. ``weight`` is the model's column by which
+    frequent n-grams are parted.
     """
-    p = F.coalesce(F.col("p"), unseen if isinstance(unseen, Column) else F.lit(unseen))
-    p = F.greatest(p, F.lit(floor)) if floor is not None else p
-    rows = join_grams(sentence_grams(sentences, key, tokens, orders), model, ["gram", "n"], "left")
-    return rows.groupBy(key, "n").agg(F.count(F.lit(1)).alias("grams"), F.sum(F.ln(p)).alias("log_p"))
+    filled = sentences.where(F.size(tokens) > 0)
+    grams = sentence_grams(filled, key, tokens, orders)
+    rows = join_grams(grams, model, ["gram", "n"], "left") if weight is None else lookup_join(grams, model, ["gram", "n"], weight, "left")
+    sums = rows.groupBy(key, "n").agg(F.count(F.lit(1)).alias("grams"), *[F.sum(F.ln(p)).alias(name) for name, p in values.items()])
+    # sentences shorter than n have no n-gram: they are known without a join
+    size = F.size(tokens)
+    lacking = filled.select(key, size.alias("token_count"), F.explode(F.filter(F.array(*[F.lit(n) for n in orders]), lambda n: n > size)).alias("n"))
+    none = F.lit(None).cast("double") if short is None else F.ln(F.lit(short))
+    first = F.col("n") + F.col("grams") - 1
+    whole = sums.select(key, "n", first.cast("int").alias("token_count"), "grams", *values)
+    return whole.unionByName(lacking.select(key, "n", "token_count", F.lit(0).cast("long").alias("grams"), *[none.alias(v) for v in values]))
 
 
 def good_turing_counts(nc: DataFrame, threshold: int = 100) -> DataFrame:
@@ -105,18 +126,29 @@ def good_turing_table(counts: DataFrame, rows: int = 99) -> DataFrame:
     return zero.unionByName(seen)
 
 
-def perplexity(scores: DataFrame) -> DataFrame:
-    """(n, sentences, valid, avg_log_p, perplexity) per order; products that underflow are left out, as is their mean."""
+def perplexity(scores: DataFrame, by: str = "n") -> DataFrame:
+    """(by, sentences, valid, avg_log_p, perplexity): exp of minus the mean ln p per sentence, to 7 digits.
+
+    Sentences whose product underflows or is 0 (null) are left out of the mean. A mean below -709 has infinite perplexity.
+    """
     ok = F.when(F.col("log_p") >= UNDERFLOW, F.col("log_p"))
-    return scores.groupBy("n").agg(F.count(F.lit(1)).alias("sentences"), F.count(ok).alias("valid"), F.avg(ok).alias("avg_log_p")).withColumn("perplexity", F.exp(-F.col("avg_log_p")))
+    means = scores.groupBy(by).agg(F.count(F.lit(1)).alias("sentences"), F.count(ok).alias("valid"), F.avg(ok).alias("avg_log_p"))
+    return means.withColumn("perplexity", significant(F.exp(-F.col("avg_log_p"))))
+
+
+def significant(x: Column, digits: int = 6) -> Column:
+    """The number to ``digits`` + 1 significant digits."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}e", x).cast("double"))
 
 
-def quad_probabilities(sentences: DataFrame, key: str, tokens: str, model: DataFrame, unseen: DataFrame) -> DataFrame:
+def quad_probabilities(sentences: DataFrame, key: str, tokens: str, model: DataFrame, unseen: DataFrame, weight: str | None = None) -> DataFrame:
     """(key, place, p1..p4) of every 4-gram: the probabilities of its last 1, 2, 3 and 4 words. Short sentences have none."""
     quads = sentence_grams(sentences, key, tokens, [4]).select(key, "place", "gram")
     parts = quads.select(key, "place", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("n"), F.slice("gram", F.lit(5) - n, n).alias("gram")))).alias("x"))
-    scored = join_grams(parts.select(key, "place", "x.n", "x.gram"), model.select("n", "gram", "p"), ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
+    parts = parts.select(key, "place", "x.n", "x.gram")
+    met = join_grams(parts, model.select("n", "gram", "p"), ["gram", "n"], "left") if weight is None else lookup_join(parts, model.select("n", "gram", "p", weight), ["gram", "n"], weight, "left")
     p = F.coalesce("p", "p_unseen")
+    scored = met.join(F.broadcast(unseen.select("n", "p_unseen")), "n")
     return scored.groupBy(key, "place").agg(*[F.max(F.when(F.col("n") == i, p)).alias(f"p{i}") for i in (1, 2, 3, 4)])
 
 
@@ -147,13 +179,16 @@ def lambda_analysis(weights: tuple[float, ...]) -> dict[str, float]:
     import math
 
     best = max(range(4), key=lambda i: weights[i])
-    return {**{f"share_{i + 1}": 100 * w for i, w in enumerate(weights)}, "strongest": best + 1, "entropy": -sum(w * math.log(w + 1e-10) for w in weights)}
+    return {**{f"share_{i + 1}": 100 * w for i, w in enumerate(weights)}, "strongest": best + 1, "entropy": -sum(w * math.log(w + 1e-10) for w in weights if w > 0)}
 
 
-def compare_models(means: DataFrame) -> DataFrame:
-    """(model, avg_log_p, improvement, best): by how many percent the best model's perplexity is below each model's.
+def compare_models(results: DataFrame, mixture: str = "mixed") -> DataFrame:
+    """(model, sentences, valid, avg_log_p, perplexity, best, improvement) from perplexity(by='model').
 
-    ``means``: model, avg_log_p. Models without a valid text have null; of equal means the smaller name is best.
+    best is the single model of least perplexity (of equal ones the smaller name); improvement, in the mixture's row
+    only, is by how many percent the mixture's perplexity is below that. Models without a valid sentence can't be best.
     """
-    top = means.where("avg_log_p IS NOT NULL").agg(F.max("avg_log_p").alias("top"), F.min(F.struct((-F.col("avg_log_p")).alias("k"), "model"))["model"].alias("best"))
-    return means.crossJoin(F.broadcast(top)).select("model", "avg_log_p", (F.lit(100.0) * (F.lit(1.0) - F.exp(F.col("avg_log_p") - F.col("top")))).alias("improvement"), "best")
+    single = results.where((F.col("model") != mixture) & F.col("avg_log_p").isNotNull())
+    top = single.agg(F.max("avg_log_p").alias("top"), F.min(F.struct((-F.col("avg_log_p")).alias("k"), "model"))["model"].alias("best"))
+    gain = F.when(F.col("model") == mixture, F.lit(100.0) * (F.lit(1.0) - F.exp(F.col("top") - F.col("avg_log_p"))))
+    return results.crossJoin(F.broadcast(top)).select("model", "sentences", "valid", "avg_log_p", "perplexity", "best", gain.alias("improvement"))

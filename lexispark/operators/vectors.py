@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators.ranges import PART_ROWS, range_bounds, range_part, ranked
+
 
 def bigram_pmi(pairs: DataFrame, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
     """pairs (w1, w2, ...) with counts and pmi = ln((c12/N2) / ((c1/N1)(c2/N1))); null where a count is missing or 0.
@@ -40,17 +42,15 @@ def tf_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return tf.join(idf.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("value"))
 
 
-def first_seen_vocabulary(docs: DataFrame, key: str, tokens: str) -> DataFrame:
+def first_seen_vocabulary(docs: DataFrame, key: str, tokens: str, part_rows: int = PART_ROWS) -> DataFrame:
     """(term, term_id): ids in the order in which terms first appear.
 
-    Terms are ranked within ranges of the key, and ranges are offset by the running number of terms, so no window holds all terms.
+    Terms are ranked within ranges cut at the quantiles of the key, and ranges are offset by the running number of terms, so no
+    window holds all terms, however the keys are spread.
     """
     first = docs.select(key, F.posexplode(tokens).alias("pos", "term")).groupBy("term").agg(F.min(F.struct(F.col(key).alias("k"), "pos")).alias("at"))
-    bucketed = first.select("term", "at", F.floor(F.col("at.k") / 10_000).alias("bucket"))
-    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("at"))
-    return bucketed.join(sizes.select("bucket", before.alias("before")), "bucket").select("term", (F.col("before") + rank - 1).alias("term_id"))
+    parted = first.withColumn("part", range_part(F.col("at.k"), range_bounds(docs, key, part_rows)))
+    return ranked(parted, "part", [F.col("at")], "place").select("term", (F.col("place") - 1).alias("term_id"))
 
 
 def normalised(vectors: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import blank_tokens
 from lexispark.operators import backoff, generate, ngrams, smoothing
 from lexispark.plans.registry import query
-from lexispark.session import checkpointed
+from lexispark.session import stored
 from lexispark.sources.tables import latest_once_wide, table
 
 ORDERS = [1, 2, 3, 4]
@@ -38,7 +38,14 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.ngram_counts(passages(spark, d).where("split_name = 'train'"), "sent_id", "toks", ORDERS, "corpus")
+    """(n, gram, cnt) of the train split taken as one text."""
+    keys = table(spark, d, "application").select("sent_id")
+    return ngrams.ngram_counts(passages(spark, d).where("split_name = 'train'"), "sent_id", "toks", ORDERS, "corpus", keys)
+
+
+def kept_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts as a stored table, for queries that read them more than once."""
+    return stored(counts(spark, d))
 
 
 def tests(spark: SparkSession, d: str, split: str = "test") -> DataFrame:
@@ -92,7 +99,7 @@ def ngram_vocab(spark: SparkSession, d: str) -> DataFrame:
  FROM g LEFT JOIN g h ON h.gram = g.gram[1:g.n - 1]"""
 )
 def ngram_mle(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shown(ngrams.mle(counts(spark, d))), "p")
+    return rounded(shown(ngrams.mle(kept_counts(spark, d))), "p")
 
 
 @query(f"{_G} SELECT n, {_J}, cnt FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, array_to_string(gram, ' ')) AS k FROM g) WHERE k <= 10")
@@ -125,7 +132,7 @@ _ADD = f"""{_TOT}, sm AS (SELECT n, gram, cnt, unnest(['add_one', 'add_k', 'toke
 def _smoothed(method: str):
     @query(f"{_G}, {_ADD} SELECT n, {_J}, cnt, round(p, 9) AS p FROM sm WHERE method = '{method}'")
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return rounded(shown(smoothing.additive(counts(spark, d)).where(F.col("method") == method)), "p").drop("method")
+        return rounded(shown(smoothing.additive_wide(kept_counts(spark, d)).select("n", "gram", "cnt", F.col(method).alias("p"))), "p")
 
     return f
 
@@ -150,60 +157,83 @@ def smoothing_comparison(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("n").orderBy(F.col("cnt").desc(), F.array_join("gram", " ")))
-    top = counts(spark, d)
-    best = top.withColumn("k", k).where("k <= 10").drop("k")
-    tot = F.broadcast(smoothing.totals(top))
-    j = best.join(tot, "n").select(
-        "n", "gram", "cnt", ((F.col("cnt") + 1) / (F.col("total") + F.col("vocab"))).alias("add_one"), ((F.col("cnt") + 0.5) / (F.col("total") + 0.5 * F.col("vocab"))).alias("add_k"), (F.lit(1.0) / F.col("types")).alias("token_type")
-    )
-    return rounded(shown(j), "add_one", "add_k", "token_type")
+    best = smoothing.additive_wide(kept_counts(spark, d)).withColumn("k", k).where("k <= 10").drop("k")
+    return rounded(shown(best), *smoothing.METHODS)
 
 
-@query(
-    f"""{_G}, {_ADD}, {_TEST}, m AS (SELECT unnest(['add_one', 'add_k', 'token_type']) AS method)
-SELECT sent_id, tg.n, m.method, count(*) AS grams, round(sum(ln(coalesce(p, 1e-10))), 6) AS log_p FROM tg CROSS JOIN m LEFT JOIN sm ON sm.gram = tg.gram AND sm.method = m.method GROUP BY ALL"""
-)
+@query(f"{_G}, {_ADD} SELECT n, round(p, 9) AS p, {_J}, cnt FROM sm WHERE method = 'add_k' AND n = 2")
+def select_model(spark: SparkSession, d: str) -> DataFrame:
+    """The table of one order and one method, picked by name."""
+    return rounded(shown(smoothing.select_model(smoothing.additive(kept_counts(spark, d)), 2, "add_k").drop("method")), "p")
+
+
+@query(f"{_G}, {_TOT} SELECT n, total AS tokens, types AS total_unique_ngrams, vocab AS vocab_size, 'add_one, add_k, token_type' AS techniques FROM tot")
+def smoothing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return smoothing.summary_report(kept_counts(spark, d))
+
+
+# every test passage with words and every order: ln p, null where the passage has no n-gram of the order
+_ALL = "al AS (SELECT sent_id, len(toks) AS token_count, n FROM app, unnest([1, 2, 3, 4]) AS o(n) WHERE split_name = 'test' AND len(toks) > 0), m AS (SELECT unnest(['add_one', 'add_k', 'token_type']) AS method)"
+
+
+def _scores_sql(unseen: str) -> str:
+    return f"""{_G}, {_ADD}, {_TEST}, {_ALL},
+ sc AS (SELECT sent_id, tg.n, m.method, count(*) AS grams, sum(ln(coalesce(p, {unseen}))) AS log_p FROM tg JOIN tot USING (n) CROSS JOIN m LEFT JOIN sm ON sm.gram = tg.gram AND sm.method = m.method GROUP BY ALL),
+ x AS (SELECT al.sent_id, al.n, m.method, token_count, coalesce(grams, 0) AS grams, log_p FROM al CROSS JOIN m LEFT JOIN sc ON sc.sent_id = al.sent_id AND sc.n = al.n AND sc.method = m.method)"""
+
+
+def _scores(spark: SparkSession, d: str, floor: bool) -> DataFrame:
+    """(sent_id, n, token_count, grams, add_one, add_k, token_type): ln p of the test passages under every order and method."""
+    c = kept_counts(spark, d)
+    values = {m: F.coalesce(F.col(m), F.lit(1e-10)) for m in smoothing.METHODS}
+    model = smoothing.additive_wide(c)
+    if floor:
+        return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, values, weight="cnt")
+    unseen = {r.n: 1.0 / (r.total + r.vocab) for r in smoothing.totals(c).collect()}  # one number per order
+    u = F.lit(None).cast("double")
+    for n, p in unseen.items():
+        u = F.when(F.col("n") == n, F.lit(p)).otherwise(u)
+    return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, {m: F.coalesce(F.col(m), u) for m in smoothing.METHODS}, weight="cnt")
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.round(m, 6).alias("log_p")) for m in smoothing.METHODS])
+    return wide.select("sent_id", "n", "token_count", "grams", F.explode(cells).alias("x")).select("sent_id", "n", "token_count", "grams", "x.method", "x.log_p")
+
+
+@query(f"{_scores_sql('1e-10')} SELECT sent_id, n, method, token_count::INT AS token_count, grams, round(log_p, 6) AS log_p FROM x")
 def sentence_score_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """ln of the probability of every test passage under each order and method; unseen n-grams have 1e-10."""
-    return _matrix(spark, d)
+    """ln of the probability of every test passage under each order and method; unseen n-grams have 1e-10, passages without n-grams null."""
+    return _long(_scores(spark, d, True))
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    methods = ("add_one", "add_k", "token_type")
-    wide = smoothing.additive(counts(spark, d)).groupBy("n", "gram").agg(*[F.max(F.when(F.col("method") == m, F.col("p"))).alias(m) for m in methods])
-    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), wide, ["gram", "n"], "left")
-    sums = rows.groupBy("sent_id", "n").agg(F.count(F.lit(1)).alias("grams"), *[F.round(F.sum(F.ln(F.coalesce(m, F.lit(1e-10)))), 6).alias(m) for m in methods])
-    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("log_p")) for m in methods])
-    return sums.select("sent_id", "n", "grams", F.explode(cells).alias("x")).select("sent_id", "n", "grams", "x.method", "x.log_p")
+@query(
+    f"{_scores_sql('1e-10')} SELECT sent_id, any_value(token_count)::INT AS token_count, "
+    + ", ".join(f"coalesce(printf('%.6e', exp(max(log_p) FILTER (n = {n} AND method = '{m}')))::DOUBLE, 0) AS \"{n}gram_{m}\"" for n in ORDERS for m in smoothing.METHODS)
+    + " FROM x GROUP BY sent_id"
+)
+def sentence_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
+    """A row per test passage: its tokens and a probability per order and method, to 7 digits; 0 where it has no n-gram or the product underflows."""
+    cell = lambda n, m: F.coalesce(smoothing.significant(F.exp(F.max(F.when(F.col("n") == n, F.col(m))))), F.lit(0.0)).alias(f"{n}gram_{m}")
+    return _scores(spark, d, True).groupBy("sent_id").agg(F.max("token_count").alias("token_count"), *[cell(n, m) for n in ORDERS for m in smoothing.METHODS])
 
 
 @query(
-    f"""{_G}, {_ADD}, {_TEST}, m AS (SELECT unnest(['add_one', 'add_k', 'token_type']) AS method),
- x AS (SELECT sent_id, tg.n, m.method, round(sum(ln(coalesce(p, 1e-10))), 6) AS log_p FROM tg CROSS JOIN m LEFT JOIN sm ON sm.gram = tg.gram AND sm.method = m.method GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY n, method ORDER BY log_p DESC, sent_id) AS a, row_number() OVER (PARTITION BY n, method ORDER BY log_p, sent_id) AS b FROM x)
+    f"""{_scores_sql('1e-10')}, rd AS (SELECT sent_id, n, method, round(log_p, 6) AS log_p FROM x WHERE log_p IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n, method ORDER BY log_p DESC, sent_id) AS a, row_number() OVER (PARTITION BY n, method ORDER BY log_p, sent_id) AS b FROM rd)
 SELECT n, method, max(sent_id) FILTER (a = 1) AS likeliest, max(sent_id) FILTER (b = 1) AS unlikeliest FROM r GROUP BY n, method"""
 )
 def extreme_sentences(spark: SparkSession, d: str) -> DataFrame:
-    x = _matrix(spark, d)
+    x = _long(_scores(spark, d, True)).where("log_p IS NOT NULL")
     return x.groupBy("n", "method").agg(F.max(F.struct("log_p", (-F.col("sent_id")).alias("i"))).alias("a"), F.min(F.struct("log_p", "sent_id")).alias("b")).select(
         "n", "method", (-F.col("a.i")).alias("likeliest"), F.col("b.sent_id").alias("unlikeliest")
     )
 
 
-@query(
-    f"""{_G}, {_ADD}, {_TEST}, m AS (SELECT unnest(['add_one', 'add_k', 'token_type']) AS method)
-SELECT sent_id, tg.n, m.method, round(sum(ln(coalesce(p, 1.0 / (total + vocab)))), 6) AS log_p FROM tg JOIN tot USING (n) CROSS JOIN m LEFT JOIN sm ON sm.gram = tg.gram AND sm.method = m.method GROUP BY ALL"""
-)
+@query(f"{_scores_sql('1.0 / (total + vocab)')} SELECT sent_id, n, method, token_count::INT AS token_count, grams, round(log_p, 6) AS log_p FROM x")
 def sentence_probability_smoothed(spark: SparkSession, d: str) -> DataFrame:
     """As sentence_score_matrix, but an unseen n-gram has 1/(tokens + vocabulary) under every method."""
-    c = counts(spark, d)
-    methods = ("add_one", "add_k", "token_type")
-    wide = smoothing.additive(c).groupBy("n", "gram").agg(*[F.max(F.when(F.col("method") == m, F.col("p"))).alias(m) for m in methods])
-    tot = smoothing.totals(c).select("n", (F.lit(1.0) / (F.col("total") + F.col("vocab"))).alias("u"))
-    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), wide, ["gram", "n"], "left").join(F.broadcast(tot), "n")
-    sums = rows.groupBy("sent_id", "n").agg(*[F.round(F.sum(F.ln(F.coalesce(m, "u"))), 6).alias(m) for m in methods])
-    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("log_p")) for m in methods])
-    return sums.select("sent_id", "n", F.explode(cells).alias("x")).select("sent_id", "n", "x.method", "x.log_p")
+    return _long(_scores(spark, d, False))
 
 
 @query(
@@ -211,46 +241,72 @@ def sentence_probability_smoothed(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT n, cnt, nc, round(c_star, 9) FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt) AS k FROM star) WHERE k <= 99"""
 )
 def good_turing_table(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(smoothing.good_turing_table(counts(spark, d)), "c_star")
+    return rounded(smoothing.good_turing_table(kept_counts(spark, d)), "c_star")
 
 
 @query(f"{_G}, {_GT} SELECT n, {_J}, cnt, round(p, 9) AS p FROM gt")
 def good_turing_prob(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shown(smoothing.good_turing(counts(spark, d))[0]), "p")
+    return rounded(shown(smoothing.good_turing(kept_counts(spark, d))[0]), "p")
+
+
+def _gts(split: str) -> str:
+    """Good-Turing scores of the passages with words; those shorter than n have 1e-10."""
+    return f"""{_TEST.replace("'test'", f"'{split}'")}, sg AS (SELECT sent_id, tg.n, sum(ln(greatest(coalesce(gt.p, p_unseen), 1e-10))) AS log_p FROM tg JOIN un USING (n) LEFT JOIN gt ON gt.gram = tg.gram GROUP BY ALL),
+ sc AS (SELECT a.sent_id, o.n, coalesce(log_p, ln(1e-10)) AS log_p FROM app a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) o LEFT JOIN sg ON sg.sent_id = a.sent_id AND sg.n = o.n WHERE split_name = '{split}' AND len(toks) > 0)"""
 
 
-_GTS = f"""{_GT}, {_TEST}, sc AS (SELECT sent_id, tg.n, sum(ln(greatest(coalesce(gt.p, p_unseen), 1e-10))) AS log_p FROM tg JOIN un USING (n) LEFT JOIN gt ON gt.gram = tg.gram GROUP BY ALL)"""
+def _perplexity_sql(by: str, source: str) -> str:
+    """An exponent over 709 has no double: the perplexity is infinite."""
+    a = "avg(log_p) FILTER (log_p >= -745)"
+    return f"SELECT {by}, count(*) AS sentences, count(*) FILTER (log_p >= -745) AS valid, {a} AS a, CASE WHEN -{a} > 709.78 THEN 'inf'::DOUBLE ELSE printf('%.6e', exp(-{a}))::DOUBLE END AS perplexity FROM {source} GROUP BY {by}"
+
+
+def _gt_log_p(sentences: DataFrame, model: DataFrame, unseen: DataFrame) -> DataFrame:
+    p_unseen = F.lit(None).cast("double")
+    for r in unseen.collect():  # one row per order
+        p_unseen = F.when(F.col("n") == r.n, F.lit(r.p_unseen)).otherwise(p_unseen)
+    value = F.greatest(F.coalesce("p", p_unseen), F.lit(1e-10))
+    return smoothing.score_sentences(sentences, "sent_id", "toks", model, ORDERS, {"log_p": value}, short=1e-10, weight="cnt")
 
 
 def _gt_scores(spark: SparkSession, d: str) -> DataFrame:
-    model, unseen = smoothing.good_turing(counts(spark, d))
-    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d), "sent_id", "toks", ORDERS), model, ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
-    return rows.groupBy("sent_id", "n").agg(F.sum(F.ln(F.greatest(F.coalesce("p", "p_unseen"), F.lit(1e-10)))).alias("log_p"))
+    return _gt_log_p(tests(spark, d), *smoothing.good_turing(kept_counts(spark, d)))
 
 
-@query(f"{_G}, {_GTS} SELECT sent_id, n, round(log_p, 6) AS log_p FROM sc")
+@query(f"{_G}, {_GT}, {_gts('test')} SELECT sent_id, n::INT AS n, round(log_p, 6) AS log_p FROM sc")
 def gt_sentence_prob(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_gt_scores(spark, d), "log_p", places=6)
+    return rounded(_gt_scores(spark, d).select("sent_id", "n", "log_p"), "log_p", places=6)
 
 
-@query(f"{_G}, {_GTS} SELECT n, count(*) AS sentences, count(*) FILTER (log_p >= -745) AS valid, round(avg(log_p) FILTER (log_p >= -745), 6) AS avg_log_p FROM sc GROUP BY n")
+@query(f"{_G}, {_GT}, {_gts('test')} SELECT n::INT AS n, sentences, valid, round(a, 6) AS avg_log_p, perplexity FROM ({_perplexity_sql('n', 'sc')})")
 def gt_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(smoothing.perplexity(_gt_scores(spark, d)), "avg_log_p", places=6).drop("perplexity")
+    return rounded(smoothing.perplexity(_gt_scores(spark, d)), "avg_log_p", places=6)
+
+
+def _quads_sql(split: str, mark: str = "") -> str:
+    return f"""qg{mark} AS (SELECT sent_id, i AS place, toks[i + 1:i + 4] AS gram FROM app, unnest(range(greatest(0, len(toks) - 3))) AS u(i) WHERE split_name = '{split}'),
+ qs{mark} AS (SELECT sent_id, place, k.n, coalesce(gt.p, p_unseen) AS p FROM qg{mark} q CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) k JOIN un ON un.n = k.n LEFT JOIN gt ON gt.gram = q.gram[5 - k.n:4]),
+ q4{mark} AS (SELECT sent_id, place, max(p) FILTER (n = 1) AS p1, max(p) FILTER (n = 2) AS p2, max(p) FILTER (n = 3) AS p3, max(p) FILTER (n = 4) AS p4 FROM qs{mark} GROUP BY ALL)"""
+
+
+_QUADS = f"{_GT}, {_quads_sql('val')}"
 
 
-_QUADS = f"""{_GT}, qg AS (SELECT sent_id, i AS place, toks[i + 1:i + 4] AS gram FROM app, unnest(range(greatest(0, len(toks) - 3))) AS u(i) WHERE split_name = 'val'),
- qs AS (SELECT sent_id, place, k.n, coalesce(gt.p, p_unseen) AS p FROM qg CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) k JOIN un ON un.n = k.n LEFT JOIN gt ON gt.gram = qg.gram[5 - k.n:4]),
- q4 AS (SELECT sent_id, place, max(p) FILTER (n = 1) AS p1, max(p) FILTER (n = 2) AS p2, max(p) FILTER (n = 3) AS p3, max(p) FILTER (n = 4) AS p4 FROM qs GROUP BY ALL)"""
+def _quads(spark: SparkSession, d: str, model: DataFrame, unseen: DataFrame, split: str = "val") -> DataFrame:
+    return smoothing.quad_probabilities(tests(spark, d, split), "sent_id", "toks", model, unseen, weight="cnt")
 
 
-def _quads(spark: SparkSession, d: str) -> DataFrame:
-    model, unseen = smoothing.good_turing(counts(spark, d))
-    return smoothing.quad_probabilities(tests(spark, d, "val"), "sent_id", "toks", model, unseen)
+def _val_quads(spark: SparkSession, d: str) -> DataFrame:
+    return _quads(spark, d, *smoothing.good_turing(kept_counts(spark, d)))
+
+
+def _mixed_log_p(quads: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    return quads.groupBy("sent_id").agg(F.sum(F.ln(F.greatest(smoothing.interpolated(weights), F.lit(1e-10)))).alias("log_p"))
 
 
 @query(f"{_G}, {_QUADS} SELECT sent_id, round(sum(ln(greatest(0.1 * p1 + 0.2 * p2 + 0.3 * p3 + 0.4 * p4, 1e-10))), 6) AS log_p FROM q4 GROUP BY sent_id")
 def interp_prob_fixed_lambda(spark: SparkSession, d: str) -> DataFrame:
-    return _quads(spark, d).groupBy("sent_id").agg(F.round(F.sum(F.ln(F.greatest(smoothing.interpolated(LAMBDAS), F.lit(1e-10)))), 6).alias("log_p"))
+    return rounded(_mixed_log_p(_val_quads(spark, d), LAMBDAS), "log_p", places=6)
 
 
 _EM = " UNION ALL ".join(
@@ -263,13 +319,27 @@ _STEPS = ", ".join(
 )
 
 
-@query(f"{_G}, {_QUADS}, e0 AS (SELECT 0.25 AS l1, 0.25 AS l2, 0.25 AS l3, 0.25 AS l4), {_STEPS} SELECT iteration, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(l4, 6) AS l4 FROM ({_EM})")
+_E0 = "e0 AS (SELECT 0.25 AS l1, 0.25 AS l2, 0.25 AS l3, 0.25 AS l4)"
+
+
+@query(f"{_G}, {_QUADS}, {_E0}, {_STEPS} SELECT iteration, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3, round(l4, 6) AS l4 FROM ({_EM})")
 def em_lambdas(spark: SparkSession, d: str) -> DataFrame:
-    trail = smoothing.optimise_lambdas(checkpointed(_quads(spark, d)))
+    trail = smoothing.optimise_lambdas(stored(_val_quads(spark, d).select("p1", "p2", "p3", "p4")))
     rows = [(i + 1, *(float(round(x, 6)) for x in w)) for i, w in enumerate(trail)]
     return spark.createDataFrame(rows, "iteration int, l1 double, l2 double, l3 double, l4 double")
 
 
+@query(
+    f"""{_G}, {_QUADS}, {_E0}, {_STEPS}, w AS (SELECT unnest([1, 2, 3, 4]) AS n, unnest([l1, l2, l3, l4]) AS l FROM e10)
+SELECT n::INT AS n, round(100 * l, 6) AS share, n = (SELECT n FROM w ORDER BY l DESC, n LIMIT 1) AS strongest, round((SELECT -sum(l * ln(l + 1e-10)) FROM w WHERE l > 0), 6) AS entropy FROM w"""
+)
+def lambda_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The weights learnt on the val passages: share in percent per order, the strongest order, and the entropy of all."""
+    a = smoothing.lambda_analysis(smoothing.optimise_lambdas(stored(_val_quads(spark, d).select("p1", "p2", "p3", "p4")))[-1])
+    rows = [(n, round(a[f"share_{n}"], 6), n == a["strongest"], round(a["entropy"], 6)) for n in ORDERS]
+    return spark.createDataFrame(rows, "n int, share double, strongest boolean, entropy double")
+
+
 # -- back-off ---------------------------------------------------------------------------------------
 _KATZ = f"""{_NC}, dc AS (SELECT g.n, gram, g.cnt, gram[1:g.n - 1] AS history, CASE WHEN g.cnt > 5 THEN g.cnt::DOUBLE WHEN b.nc IS NOT NULL THEN (g.cnt + 1) * (b.nc / a.nc::DOUBLE) ELSE greatest(g.cnt - 0.5, 0) END AS discounted
    FROM g JOIN nc a ON a.n = g.n AND a.cnt = g.cnt LEFT JOIN nc b ON b.n = g.n AND b.cnt = g.cnt + 1 WHERE g.n > 1),
@@ -295,25 +365,25 @@ def _test_quads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _backed(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    c = checkpointed(counts(spark, d))
+    c = kept_counts(spark, d)
     model, alphas = backoff.katz_model(c) if kind == "katz" else backoff.kn_model(c)
     vocab = c.where("n = 1").count()
-    return rounded(shown(backoff.backoff_score(_test_quads(spark, d), "gram", model, alphas, vocab, 4)), "p")
+    return rounded(shown(backoff.score_ngrams(_test_quads(spark, d), "gram", model, alphas, vocab, 4, c)), "p")
 
 
 @query(f"{_G}, {_KATZ} SELECT n, {_J}, cnt, round(discounted, 9) AS discounted FROM dc")
 def katz_discount(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shown(backoff.katz_discounts(counts(spark, d))), "discounted")
+    return rounded(shown(backoff.katz_discounts(kept_counts(spark, d))), "discounted")
 
 
 @query(f"{_G}, {_KATZ} SELECT n, {_J}, round(p, 9) AS p FROM model")
 def katz_prob(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shown(backoff.katz_model(counts(spark, d))[0]), "p")
+    return rounded(shown(backoff.katz_model(kept_counts(spark, d))[0]), "p")
 
 
 @query(f"{_G}, {_KATZ} SELECT n, array_to_string(history, ' ') AS history, alpha::DOUBLE AS alpha FROM alphas")
 def katz_backoff_weights(spark: SparkSession, d: str) -> DataFrame:
-    return backoff.katz_model(counts(spark, d))[1].withColumn("history", F.array_join("history", " "))
+    return backoff.katz_model(kept_counts(spark, d))[1].withColumn("history", F.array_join("history", " "))
 
 
 @query(f"{_G}, {_KATZ}, {_BACK} SELECT {_J}, round(p, 9) AS p FROM z")
@@ -328,7 +398,7 @@ def kn_discount(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_G}, {_KN} SELECT n, {_J}, round(p, 9) AS p FROM model")
 def kn_prob(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(shown(backoff.kn_model(counts(spark, d))[0]), "p")
+    return rounded(shown(backoff.kn_model(kept_counts(spark, d))[0]), "p")
 
 
 @query(f"{_G}, {_KN}, {_BACK} SELECT {_J}, round(p, 9) AS p FROM z")
@@ -336,11 +406,17 @@ def kn_backoff_score(spark: SparkSession, d: str) -> DataFrame:
     return _backed(spark, d, "kn")
 
 
+@query(f"{_G}, {_KATZ}, kt AS (SELECT n, history, sum(discounted) AS mass, sum(cnt)::DOUBLE AS total FROM dc GROUP BY n, history) SELECT n, array_to_string(history, ' ') AS history, round(greatest(1 - mass / total, 0), 9) AS alpha FROM kt")
+def katz_textbook_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Back-off weights with the history's count as the base: the discounted mass reaches the lower order."""
+    return rounded(backoff.katz_model(kept_counts(spark, d), textbook=True)[1].withColumn("history", F.array_join("history", " ")), "alpha")
+
+
 def _model(spark: SparkSession, d: str, kind: str):
-    c = checkpointed(counts(spark, d))
+    c = kept_counts(spark, d)
     model, alphas = backoff.katz_model(c) if kind == "katz" else backoff.kn_model(c)
     words = c.where("n = 1").select(F.element_at("gram", 1).alias("word"))
-    return words, checkpointed(model), checkpointed(alphas), words.count()
+    return words, stored(model), stored(alphas), words.count()
 
 
 @query(
@@ -357,30 +433,42 @@ def next_word_probs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(generate.next_word_probs([context], words, model, alphas, vocab, 4).select("word", "p"), "p")
 
 
+def _texts(spark: SparkSession, d: str, how: str) -> list[tuple[str, list[str]]]:
+    make = {"greedy": lambda m: generate.greedy(*m, 4, max_length=15), "beam_search": lambda m: generate.beam(*m, 4, max_length=15, width=20)}[how]
+    return [(kind, make(_model(spark, d, kind))) for kind in ("katz", "kn")]
+
+
+def _positions(spark: SparkSession, texts: list[tuple[str, list[str]]]) -> DataFrame:
+    return spark.createDataFrame([(kind, i, w) for kind, text in texts for i, w in enumerate(text)], "model string, pos int, word string")
+
+
 @query()
 def greedy_generate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(kind, i, w) for kind in ("katz", "kn") for i, w in enumerate(generate.greedy(*_model(spark, d, kind), 4, max_length=15))]
-    return spark.createDataFrame(rows, "model string, pos int, word string")
+    return _positions(spark, _texts(spark, d, "greedy"))
 
 
 @query()
 def beam_generate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(kind, i, w) for kind in ("katz", "kn") for i, w in enumerate(generate.beam(*_model(spark, d, kind), 4, max_length=15, width=20))]
-    return spark.createDataFrame(rows, "model string, pos int, word string")
+    return _positions(spark, _texts(spark, d, "beam_search"))
+
+
+@query()
+def generated_copies(spark: SparkSession, d: str) -> DataFrame:
+    """(model, method, number, sentence): 100 copies of the text each model generates greedily. The seed is not used, so all are equal."""
+    parts = [generate.copies(spark, text).select(F.lit(kind).alias("model"), F.lit("greedy").alias("method"), "number", "sentence") for kind, text in _texts(spark, d, "greedy")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
-    f"""{_G}, {_QUADS}, {_TEST.replace("split_name = 'test'", "split_name = 'val'")},
- sc AS (SELECT sent_id, tg.n::VARCHAR AS model, sum(ln(greatest(coalesce(gt.p, p_unseen), 1e-10))) AS log_p FROM tg JOIN un USING (n) LEFT JOIN gt ON gt.gram = tg.gram GROUP BY ALL
-   UNION ALL SELECT sent_id, 'mixed', sum(ln(greatest(0.1 * p1 + 0.2 * p2 + 0.3 * p3 + 0.4 * p4, 1e-10))) FROM q4 GROUP BY sent_id),
- av AS (SELECT model, avg(log_p) AS a FROM sc WHERE log_p >= -745 GROUP BY model)
-SELECT model, round(a, 6) AS avg_log_p, round(100 * (1 - exp(a - (SELECT max(a) FROM av))), 6) AS improvement, (SELECT model FROM av ORDER BY a DESC, model LIMIT 1) AS best FROM av"""
+    f"""{_G}, {_QUADS}, {_quads_sql('test', 't')}, {_E0}, {_STEPS}, {_gts('test')},
+ al AS (SELECT n::VARCHAR AS model, log_p FROM sc UNION ALL SELECT 'mixed', sum(ln(greatest(l1 * p1 + l2 * p2 + l3 * p3 + l4 * p4, 1e-10))) FROM q4t CROSS JOIN e10 GROUP BY sent_id),
+ av AS ({_perplexity_sql('model', 'al')}), sg2 AS (SELECT max(a) AS top, (SELECT model FROM av WHERE model <> 'mixed' AND a IS NOT NULL ORDER BY a DESC, model LIMIT 1) AS best FROM av WHERE model <> 'mixed')
+SELECT model, sentences, valid, round(a, 6) AS avg_log_p, perplexity, best, CASE WHEN model = 'mixed' THEN round(100 * (1 - exp(top - a)), 6) END AS improvement FROM av CROSS JOIN sg2"""
 )
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """The four Good-Turing models and their fixed mixture on the val passages."""
-    model, unseen = smoothing.good_turing(counts(spark, d))
-    rows = ngrams.join_grams(smoothing.sentence_grams(tests(spark, d, "val"), "sent_id", "toks", ORDERS), model, ["gram", "n"], "left").join(F.broadcast(unseen.select("n", "p_unseen")), "n")
-    single = rows.groupBy("sent_id", F.col("n").cast("string").alias("model")).agg(F.sum(F.ln(F.greatest(F.coalesce("p", "p_unseen"), F.lit(1e-10)))).alias("log_p"))
-    mixed = _quads(spark, d).groupBy("sent_id").agg(F.sum(F.ln(F.greatest(smoothing.interpolated(LAMBDAS), F.lit(1e-10)))).alias("log_p")).select("sent_id", F.lit("mixed").alias("model"), "log_p")
-    means = single.unionByName(mixed).where(F.col("log_p") >= smoothing.UNDERFLOW).groupBy("model").agg(F.avg("log_p").alias("avg_log_p"))
-    return rounded(smoothing.compare_models(means), "avg_log_p", "improvement", places=6)
+    """The four Good-Turing models and their mixture, weighted as learnt on val, on the test passages; the mixture skips those of under four words."""
+    model, unseen = smoothing.good_turing(kept_counts(spark, d))
+    weights = smoothing.optimise_lambdas(stored(_quads(spark, d, model, unseen).select("p1", "p2", "p3", "p4")))[-1]
+    single = _gt_log_p(tests(spark, d), model, unseen).select(F.col("n").cast("string").alias("model"), "log_p")
+    mixed = _mixed_log_p(_quads(spark, d, model, unseen, "test"), weights).select(F.lit("mixed").alias("model"), "log_p")
+    return rounded(smoothing.compare_models(smoothing.perplexity(single.unionByName(mixed), "model")), "avg_log_p", "improvement", places=6)

@@ -38,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _INT_COLUMNS = {
     "sent_idx": "sentence_split", "tok_idx": "message_tokens subword_pretokens", "tokens": "blank_tokens", "types": "blank_tokens", "pairs": "distinct_pairs", "pos": "pmi",
     "place": "tfidf_top_terms cosine_knn_aligned cosine_knn_full cosine_knn_self",
-    "n": "ngram_vocab ngram_mle ngram_top freq_of_freq context_sums add_one add_k token_type smoothing_comparison good_turing_table good_turing_prob katz_discount katz_prob katz_backoff_weights kn_discount kn_prob",
+    "n": "ngram_vocab ngram_mle ngram_top freq_of_freq context_sums add_one add_k token_type smoothing_comparison select_model smoothing_summary sentence_score_matrix extreme_sentences sentence_probability_smoothed katz_textbook_weights good_turing_table good_turing_prob katz_discount katz_prob katz_backoff_weights kn_discount kn_prob",
 }
 
 

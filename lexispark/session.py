@@ -26,16 +26,24 @@ def local_session(app: str = "lexispark", cores: str = "*", partitions: int = 8)
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stored tables, as spark.checkpoint.dir names it.
 
-    The folder is read from the session; only where the session names none (tests, a
-    single machine) a temporary one is set. Executors that get lost lose nothing.
+    Only a local master, whose executors share the driver's disk, may do without the setting: there a temporary folder
+    is set. Elsewhere a missing setting is an error, as executors would each write to a disk of their own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexispark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder named by spark.checkpoint.dir. Executors that get lost lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,16 +66,29 @@ _SHIPPED: set[str] = set()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a compressed parquet table in the folder of checkpointed(): columns not needed later aren't read back.
+    """Cut the lineage by a compressed parquet table in the shared folder: columns not needed later aren't read back.
 
-    The table is deleted when the application ends.
+    The table is deleted when the application ends, or by drop_stored().
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-"))
-    target = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(target)
     path = context._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _STORED.append((context.applicationId, target))
     return spark.read.schema(df.schema).parquet(target)
+
+
+_STORED: list[tuple[str, str]] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables stored so far by this application, once the results built on them are written; how many."""
+    context = spark.sparkContext
+    own = [x for x in _STORED if x[0] == context.applicationId]
+    for entry in own:
+        path = context._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.remove(entry)
+    return len(own)

@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import backoff, classify, corpus, generate, morphology, ngrams, skew, smoothing, subword, tagging, vectors
+from lexispark.operators import backoff, classify, corpus, generate, morphology, ngrams, ranges, skew, smoothing, subword, tagging, vectors
 from lexispark.sources.tables import latest_once, latest_once_wide
 
 DOCS = [(1, ["a", "b"]), (2, []), (3, ["a"]), (4, ["a", "b", "c", "a"]), (7, ["c"]), (250_000, ["a", "b", "c"])]
@@ -25,7 +25,7 @@ def test_corpus_ngrams_cross_borders(spark, docs):
     want = Counter(tuple(flat[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(flat) - n + 1))
     got = ngrams.ngram_counts(docs, "id", "toks", [1, 2, 3, 4], "corpus").collect()
     assert {tuple(r.gram): r.cnt for r in got} == dict(want)
-    small = ngrams.crossing(docs, "id", "toks", [2, 3, 4], bucket_rows=2).collect()
+    small = ngrams.crossing(docs, "id", "toks", [2, 3, 4], part_rows=2).collect()
     assert Counter(tuple(r.gram) for r in small) == want - Counter(tuple(ts[i : i + n]) for _, ts in DOCS for n in (1, 2, 3, 4) for i in range(len(ts) - n + 1))
     inside = ngrams.ngram_counts(docs, "id", "toks", [2], "row").collect()
     assert {tuple(r.gram): r.cnt for r in inside} == {("a", "b"): 3, ("b", "c"): 2, ("c", "a"): 1}
@@ -39,13 +39,57 @@ def test_smoothing_and_scores(spark, docs):
     p = {(tuple(r.gram), r.method): r.p for r in smoothing.additive(counts, 0.5).collect()}
     assert math.isclose(p[("a",), "add_one"], (5 + 1) / (11 + 3)) and math.isclose(p[("a",), "add_k"], 5.5 / 12.5) and math.isclose(p[("a",), "token_type"], 1 / 3)
     model = smoothing.select_model(smoothing.additive(counts), 2, "add_one").select("n", "gram", "p")
-    scores = {(r.id, r.n): r for r in smoothing.score_sentences(docs, "id", "toks", model, [2], 1e-10).collect()}
-    assert set(scores) == {(1, 2), (4, 2), (250_000, 2)} and scores[4, 2].grams == 3
+    value = {"log_p": F.coalesce("p", F.lit(1e-10))}
+    scores = {(r.id, r.n): r for r in smoothing.score_sentences(docs, "id", "toks", model, [2], value).collect()}
+    assert set(scores) == {(1, 2), (3, 2), (4, 2), (7, 2), (250_000, 2)} and scores[4, 2].grams == 3  # the one without tokens is no sentence
+    assert scores[3, 2].log_p is None and scores[3, 2].grams == 0 and all(r.token_count == len(dict(DOCS)[i]) for (i, _), r in scores.items())
+    short = {r.id: r.log_p for r in smoothing.score_sentences(docs, "id", "toks", model, [2], value, short=1e-10).collect()}
+    assert math.isclose(short[3], math.log(1e-10)) and math.isclose(short[1], scores[1, 2].log_p)
+    report = {r.n: r for r in smoothing.summary_report(counts).collect()}
+    assert report[1].tokens == 11 and report[1].total_unique_ngrams == 3 and report[2].vocab_size == 3 and report[2].techniques == "add_one, add_k, token_type"
     for bad in ((5, "add_one"), (2, "other")):
         with pytest.raises(ValueError):
             smoothing.select_model(smoothing.additive(counts), *bad)
 
 
+def test_ranges_hold_for_random_keys(spark):
+    rng = random.Random(3)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(20_000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    bounds = ranges.range_bounds(df, "k", 500)
+    sizes = [r["count"] for r in df.select(ranges.range_part(F.col("k"), bounds).alias("p")).groupBy("p").count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 2 * len(keys) / len(sizes)
+    # the work itself: no task of the ordered windows holds more than twice the mean
+    placed = ranges.ranked(df.withColumn("p", ranges.range_part(F.col("k"), ranges.range_bounds(df, "k", 100))), "p", [F.col("k")], "place")
+    assert [r.k for r in placed.orderBy("place").collect()] == sorted(keys) and placed.agg(F.max("place")).first()[0] == len(keys)
+    tasks = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert max(tasks) <= 2 * len(keys) / len(tasks)
+    assert ranges.range_bounds(df.where("false"), "k") == [] and ranges.range_bounds(df.select(F.lit(None).cast("long").alias("k")), "k") == []
+
+
+def test_ordered_operators_on_random_keys(spark):
+    rng = random.Random(5)
+    docs = [(rng.randrange(-(2**63), 2**63), [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 4))]) for _ in range(700)]
+    df = spark.createDataFrame(docs, "id long, toks array<string>")
+    docs.sort()
+    flat = [t for _, ts in docs for t in ts]
+    got = ngrams.within(df, "toks", [1, 2, 3, 4]).unionByName(ngrams.crossing(df, "id", "toks", [1, 2, 3, 4], part_rows=50)).collect()
+    assert Counter(tuple(r.gram) for r in got) == Counter(tuple(flat[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(flat) - n + 1))
+    ids = {r.term: r.term_id for r in vectors.first_seen_vocabulary(df, "id", "toks", part_rows=50).collect()}
+    assert sorted(ids, key=ids.get) == list(dict.fromkeys(flat)) and sorted(ids.values()) == list(range(len(ids)))
+    folds = {r.id: r.fold for r in classify.k_folds(df, "id", 3, part_rows=50).collect()}
+    assert [folds[i] for i, _ in docs] == [min(j // (700 // 3), 2) for j in range(700)]
+
+
+def test_perplexity_and_comparison(spark):
+    scores = spark.createDataFrame([("1", -10.0), ("1", -20.0), ("1", -800.0), ("1", None), ("2", -12.0), ("mixed", -12.0), ("3", -800.0)], "model string, log_p double")
+    rows = {r.model: r for r in smoothing.compare_models(smoothing.perplexity(scores, "model")).collect()}
+    assert (rows["1"].sentences, rows["1"].valid, rows["1"].avg_log_p) == (4, 2, -15.0) and math.isclose(rows["1"].perplexity, math.exp(15), rel_tol=1e-6)
+    assert rows["3"].valid == 0 and rows["3"].avg_log_p is None and rows["3"].perplexity is None
+    assert {r.best for r in rows.values()} == {"2"} and math.isclose(rows["mixed"].improvement, 0.0, abs_tol=1e-9) and rows["1"].improvement is None
+    assert smoothing.perplexity(scores.where("false"), "model").count() == 0
+
+
 def test_good_turing(spark):
     grams = [("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 4)]
     counts = spark.createDataFrame([(1, [g], c) for g, c in grams], "n int, gram array<string>, cnt long")
