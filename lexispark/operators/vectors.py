@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators.blocks import BLOCK_ENTRIES, in_blocks, moments, nearest
 from lexispark.operators.ranges import PART_ROWS, range_bounds, range_part, ranked
+from lexispark.operators.skew import lookup_join
+from lexispark.session import stored
 
 
 def bigram_pmi(pairs: DataFrame, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
     """pairs (w1, w2, ...) with counts and pmi = ln((c12/N2) / ((c1/N1)(c2/N1))); null where a count is missing or 0.
 
-    unigrams: word, cnt. bigrams: w1, w2, cnt. The word counts meet the pairs in two shuffled joins.
+    unigrams: word, cnt. bigrams: w1, w2, cnt. The counts meet the pairs in three shuffled joins that part frequent words.
     """
     n1 = unigrams.agg(F.sum("cnt").alias("n1"))
     n2 = bigrams.agg(F.sum("cnt").alias("n2"))
     c = lambda s: unigrams.select(F.col("word").alias(f"w{s}"), F.col("cnt").alias(f"c{s}"))
-    joined = pairs.join(bigrams.select("w1", "w2", F.col("cnt").alias("c12")), ["w1", "w2"], "left").join(c(1), "w1", "left").join(c(2), "w2", "left")
+    counted = lookup_join(pairs, bigrams.select("w1", "w2", F.col("cnt").alias("c12")), ["w1", "w2"], "c12", "left")
+    joined = lookup_join(lookup_join(counted, c(1), "w1", "c1", "left"), c(2), "w2", "c2", "left")
     full = joined.crossJoin(F.broadcast(n1)).crossJoin(F.broadcast(n2))
     ratio = (F.col("c12") / F.col("n2")) / ((F.col("c1") / F.col("n1")) * (F.col("c2") / F.col("n1")))
     known = (F.col("c12") > 0) & (F.col("c1") > 0) & (F.col("c2") > 0)
@@ -38,8 +42,9 @@ def inverse_document_frequency(tf: DataFrame, documents: DataFrame) -> DataFrame
 
 
 def tf_idf(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, value)."""
-    return tf.join(idf.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("value"))
+    """(key, term, value); terms without an idf drop out. idf: term, df, idf."""
+    met = lookup_join(tf.select(key, "term", "tf"), idf.select("term", "idf", "df"), "term", "df")
+    return met.select(key, "term", (F.col("tf") * F.col("idf")).alias("value"))
 
 
 def first_seen_vocabulary(docs: DataFrame, key: str, tokens: str, part_rows: int = PART_ROWS) -> DataFrame:
@@ -59,48 +64,54 @@ def normalised(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.join(norms, key).select(key, "term", (F.col("value") / F.col("norm")).alias("value"))
 
 
-def cosine_neighbours(queries: DataFrame, base: DataFrame, k: int = 5, align: bool = False, exclude_self: bool = False, fill: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+def cosine_neighbours(
+    queries: DataFrame, base: DataFrame, k: int = 5, align: bool = False, exclude_self: bool = False, fill: DataFrame | None = None,
+    vocabulary: DataFrame | None = None, asked: DataFrame | None = None, block_entries: int = BLOCK_ENTRIES,
+) -> DataFrame:
     """(query, neighbour, score, place): the k most similar documents; of equal (rounded) scores the smaller id.
 
     Both sides are (id, term, value). align=True first drops, on the base side, every term outside ``vocabulary`` (term),
     which changes the norms. It has the terms of all rows the queries are taken from; without it, those of the queries. exclude_self leaves out the query itself and scores of 0. ``fill`` (ids
-    of base documents) completes queries with fewer than k overlapping documents by zero scores in id order: the
-    first 2k ids are enough for that.
+    of base documents) completes the queries (``asked``: id, also those without terms) that have fewer than k
+    overlapping documents by zero scores in id order: the first 2k ids are enough for that.
+
+    Blocks of queries meet blocks of documents (see blocks.in_blocks); each pair of blocks sends on k rows a query.
     """
     if align:
         used = queries if vocabulary is None else vocabulary
         base = base.join(used.select("term").distinct(), "term", "left_semi")
         queries = queries.join(base.select("term").distinct(), "term", "left_semi")
-    q = normalised(queries, "id").select(F.col("id").alias("query"), "term", F.col("value").alias("v"))
-    b = normalised(base, "id").select(F.col("id").alias("neighbour"), "term", F.col("value").alias("w"))
-    scores = q.join(b, "term").groupBy("query", "neighbour").agg(F.round(F.sum(F.col("v") * F.col("w")), 6).alias("score"))
-    if exclude_self:
-        scores = scores.where((F.col("query") != F.col("neighbour")) & (F.col("score") > 0))
+    found = in_blocks(queries, base, nearest(k, exclude_self), "query long, neighbour long, score double", block_entries)
     ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("neighbour").asc())
-    best = scores.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
+    best = found.withColumn("score", F.round("score", 6)).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
     if fill is not None and not exclude_self:
+        best = stored(best)
         spare = fill.select(F.col("id").alias("neighbour")).orderBy("neighbour").limit(2 * k)
-        zeros = queries.select(F.col("id").alias("query")).distinct().crossJoin(F.broadcast(spare)).join(best.select("query", "neighbour"), ["query", "neighbour"], "left_anti")
+        known = (queries if asked is None else asked).select(F.col("id").alias("query")).distinct()
+        zeros = known.crossJoin(F.broadcast(spare)).join(best.select("query", "neighbour"), ["query", "neighbour"], "left_anti")
         both = best.drop("place").unionByName(zeros.withColumn("score", F.lit(0.0)))
         best = both.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
     return best
 
 
-def similarity_statistics(queries: DataFrame, base: DataFrame, n_queries: DataFrame, n_base: DataFrame) -> DataFrame:
+def similarity_moments(queries: DataFrame, base: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """One row over the pairs with a common term: how many (k), the sums of cosines and squares, the greatest and the least."""
+    made = in_blocks(queries, base, moments, "k long, s1 double, s2 double, hi double, lo double", block_entries)
+    return made.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+
+
+def similarity_statistics(queries: DataFrame, base: DataFrame, n_queries: DataFrame, n_base: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """One row: mean, population deviation, greatest and least cosine over all query-document pairs, zeros included.
 
-    Pairs without a common term are never made: they enter through the counts of both sides.
+    Pairs are made and summed in blocks; those without a common term enter through the counts of both sides.
     """
-    q = normalised(queries, "id").select(F.col("id").alias("query"), "term", F.col("value").alias("v"))
-    b = normalised(base, "id").select(F.col("id").alias("neighbour"), "term", F.col("value").alias("w"))
-    scores = q.join(b, "term").groupBy("query", "neighbour").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
-    sums = scores.agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"), F.max("s").alias("hi"), F.min("s").alias("lo"))
+    sums = similarity_moments(queries, base, block_entries)
     pairs = (F.col("nq") * F.col("nb")).cast("double")
-    mean = F.coalesce(F.col("s1"), F.lit(0.0)) / pairs
+    mean = F.try_divide(F.coalesce(F.col("s1"), F.lit(0.0)), pairs)
     out = sums.crossJoin(F.broadcast(n_queries.select(F.col("n").alias("nq")))).crossJoin(F.broadcast(n_base.select(F.col("n").alias("nb"))))
     return out.select(
         mean.alias("mean"),
-        F.sqrt(F.greatest(F.coalesce(F.col("s2"), F.lit(0.0)) / pairs - mean * mean, F.lit(0.0))).alias("std"),
+        F.sqrt(F.greatest(F.try_divide(F.coalesce(F.col("s2"), F.lit(0.0)), pairs) - mean * mean, F.lit(0.0))).alias("std"),
         F.coalesce(F.greatest("hi", F.when(F.col("k") < pairs, 0.0)), F.lit(0.0)).alias("max"),
         F.coalesce(F.least("lo", F.when(F.col("k") < pairs, 0.0)), F.lit(0.0)).alias("min"),
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams as gram_arrays
 from lexispark.operators import vectors as V
-from lexispark.plans.language_models import _APP, _G, counts, passages, rounded
+from lexispark.plans.language_models import _APP, _G, kept_counts, passages, rounded
 from lexispark.plans.registry import query
+from lexispark.session import stored
 
 #: Searches take every row whose id is divisible by this as a query, against all rows.
 EVERY = 50
@@ -26,7 +27,7 @@ def passage_bigrams(rows: DataFrame) -> DataFrame:
 
 
 def _pmi(spark: SparkSession, d: str) -> DataFrame:
-    c = counts(spark, d)
+    c = kept_counts(spark, d)
     ones = c.where("n = 1").select(F.element_at("gram", 1).alias("word"), "cnt")
     twos = c.where("n = 2").select(F.element_at("gram", 1).alias("w1"), F.element_at("gram", 2).alias("w2"), "cnt")
     return V.bigram_pmi(passage_bigrams(passages(spark, d).where("split_name = 'test'")), ones, twos)
@@ -64,12 +65,12 @@ def term_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def tf_idf(spark: SparkSession, d: str) -> DataFrame:
-    """(sent_id, split_name, term, value); document frequencies come from the train split."""
+    """(sent_id, split_name, term, value); the vocabulary and the document frequencies are those of the train split."""
     rows = _passages(spark, d)
-    tf = term_frequencies(rows)
-    n = rows.where("split_name = 'train'").agg(F.count(F.lit(1)).alias("n"))
-    idf = V.inverse_document_frequency(tf.where("split_name = 'train'"), n)
-    keyed = tf.select(F.struct("sent_id", "split_name").alias("key"), "term", "tf")
+    keyed = V.term_frequency(rows.select(F.struct("sent_id", "split_name").alias("key"), "toks"), "key", "toks")
+    train = rows.where("split_name = 'train'")
+    n = train.agg(F.count(F.lit(1)).alias("n"))
+    idf = V.inverse_document_frequency(V.term_frequency(train, "sent_id", "toks"), n)
     return V.tf_idf(keyed, idf, "key").select("key.sent_id", "key.split_name", "term", "value")
 
 
@@ -114,52 +115,71 @@ def first_seen_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return V.first_seen_vocabulary(passages(spark, d).where("split_name = 'train'"), "sent_id", "toks")
 
 
-def _knn_sql(queries: str, base: str, align: bool, itself: bool) -> str:
-    b = "SELECT sent_id AS id, term, value FROM ti WHERE " + base
+_HELD = f"split_name <> 'train' AND sent_id % {EVERY} = 0"
+_SELF = f"split_name = 'train' AND sent_id % {EVERY} = 0"
+
+
+def _knn_sql(asked: str, pool: str, align: bool, itself: bool) -> str:
+    """``asked``: the queries. ``pool``: the rows whose terms the train terms are aligned to."""
+    b = "SELECT sent_id AS id, term, value FROM ti WHERE split_name = 'train'"
     if align:
-        b += f" AND term IN (SELECT term FROM ti WHERE {queries})"
-    return f"""{_TFIDF}, b0 AS ({b}), q0 AS (SELECT sent_id AS id, term, value FROM ti WHERE {queries}{' AND term IN (SELECT term FROM b0)' if align else ''}),
+        b += f" AND term IN (SELECT term FROM ti WHERE {pool})"
+    scored = f"""{_TFIDF}, b0 AS ({b}), q0 AS (SELECT sent_id AS id, term, value FROM ti WHERE {asked}{' AND term IN (SELECT term FROM b0)' if align else ''}),
  bn AS (SELECT id, sqrt(sum(value * value) + 1e-12) AS n FROM b0 GROUP BY id), qn AS (SELECT id, sqrt(sum(value * value) + 1e-12) AS n FROM q0 GROUP BY id),
- sc AS (SELECT q0.id AS query, b0.id AS neighbour, round(sum((q0.value / qn.n) * (b0.value / bn.n)), 6) AS score FROM q0 JOIN qn USING (id) JOIN b0 ON b0.term = q0.term JOIN bn ON bn.id = b0.id GROUP BY 1, 2),
- rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS place FROM sc{' WHERE query <> neighbour AND score > 0' if itself else ''})
+ sc AS (SELECT q0.id AS query, b0.id AS neighbour, round(sum((q0.value / qn.n) * (b0.value / bn.n)), 6) AS score FROM q0 JOIN qn USING (id) JOIN b0 ON b0.term = q0.term JOIN bn ON bn.id = b0.id GROUP BY 1, 2)"""
+    if itself:
+        return f"""{scored}, rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS place FROM sc WHERE query <> neighbour AND score > 0)
+SELECT query, neighbour, score, place FROM rk WHERE place <= 5"""
+    return f"""{scored}, al AS (SELECT q.sent_id AS query, t.sent_id AS neighbour FROM ne q CROSS JOIN ne t WHERE {asked.replace('split_name', 'q.split_name').replace('sent_id', 'q.sent_id')} AND t.split_name = 'train'),
+ rk AS (SELECT query, neighbour, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0.0) DESC, neighbour) AS place FROM al LEFT JOIN sc USING (query, neighbour))
 SELECT query, neighbour, score, place FROM rk WHERE place <= 5"""
 
 
-_HELD = f"split_name <> 'train' AND sent_id % {EVERY} = 0"
-_SELF = f"split_name = 'train' AND sent_id % {EVERY} = 0"
+def _train(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    return rows.where("split_name = 'train'").select(F.col("sent_id").alias("id"), "term", "value")
 
 
-def _sides(spark: SparkSession, d: str, queries: str) -> tuple[DataFrame, DataFrame]:
-    rows = tf_idf(spark, d)
-    return rows.where(queries).select(F.col("sent_id").alias("id"), "term", "value"), rows.where("split_name = 'train'").select(F.col("sent_id").alias("id"), "term", "value")
+def _held_out(spark: SparkSession, d: str, align: bool) -> DataFrame:
+    """Five train neighbours of every asked held-out passage with words; zero scores complete those with fewer overlaps."""
+    rows = stored(tf_idf(spark, d))
+    asked = rows.where(_HELD).select(F.col("sent_id").alias("id"), "term", "value")
+    words = _passages(spark, d)
+    ids = words.where(_HELD).select(F.col("sent_id").alias("id"))
+    fill = words.where("split_name = 'train'").select(F.col("sent_id").alias("id"))
+    return V.cosine_neighbours(asked, _train(spark, d, rows), align=align, vocabulary=rows.where("split_name <> 'train'").select("term"), fill=fill, asked=ids)
 
 
-@query(_knn_sql(_HELD, "split_name = 'train'", True, False))
+@query(_knn_sql(_HELD, "split_name <> 'train'", True, False))
 def cosine_knn_aligned(spark: SparkSession, d: str) -> DataFrame:
-    return V.cosine_neighbours(*_sides(spark, d, _HELD), align=True)
+    """The train terms are first aligned to the terms of all val and test passages, whichever of them are asked."""
+    return _held_out(spark, d, True)
 
 
-@query(_knn_sql(_HELD, "split_name = 'train'", False, False))
+@query(_knn_sql(_HELD, "split_name <> 'train'", False, False))
 def cosine_knn_full(spark: SparkSession, d: str) -> DataFrame:
-    return V.cosine_neighbours(*_sides(spark, d, _HELD))
+    return _held_out(spark, d, False)
 
 
 @query(_knn_sql(_SELF, "split_name = 'train'", False, True))
 def cosine_knn_self(spark: SparkSession, d: str) -> DataFrame:
-    return V.cosine_neighbours(*_sides(spark, d, _SELF), exclude_self=True)
+    rows = stored(tf_idf(spark, d))
+    return V.cosine_neighbours(rows.where(_SELF).select(F.col("sent_id").alias("id"), "term", "value"), _train(spark, d, rows), exclude_self=True)
 
 
 @query(
-    f"""{_TFIDF}, b0 AS (SELECT sent_id AS id, term, value FROM ti WHERE split_name = 'train'), q0 AS (SELECT sent_id AS id, term, value FROM ti WHERE {_HELD}),
+    f"""{_TFIDF}, b0 AS (SELECT sent_id AS id, term, value FROM ti WHERE split_name = 'train'), q0 AS (SELECT sent_id AS id, term, value FROM ti WHERE split_name <> 'train'),
  bn AS (SELECT id, sqrt(sum(value * value) + 1e-12) AS n FROM b0 GROUP BY id), qn AS (SELECT id, sqrt(sum(value * value) + 1e-12) AS n FROM q0 GROUP BY id),
  sc AS (SELECT sum((q0.value / qn.n) * (b0.value / bn.n)) AS s FROM q0 JOIN qn USING (id) JOIN b0 ON b0.term = q0.term JOIN bn ON bn.id = b0.id GROUP BY q0.id, b0.id),
- al AS (SELECT s FROM sc UNION ALL SELECT 0.0 FROM range((SELECT (SELECT count(*) FROM qn) * (SELECT count(*) FROM bn) - count(*) FROM sc)))
-SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, round(max(s), 6) AS max, round(min(s), 6) AS min FROM al"""
+ k AS (SELECT (SELECT count(*) FROM qn) * (SELECT count(*) FROM bn)::DOUBLE AS pairs, count(*) AS met, sum(s) AS s1, sum(s * s) AS s2, max(s) AS hi, min(s) AS lo FROM sc)
+SELECT round(s1 / pairs, 6) AS mean, round(sqrt(greatest(s2 / pairs - (s1 / pairs) * (s1 / pairs), 0)), 6) AS std, round(hi, 6) AS max, round(CASE WHEN met < pairs THEN least(lo, 0) ELSE lo END, 6) AS min FROM k"""
 )
 def similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    q, b = _sides(spark, d, _HELD)
+    """Over all val and test passages against all train passages that have known terms."""
+    rows = stored(tf_idf(spark, d))
+    held = rows.where("split_name <> 'train'").select(F.col("sent_id").alias("id"), "term", "value")
     n = lambda x: x.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    return rounded(V.similarity_statistics(q, b, n(q), n(b)), "mean", "std", "max", "min", places=6)
+    train = _train(spark, d, rows)
+    return rounded(V.similarity_statistics(held, train, n(held), n(train)), "mean", "std", "max", "min", places=6)
 
 
 @query(
@@ -170,3 +190,20 @@ def complexity_counters(spark: SparkSession, d: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("split_name") == s)
     c = _passages(spark, d).agg(n("train").alias("a"), n("val").alias("b"), n("test").alias("t"))
     return c.selectExpr("a * a AS train_train", "b * a AS val_train", "t * a AS test_train", "a * a + b * a + t * a AS total")
+
+
+@query(
+    f"""{_TFIDF}, q0 AS (SELECT sent_id AS id, term FROM ti WHERE {_HELD}), df AS (SELECT term, count(*) AS df FROM ti WHERE split_name = 'train' GROUP BY term),
+ ct AS (SELECT count(*) FILTER ({_HELD}) AS asked, count(*) FILTER (split_name = 'train') AS train FROM ne)
+SELECT asked * train AS pairs_possible, (SELECT count(DISTINCT (q0.id, b.sent_id)) FROM q0 JOIN ti b ON b.term = q0.term AND b.split_name = 'train') AS pairs_met, (SELECT coalesce(sum(df), 0)::BIGINT FROM q0 JOIN df USING (term)) AS products FROM ct"""
+)
+def operation_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the search of cosine_knn_full really does: pairs possible, pairs with a common term, and products summed for them."""
+    rows = stored(tf_idf(spark, d))
+    asked, train = rows.where(_HELD), rows.where("split_name = 'train'")
+    df = train.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = _passages(spark, d).agg(F.count_if(F.expr(_HELD)).alias("q"), F.count_if(F.col("split_name") == "train").alias("b")).selectExpr("q * b AS pairs_possible")
+    products = asked.groupBy("term").agg(F.count(F.lit(1)).alias("q")).join(df, "term").agg(F.coalesce(F.sum(F.col("q") * F.col("df")), F.lit(0)).alias("products"))
+    long = lambda x: x.select(F.col("sent_id").alias("id"), "term", "value")
+    met = V.similarity_moments(long(asked), long(train)).select(F.col("k").alias("pairs_met"))
+    return size.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(products))
