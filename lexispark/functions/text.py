@@ -6,7 +6,8 @@ combining marks are none. Null text gives an empty array (or null, for scalars).
 
 from __future__ import annotations
 
-from functools import reduce
+import random
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,6 +123,94 @@ def run_dfa(word: Column, moves: dict[tuple[str, str], str], start: str, finals:
     return F.aggregate(letters, F.lit(start), step).isin(*sorted(finals))
 
 
+def word_automaton() -> tuple[dict[tuple[str, str], str], str, set[str]]:
+    """(moves, start, finals) of the automaton of English words: an ASCII letter, then lower-case ASCII letters; all else rejects."""
+    moves = {("q0", c): "q1" for c in string.ascii_lowercase} | {("q0", c): "q2" for c in string.ascii_uppercase}
+    moves |= {(state, c): state for state in ("q1", "q2") for c in string.ascii_lowercase}
+    return moves, "q0", {"q1", "q2"}
+
+
+#: The categories of test words, and the signs that make a word special.
+WORD_CATEGORIES = ("valid_lower", "valid_initial_cap", "invalid_upper_later", "invalid_contains_digit", "invalid_starts_digit", "invalid_special", "leading_space", "empty", "all_uppercase")
+SPECIAL_SIGNS = " _-@.!?,'"
+
+
+def sample_words(per_category: int = 5, longest: int = 8, seed: int = 42) -> list[tuple[str, int, str]]:
+    """(category, number, word): seeded words, ``per_category`` of each kind; half as many that begin with a blank or are all upper case, one empty.
+
+    Every word is drawn from a generator of its own (seed, category, number), so asking for more leaves the first ones as they are.
+    """
+    low, up = string.ascii_lowercase, string.ascii_uppercase
+
+    def made(category: str, rnd: random.Random) -> str:
+        body = "".join(rnd.choices(low, k=rnd.randint(2, longest)))
+        spot = rnd.randint(1, len(body) - 1)
+        put = lambda sign: body[:spot] + sign + body[spot:]
+        return {
+            "valid_lower": body, "valid_initial_cap": body.capitalize(), "invalid_upper_later": put(rnd.choice(up)), "invalid_contains_digit": put(rnd.choice(string.digits)),
+            "invalid_starts_digit": rnd.choice(string.digits) + body, "invalid_special": put(rnd.choice(SPECIAL_SIGNS)), "leading_space": " " + body, "empty": "", "all_uppercase": body.upper(),
+        }[category]
+
+    some = {"leading_space": max(1, per_category // 2), "all_uppercase": max(1, per_category // 2), "empty": 1}
+    return [(c, i, made(c, random.Random(f"{seed}-{c}-{i}"))) for c in WORD_CATEGORIES for i in range(some.get(c, per_category))]
+
+
+# The labelled edges of the three drawings of the plural automaton: from, to, input/output.
+DETAILED_EDGES = """
+START ROOT α/α
+ROOT S_END s/+PL
+ROOT Z_END z/+PL
+ROOT X_END x/+PL
+ROOT CH_END ch/+PL
+ROOT SH_END sh/+PL
+ROOT Y_END y/ies
+S_END ACCEPT es/ε
+Z_END ACCEPT es/ε
+X_END ACCEPT es/ε
+CH_END ACCEPT es/ε
+SH_END ACCEPT es/ε
+Y_END ACCEPT ies/ε
+ROOT ACCEPT s/+PL
+START ACCEPT irregular/+PL
+ROOT ACCEPT ε/+SG
+START REJECT invalid/ε
+ROOT REJECT invalid/ε
+"""
+SIMPLIFIED_EDGES = """
+q0 q1 letter/letter
+q1 q1 letter/letter
+q1 q2 s,x,z,ch,sh/stem
+q2 q5 es/+N+PL
+q1 q3 consonant+y/stem
+q3 q5 ies/+N+PL
+q1 q5 s/+N+PL
+q1 q5 ε/+N+SG
+q0 q4 irregular_word/stem
+q4 q5 ε/+N+PL
+"""
+ENGLISH_EDGES = """
+q0 q1 α (letter)
+q1 q1 α (continue reading)
+q1 q2 word ending
+q2 q6 s → +N+PL
+q1 q3 s|x|z|ch|sh ending
+q3 q6 es → +N+PL
+q1 q4 consonant+y ending
+q4 q6 y→ies → +N+PL
+q0 q5 irregular pattern
+q5 q6 irregular → +N+PL
+q2 q6 no suffix → +N+SG
+q0 q7 invalid input
+q1 q7 invalid pattern
+"""
+
+
+def plural_edges() -> list[tuple[str, str, str, str]]:
+    """(diagram, source, target, label) of the three drawings."""
+    tables = {"detailed": DETAILED_EDGES, "simplified": SIMPLIFIED_EDGES, "english": ENGLISH_EDGES}
+    return [(name, *line.split(" ", 2)) for name, table in tables.items() for line in table.strip().split("\n")]
+
+
 def plural_root(word: Column) -> Column:
     """Struct (root, number) of a word by the plural automaton; null root where the word is not alphabetic."""
     w = F.lower(word)
@@ -192,7 +281,3 @@ def merge_pair(symbols: Column, left: str, right: str) -> Column:
 
     folded = F.aggregate(symbols, empty, step)
     return F.when(F.size(symbols) > 0, folded).otherwise(empty)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions, F.lit(False))

@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import rule_prefix, rule_suffix
 
-#: Longest word that enters a trie: a trie node per character is kept, so longer strings (no words) are left out.
-MAX_WORD = 64
-
 
 def word_counts(words: DataFrame, word: str) -> DataFrame:
-    """(word, cnt) of words of 1..MAX_WORD characters."""
-    return words.where((F.length(word) > 0) & (F.length(word) <= MAX_WORD)).groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
+    """(word, cnt) of the words, of any length; the empty word is none."""
+    return words.where(F.length(word) > 0).groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def trie_nodes(counts: DataFrame, word: str = "word") -> DataFrame:
     """(prefix, cnt, branching, max_child): words (with repetition) through each node, its children and the largest of them."""
-    prefixes = counts.select(F.col("cnt"), F.explode(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(F.col(word), F.lit(1), i))).alias("prefix"))
+    ends = counts.select("cnt", word, F.explode(F.sequence(F.lit(1), F.length(word))).alias("i"))  # a long word streams its beginnings
+    prefixes = ends.select("cnt", F.substring(F.col(word), F.lit(1), F.col("i")).alias("prefix"))
     nodes = prefixes.groupBy("prefix").agg(F.sum("cnt").alias("cnt"))
     parent = F.expr("substring(prefix, 1, length(prefix) - 1)")
     children = nodes.groupBy(parent.alias("prefix")).agg(F.count(F.lit(1)).alias("branching"), F.max("cnt").alias("max_child"))
@@ -37,8 +35,8 @@ def best_split(counts: DataFrame, branch_threshold: int = 15, reverse: bool = Fa
     score = F.round((F.lit(1.0) - F.col("max_child") / F.col("cnt")) * F.col("branching"), 9)
     nodes = nodes.select("prefix", F.col("cnt").alias("support"), score.alias("score")).where("score > 0")
     path = F.col("word") if as_written else F.col("w")
-    walked = own.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.struct(i.alias("i"), F.substring(path, F.lit(1), i).alias("prefix")))).alias("x"))
-    met = walked.select("word", F.col("x.i").alias("split_at"), F.col("x.prefix").alias("prefix")).join(nodes, "prefix")
+    walked = own.select("word", path.alias("path"), F.explode(F.sequence(F.lit(1), F.length(path))).alias("split_at"))
+    met = walked.select("word", "split_at", F.substring(F.col("path"), F.lit(1), F.col("split_at")).alias("prefix")).join(nodes, "prefix")
     best = Window.partitionBy("word").orderBy(F.col("score").desc(), F.col("split_at").desc())
     return met.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "split_at", "score", "support")
 

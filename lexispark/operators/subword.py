@@ -6,6 +6,7 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from lexispark.functions.text import subword_pretokens
 from lexispark.session import stored
 
 UNKNOWN = "[UNK]"
-#: Longest word type whose pieces are enumerated.
-MAX_WORD = 40
+#: Word types a task remembers while it encodes texts.
+REMEMBERED = 1_000_000
 
 
 def word_frequencies(docs: DataFrame, text: str) -> DataFrame:
@@ -31,15 +32,15 @@ def pair_stats(words: DataFrame) -> DataFrame:
     return split.select("freq", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
 
 
-def _merged(symbols: list[str], left: str, right: str) -> list[str]:
-    out, i = [], 0
-    while i < len(symbols):
-        if i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right:
-            out.append(left + right)
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
+def _joined(symbols: list[str], pair: tuple[str, str]) -> list[str]:
+    """The symbols with every occurrence of the pair made one, from the left; places are found first, then closed from the right."""
+    places: list[int] = []
+    for i, here in enumerate(zip(symbols, symbols[1:])):
+        if here == pair and (not places or i > places[-1] + 1):
+            places.append(i)
+    out = symbols[:]
+    for i in reversed(places):
+        out[i : i + 2] = ["".join(pair)]
     return out
 
 
@@ -69,7 +70,7 @@ def learn_merges(freqs: dict[str, int], merges: int, vocab_size: int | None = No
         changed = set()
         for w in where.pop(best):
             old = splits[w]
-            s = splits[w] = _merged(old, *best)
+            s = splits[w] = _joined(old, best)
             if len(s) == len(old):
                 continue
             for p in zip(old, old[1:]):
@@ -215,8 +216,7 @@ def _applied(symbols: list[str], ranked: dict[tuple[str, str], int]) -> list[str
         if not ranks:
             break
         done = min(ranks)
-        left, right = next(p for p in zip(symbols, symbols[1:]) if ranked.get(p) == done)
-        symbols = _merged(symbols, left, right)
+        symbols = _joined(symbols, next(p for p in zip(symbols, symbols[1:]) if ranked.get(p) == done))
     return symbols
 
 
@@ -226,24 +226,64 @@ def bpe_encode(words: DataFrame, merges: DataFrame, column: str = "word") -> Dat
     return _per_word(words, column, lambda word: _applied(list(word), ranked))
 
 
+def bpe_token_counts(docs: DataFrame, key: str, text: str, merges: DataFrame) -> DataFrame:
+    """(key, words, tokens) of every text with words: pre-tokens and the sub-words they are encoded to.
+
+    Texts are encoded where they are read; nothing is shuffled. The merges (a model of fixed size) are broadcast, and a task
+    remembers what it has encoded, up to REMEMBERED word types at once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({(r.left, r.right): r.rank for r in merges.collect()})
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, known = shared.value, {}
+        for batch in batches:
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy()
+            types = lists.flatten().dictionary_encode()
+            sizes = []
+            for w in types.dictionary.to_pylist():
+                size = known.get(w)
+                if size is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    size = known[w] = len(_applied(list(w), ranked))
+                sizes.append(size)
+            total = np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64)[types.indices.to_numpy()] if len(sizes) else np.zeros(0, dtype=np.int64))))
+            bounds = bounds - bounds[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.diff(total[bounds]))], names=[key, "words", "tokens"])
+
+    tokens = docs.select(key, subword_pretokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    return tokens.mapInArrow(step, f"`{key}` {dict(docs.dtypes)[key]}, words long, tokens long")
+
+
+def _spans(words: DataFrame, *carried: str) -> DataFrame:
+    """(word, carried, i, s): every substring s of each word with its place i, streamed row by row however long the word."""
+    starts = words.where(F.length("word") > 0).select("word", *carried, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    sized = starts.select("word", *carried, "i", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("i") + 1)).alias("j"))
+    return sized.select("word", *carried, "i", F.substring(F.col("word"), F.col("i"), F.col("j")).alias("s"))
+
+
 def word_pieces(words: DataFrame) -> DataFrame:
-    """(piece, word): all substrings of each word, '##' before those that don't begin it."""
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.struct(i.alias("i"), F.substring(F.col("word"), i, j - i + 1).alias("s")))))
-    piece = F.transform(spans, lambda x: F.when(x["i"] > 1, F.concat(F.lit("##"), x["s"])).otherwise(x["s"]))
-    return words.where((n > 0) & (n <= MAX_WORD)).select("word", F.explode(F.array_distinct(piece)).alias("piece"))
+    """(piece, word): all substrings of each word once, '##' before those that don't begin it.
+
+    A substring counts at the first place where it stands inside the word, so no copies are made that a shuffle would have to drop.
+    """
+    inner = F.expr("locate(s, word, 2) = i")
+    spans = _spans(words).where((F.col("i") == 1) | inner)
+    return spans.select("word", F.when(F.col("i") > 1, F.concat(F.lit("##"), "s")).otherwise(F.col("s")).alias("piece"))
 
 
 def piece_scores(words: DataFrame) -> DataFrame:
     """(piece, score): summed frequency of the words that hold the piece anywhere, over its length; each word counts once.
 
-    Substrings of a word are counted where they stand, so no word meets another.
+    One aggregation by substring: a word counts at the substring's first place, and whether it stands at the
+    beginning of a word, or inside one, says which pieces it makes.
     """
-    n = F.length("word")
-    inner = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(F.col("word"), i, j - i + 1)))))
-    held = words.where((n > 0) & (n <= MAX_WORD)).select("freq", F.explode(inner).alias("s")).groupBy("s").agg(F.sum("freq").alias("c"))
-    pieces = word_pieces(words).select("piece").distinct().withColumn("s", F.when(F.col("piece").startswith("##") & (F.length("piece") > 2), F.expr("substring(piece, 3)")).otherwise(F.col("piece")))
-    return pieces.join(held, "s").select("piece", (F.col("c") / F.length("s")).alias("score"))
+    spans = _spans(words, "freq").where((F.col("i") == 1) | F.expr("locate(s, word, 2) = i"))
+    first = F.expr("locate(s, word) = i")
+    held = spans.groupBy("s").agg(F.sum(F.when(first, F.col("freq"))).alias("c"), F.bool_or(F.col("i") == 1).alias("begins"), F.bool_or(F.col("i") > 1).alias("inside"))
+    pieces = F.array(F.when(F.col("begins"), F.col("s")), F.when(F.col("inside"), F.concat(F.lit("##"), "s")))
+    return held.select(F.explode(pieces).alias("piece"), (F.col("c") / F.length("s")).alias("score")).where("piece IS NOT NULL")
 
 
 def wordpiece_vocab(words: DataFrame, vocab_size: int = 32_000) -> DataFrame:
@@ -251,30 +291,27 @@ def wordpiece_vocab(words: DataFrame, vocab_size: int = 32_000) -> DataFrame:
 
     Scores don't change while the vocabulary grows, so growing it is a top-k; of equal scores the smaller piece.
     """
-    chars = words.where(F.length("word") <= MAX_WORD).select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
+    chars = words.select(F.explode(F.split("word", "")).alias("piece")).where("piece <> ''").distinct()
     base = chars.select("piece", F.lit(None).cast("double").alias("score")).union(words.sparkSession.createDataFrame([(UNKNOWN, None)], "piece string, score double"))
     room = max(0, vocab_size - base.count())
-    candidates = piece_scores(words).where(F.length("piece") > 1).join(base.select("piece"), "piece", "left_anti").select("piece", "score")
+    candidates = piece_scores(words).where((F.length("piece") > 1) & (F.col("piece") != UNKNOWN))
     return base.unionByName(candidates.orderBy(F.col("score").desc(), F.col("piece").asc()).limit(room))
 
 
 def wordpiece_encode(words: DataFrame, vocab: DataFrame, column: str = "word") -> DataFrame:
     """(word, pieces) of distinct words: the longest known piece at every place, [UNK] for a character without one."""
     known = {r.piece for r in vocab.select("piece").collect()}
+    longest = max(map(len, known), default=0)
     shared = words.sparkSession.sparkContext.broadcast(known)
 
     def encode(word: str) -> list[str]:
         own, out, start = shared.value, [], 0
         while start < len(word):
-            for end in range(len(word), start, -1):
-                piece = ("##" if start else "") + word[start:end]
-                if piece in own:
-                    out.append(piece)
-                    start = end
-                    break
-            else:
-                out.append(UNKNOWN)
-                start += 1
+            mark = "##" if start else ""
+            ends = range(min(len(word), start + longest), start, -1)
+            end = next((e for e in ends if mark + word[start:e] in own), None)
+            out.append(UNKNOWN if end is None else mark + word[start:end])
+            start = start + 1 if end is None else end
         return out
 
     return _per_word(words, column, encode)

@@ -11,13 +11,13 @@ from lexispark.plans.registry import query
 from lexispark.plans.text import documents, token_frequency
 
 _TYPES = "WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS word FROM documents)"
-_WORDS = "WITH w AS (SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS word FROM documents) WHERE length(word) <= 64 GROUP BY 1)"
+_WORDS = "WITH w AS (SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS word FROM documents) GROUP BY 1)"
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _IRREGULAR = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.IRREGULAR_PLURALS.items()) + " END"
 _PREFIX = "CASE " + " ".join(f"WHEN starts_with(word, '{p}') AND length(word) > {len(p) + 1} THEN '{p}'" for p in T.PREFIXES) + " END"
 _SUFFIX = "CASE " + " ".join(f"WHEN ends_with(word, '{s}') AND length(word) > {len(s) + 1} THEN '{s}'" for s in T.SUFFIXES) + " END"
-#: Branches a trie node must have: lower than the usual 15, as the generated English has few letters.
-BRANCHES = 5
+#: Fixed value: branches a trie node must have to be a place to split at.
+BRANCHES = 15
 
 
 def english_words(spark: SparkSession, d: str) -> DataFrame:
@@ -31,12 +31,18 @@ def dfa_accept(spark: SparkSession, d: str) -> DataFrame:
     return types.select("word", T.dfa_accepts(F.col("word")).alias("accepted"))
 
 
-@query(_TYPES + " SELECT word, regexp_full_match(word, '[ab]*b') AS accepted FROM t WHERE regexp_full_match(word, '[a-c]+')")
+@query(_TYPES + " SELECT word, regexp_full_match(word, '[a-z]+|[A-Z][a-z]*') AS accepted FROM t")
 def generic_dfa(spark: SparkSession, d: str) -> DataFrame:
-    """A table-driven automaton: words over a and b that end in b."""
-    moves = {("q0", "a"): "q0", ("q0", "b"): "q1", ("q1", "a"): "q0", ("q1", "b"): "q1"}
-    types = token_frequency(spark, d).select(F.col("token").alias("word")).where(F.col("word").rlike("^[a-c]+$"))
-    return types.select("word", T.run_dfa(F.col("word"), moves, "q0", {"q1"}).alias("accepted"))
+    """The table-driven automaton of English words (see text.word_automaton) over all tokens."""
+    types = token_frequency(spark, d).select(F.col("token").alias("word"))
+    return types.select("word", T.run_dfa(F.col("word"), *T.word_automaton()).alias("accepted"))
+
+
+@query()
+def dfa_test_words(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded words of every category that exercises the automaton, with its verdict."""
+    words = spark.createDataFrame(T.sample_words(), "category string, number int, word string")
+    return words.select("category", "number", "word", T.run_dfa(F.col("word"), *T.word_automaton()).alias("accepted"))
 
 
 @query(
@@ -55,16 +61,10 @@ def plural_fst(spark: SparkSession, d: str) -> DataFrame:
     return types.select("word", T.plural_root(F.col("word")).alias("r"), T.plural_analysis(F.col("word")).alias("analysis")).select("word", "r.root", "r.number", "analysis")
 
 
-#: The labelled edges of the plural automaton.
-PLURAL_EDGES = (
-    ("start", "letters", "stem"), ("stem", "s|x|z|ch|sh + es", "plural"), ("stem", "ies -> y", "plural"), ("stem", "other + s", "plural"),
-    ("start", "irregular form", "plural"), ("stem", "end of word", "singular"), ("start", "not alphabetic", "invalid"),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in PLURAL_EDGES) + ") AS e(source, label, target)")
+@query()
 def plural_fst_edges(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(PLURAL_EDGES, "source string, label string, target string")
+    """The labelled edges of the three drawings of the plural automaton."""
+    return spark.createDataFrame(T.plural_edges(), "diagram string, source string, target string, label string")
 
 
 @query(
@@ -78,13 +78,13 @@ def affix_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.select("word", "prefix", F.col("s.suffix").alias("suffix"), F.col("s.stem").alias("stem"))
 
 
-def _trie_sql(word: str) -> str:
+def _trie_sql(word: str, path: str = "w") -> str:
     return f"""own AS (SELECT word, cnt, {word} AS w FROM w),
  p AS (SELECT left(w, i) AS prefix, sum(cnt) AS cnt FROM own, unnest(range(1, length(w) + 1)) AS u(i) GROUP BY 1),
  c AS (SELECT left(prefix, length(prefix) - 1) AS prefix, count(*) AS branching, max(cnt) AS max_child FROM p GROUP BY 1),
  n AS (SELECT p.prefix, p.cnt AS support, round((1 - max_child / p.cnt::DOUBLE) * branching, 9) AS score FROM p JOIN c USING (prefix) WHERE branching >= {BRANCHES}),
  m AS (SELECT word, i AS split_at, score, support, row_number() OVER (PARTITION BY word ORDER BY score DESC, i DESC) AS r
-       FROM (SELECT word, i, left(w, i) AS prefix FROM own, unnest(range(1, length(w) + 1)) AS u(i)) JOIN n USING (prefix) WHERE score > 0),
+       FROM (SELECT word, i, left({path}, i) AS prefix FROM own, unnest(range(1, length(w) + 1)) AS u(i)) JOIN n USING (prefix) WHERE score > 0),
  best AS (SELECT word, split_at, score, support FROM m WHERE r = 1)"""
 
 
@@ -98,6 +98,12 @@ def trie_suffix_split(spark: SparkSession, d: str) -> DataFrame:
     return M.best_split(english_words(spark, d), BRANCHES, reverse=True).withColumn("score", F.round("score", 6))
 
 
+@query(_WORDS + ", " + _trie_sql("reverse(word)", "word") + " SELECT word, split_at::INT AS split_at, round(score, 6) AS score, support::BIGINT AS support FROM best")
+def trie_suffix_as_written(spark: SparkSession, d: str) -> DataFrame:
+    """The double reversal: the word is walked forwards in the trie of reversed words."""
+    return M.best_split(english_words(spark, d), BRANCHES, reverse=True, as_written=True).withColumn("score", F.round("score", 6))
+
+
 def _stem_sql(side: str) -> str:
     if side == "prefix":
         affix, stem, trie = _PREFIX, "substr(word, length(affix) + 1)", "word"
