@@ -10,7 +10,7 @@ from lexispark.operators import classify as C
 from lexispark.operators import tagging as H
 from lexispark.plans.language_models import _APP, passages, rounded
 from lexispark.plans.registry import query
-from lexispark.session import checkpointed
+from lexispark.session import stored
 from lexispark.sources.tables import latest_once_wide, table
 
 _M = MESSAGE_PATTERN.replace("'", "''")
@@ -154,19 +154,19 @@ def hmm_emissions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def viterbi_decode(spark: SparkSession, d: str) -> DataFrame:
     t = _tagged(spark, d)
-    return H.decode(_tagged(spark, d, "test"), "sent_id", "words", checkpointed(H.hmm_transitions(t)), checkpointed(H.hmm_emissions(t)))
+    return H.decode(_tagged(spark, d, "test"), "sent_id", "words", stored(H.hmm_transitions(t)), stored(H.hmm_emissions(t)))
 
 
 @query()
 def tagger_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and macro figures of the tagger, averaged over three contiguous folds."""
-    rows = checkpointed(_tagged(spark, d))
+    rows = stored(_tagged(spark, d))
     folds = C.k_folds(rows, "sent_id", 3)
-    placed = checkpointed(rows.join(folds, "sent_id"))
+    placed = stored(rows.join(folds, "sent_id"))
     reports = []
     for fold in range(3):
         fit, held = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
-        guess = H.decode(held, "sent_id", "words", checkpointed(H.hmm_transitions(fit)), checkpointed(H.hmm_emissions(fit)))
+        guess = H.decode(held, "sent_id", "words", stored(H.hmm_transitions(fit)), stored(H.hmm_emissions(fit)))
         truth = held.select("sent_id", F.posexplode("tags").alias("pos", "truth"))
         reports.append(C.classification_report(guess.join(truth, ["sent_id", "pos"]), "truth", "tag"))
     both = reports[0].unionByName(reports[1]).unionByName(reports[2])

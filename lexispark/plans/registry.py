@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "morphology", "language_models", "vector_space", "classification", "subwords")
+MODULES = ("text", "morphology", "language_models", "vector_space", "classification", "subwords", "files")
 
 
 def query(sql: str | None = None):
@@ -36,9 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Columns that are 32-bit in Spark (array sizes, positions, ranks) and 64-bit in the SQL.
 _INT_COLUMNS = {
-    "sent_idx": "sentence_split", "tok_idx": "message_tokens subword_pretokens", "tokens": "blank_tokens", "types": "blank_tokens", "pairs": "distinct_pairs", "pos": "pmi",
+    "sent_idx": "sentence_split io_token_documents io_sentence_documents", "tok_idx": "io_token_documents message_tokens subword_pretokens", "tokens": "blank_tokens", "types": "blank_tokens", "pairs": "distinct_pairs", "pos": "pmi io_tagged_corpus io_tagged_columns",
     "place": "tfidf_top_terms cosine_knn_aligned cosine_knn_full cosine_knn_self",
-    "n": "ngram_vocab ngram_mle ngram_top freq_of_freq context_sums add_one add_k token_type smoothing_comparison select_model smoothing_summary sentence_score_matrix extreme_sentences sentence_probability_smoothed katz_textbook_weights good_turing_table good_turing_prob katz_discount katz_prob katz_backoff_weights kn_discount kn_prob",
+    "n": "io_ngram_tables io_smoothing_tables ngram_vocab ngram_mle ngram_top freq_of_freq context_sums add_one add_k token_type smoothing_comparison select_model smoothing_summary sentence_score_matrix extreme_sentences sentence_probability_smoothed katz_textbook_weights good_turing_table good_turing_prob katz_discount katz_prob katz_backoff_weights kn_discount kn_prob",
 }
 
 

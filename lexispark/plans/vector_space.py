@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams as gram_arrays
+from lexispark.monitor import memory_usage, watched
 from lexispark.operators import vectors as V
 from lexispark.plans.language_models import _APP, _G, kept_counts, passages, rounded
 from lexispark.plans.registry import query
@@ -207,3 +208,11 @@ def operation_counters(spark: SparkSession, d: str) -> DataFrame:
     long = lambda x: x.select(F.col("sent_id").alias("id"), "term", "value")
     met = V.similarity_moments(long(asked), long(train)).select(F.col("k").alias("pairs_met"))
     return size.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(products))
+
+
+@query()
+def memory_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """Memory of the driver and the executors after the passages were read once."""
+    with watched("passages"):
+        _passages(spark, d).count()
+    return memory_usage(spark)

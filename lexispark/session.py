@@ -65,19 +65,24 @@ def ship(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder; what is written there is deleted with the application, or by drop_stored()."""
+    context = spark.sparkContext
+    target = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _STORED.append((context.applicationId, target))
+    return target
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a compressed parquet table in the shared folder: columns not needed later aren't read back.
 
     The table is deleted when the application ends, or by drop_stored().
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    target = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    target = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(target)
-    path = context._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    _STORED.append((context.applicationId, target))
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 _STORED: list[tuple[str, str]] = []

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators.smoothing import additive, summary_report
+from lexispark.sources.readers import generated_name
+
 
 def token_documents(tokens: DataFrame, path: str) -> None:
     """JSON lines (doc_id, sentences as arrays of tokens) from (doc_id, sent_idx, tok_idx, token)."""
@@ -52,13 +57,45 @@ def pmi_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
-def generated_sentences(rows: DataFrame, name: str, folder: str) -> None:
-    """Text file of generated sentences; the name is lower case with '_' for blanks."""
-    rows.select("sentence").write.mode("overwrite").text(f"{folder}/{name.lower().replace(' ', '_')}")
+def smoothing_tables(counts: DataFrame, folder: str) -> None:
+    """complete/: n, gram, cnt, method, p as JSON lines; summary/: a row per order."""
+    json_table(additive(counts), f"{folder}/complete")
+    json_table(summary_report(counts), f"{folder}/summary")
+
+
+def sentence_probabilities(rows: DataFrame, orders: list[int], methods: tuple[str, ...], folder: str) -> None:
+    """sentence_probabilities/: a JSON line per sentence; metadata/: how many, by which orders and methods."""
+    json_table(rows, f"{folder}/sentence_probabilities")
+    about = rows.agg(F.count(F.lit(1)).alias("total_sentences"))
+    json_table(about.select("total_sentences", F.array(*map(F.lit, methods)).alias("smoothing_methods"), F.array(*map(F.lit, orders)).alias("ngram_orders")), f"{folder}/metadata")
+
+
+def generated_sentences(greedy: DataFrame, beam: DataFrame, model: str, language: str, folder: str) -> None:
+    """A JSON object with both lists, and a text folder for each, from (number, sentence). The lists are as long as was asked for (100)."""
+    base = f"{folder}/{generated_name(model, language)}"
+    listed = lambda df, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "sentence"))), lambda x: x["sentence"]).alias(name))
+    both = listed(greedy, "greedy").crossJoin(listed(beam, "beam_search"))
+    json_table(both.select(F.lit(model).alias("model_name"), F.lit(language).alias("language"), F.size("greedy").alias("num_sentences"), "greedy", "beam_search"), f"{base}_generated_sentences")
+    for rows, kind in ((greedy, "greedy"), (beam, "beam_search")):
+        rows.orderBy("number").select("sentence").write.mode("overwrite").text(f"{base}_{kind}_sentences")
+
+
+def stem_lines(stems: DataFrame, side: str, path: str) -> None:
+    """A line per word from morphology.stem_words: rule splits, trie splits with their score, and words that stay whole."""
+    w, stem, affix = F.col("word"), F.col("stem"), F.col("affix")
+    ruled = F.format_string(f"%s=%s+%s [freq=%d, prob=%.4f, common_{side}]", w, *((affix, stem) if side == "prefix" else (stem, affix)), F.col("freq"), F.col("prob"))
+    tried = F.format_string("%s=%s+%s [score=%.4f, freq=%d, prob=%.4f]", w, stem, affix, F.col("score"), F.col("freq"), F.col("prob"))
+    line = F.when(F.col("how") == "rule", ruled).when(F.col("how") == "trie", tried).otherwise(F.format_string("%s=%s+ [nosplit]", w, w))
+    stems.orderBy("word").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def analysis_lines(rows: DataFrame, column: str, path: str) -> None:
+    """A line per analysis, in order."""
+    rows.orderBy(column).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
 def vocabulary(df: DataFrame, path: str) -> None:
-    """(term, term_id) as JSON lines."""
+    """(term, term_id) as JSON lines in the order of the ids; readers.vocabulary reads it back."""
     df.orderBy("term_id").write.mode("overwrite").json(path)
 
 
@@ -79,10 +116,23 @@ def term_report(top: DataFrame, documents: int = 5) -> DataFrame:
     return top.join(F.broadcast(first), "sent_id").groupBy("sent_id").agg(F.array_join(lines, "\n").alias("report"))
 
 
+def sparse_blocks(triples: DataFrame, path: str, rows_per_block: int = 1000) -> None:
+    """Blocks of rows as arrays data, indices and indptr (from 0), from (row, col, value): every block is made by one task."""
+
+    def block(cells: pa.Table) -> pa.Table:
+        cells = cells.sort_by([("row", "ascending"), ("col", "ascending")])
+        first = cells["block"][0].as_py() * rows_per_block
+        sizes = np.bincount(cells["row"].to_numpy() - first)
+        columns = {"first_row": [first], "data": [cells["value"].to_numpy()], "indices": [cells["col"].to_numpy()], "indptr": [np.concatenate(([0], np.cumsum(sizes)))]}
+        return pa.table({name: pa.array(v, type=pa.int64() if name == "first_row" else pa.list_(pa.float64() if name == "data" else pa.int64())) for name, v in columns.items()})
+
+    keyed = triples.select(F.floor(F.col("row") / rows_per_block).alias("block"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"))
+    made = keyed.groupBy("block").applyInArrow(block, "first_row long, data array<double>, indices array<long>, indptr array<long>")
+    made.write.mode("overwrite").parquet(path)
+
+
 def sparse_matrix(triples: DataFrame, rows: int, cols: int, path: str) -> None:
     """One matrix (row, col, value) as a compressed sparse file. For collections that fit one file; else keep the long table."""
-    import numpy as np
-
     frame = triples.orderBy("row", "col").toPandas()
     indptr = np.concatenate(([0], np.cumsum(np.bincount(frame["row"], minlength=rows))))
     Path(path).parent.mkdir(parents=True, exist_ok=True)

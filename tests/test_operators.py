@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,32 @@ def test_splits_and_report(spark):
     assert (r.accuracy, r.macro_precision, r.macro_recall, r.macro_f1) == (0.5, 0.75, 0.5, 0.583333)
 
 
+def test_viterbi_matches_one_sentence_at_a_time():
+    """Side by side, with many tags and few seen steps, against every previous tag tried; ties go to the smaller tag."""
+    rng = np.random.default_rng(2)
+    tags = [f"t{i:02}" for i in range(12)]
+    seen = [(tags[a], tags[b], int(n)) for a, b, n in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 9, 40))]
+    seen = list({(a, b): (a, b, n) for a, b, n in seen}.values()) + [("<START>", "t03", 4), ("t05", "<END>", 2)]
+    totals = {t: 30 for t in tags} | {"<START>": 4}
+    moves = tagging.Moves(tags, totals, seen, 14)
+    count = {(a, b): n for a, b, n in seen}
+    step = lambda a, b: math.log((count.get((a, b), 0) + 1) / (totals[a] + 14))
+    sizes = [3, 1, 7, 2, 7, 1]
+    scores = np.log(rng.random((sum(sizes), 12)))
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    got = tagging.viterbi(scores, begin, moves)
+    for low, n in zip(begin, sizes):
+        layer = {t: step("<START>", t) + scores[low, i] for i, t in enumerate(tags)}
+        for k in range(1, n):
+            layer = {t: max(layer[p] + step(p, t) for p in tags) + scores[low + k, i] for i, t in enumerate(tags)}
+        path = [tags[i] for i in got[low : low + n]]
+        score = sum(step(a, b) + scores[low + k, tags.index(b)] for k, (a, b) in enumerate(zip(["<START>", *path], path)))
+        assert math.isclose(score, max(layer.values()))
+    assert len(tagging.viterbi(np.zeros((0, 12)), np.zeros(0, dtype=np.int64), moves)) == 0
+    flat = tagging.Moves(["a", "b"], {}, [], 4)
+    assert list(tagging.viterbi(np.zeros((3, 2)), np.array([0]), flat)) == [0, 0, 0]
+
+
 def test_viterbi_against_all_paths(spark):
     random.seed(3)
     rows = [(i, [random.choice("uvwxyz") for _ in range(n)], n) for i, n in enumerate([1, 2, 3, 4, 3, 2, 4])]
@@ -269,6 +296,32 @@ def test_viterbi_against_all_paths(spark):
     assert totals[tagging.START] == 7
 
 
+def regex_joined(symbols, pair):
+    """The pair joined by rewriting the symbols as one string."""
+    marked = "\x00" + "\x00\x00".join(symbols) + "\x00"
+    return marked.replace(f"\x00{pair[0]}\x00\x00{pair[1]}\x00", f"\x00{pair[0]}{pair[1]}\x00").strip("\x00").split("\x00\x00")
+
+
+def test_long_words_count(spark):
+    """No word is too long: a frequent one of 50 characters wins the merges, and long runs have all their pieces and tries."""
+    long = "".join(chr(ord("a") + i % 26) for i in range(50))
+    words = spark.createDataFrame([(long, 1000), ("ab", 1), ("q" * 70, 2)], "word string, freq long")
+    merges = subword.bpe_train(words, 49)
+    assert {r.word: r.pieces for r in subword.bpe_encode(words, merges).collect()}[long] == [long]
+    pieces = {}
+    for r in subword.word_pieces(words).collect():
+        pieces.setdefault(r.word, []).append(r.piece)
+    for w, got in pieces.items():
+        want = {("##" if i else "") + w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+        assert len(got) == len(set(got)) and set(got) == want
+    scores = {r.piece: r.score for r in subword.piece_scores(words).collect()}
+    assert scores[long] == 1000 / 50 and scores["##" + long[1:]] == 1000 / 49 and scores["ab"] == 1001 / 2 and set(scores) == set().union(*pieces.values())
+    counts = morphology.word_counts(spark.createDataFrame([("x" * 100,), ("y" * 100 + "a",), ("y" * 100 + "b",)], "w string"), "w")
+    assert counts.count() == 3
+    split = {r.word: r.split_at for r in morphology.best_split(counts, 2).collect()}
+    assert split == {"y" * 100 + "a": 100, "y" * 100 + "b": 100}
+
+
 def test_subwords(spark):
     texts = ["low lower lowest", "new newer newest low", "क्या यह नया है", None, ""]
     words = subword.word_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
@@ -287,7 +340,7 @@ def test_subwords(spark):
                 break
             best = min(stats, key=lambda p: (-stats[p], p))
             out.append(best)
-            splits = {w: subword._merged(s, *best) for w, s in splits.items()}
+            splits = {w: regex_joined(s, best) for w, s in splits.items()}
         return out, splits
 
     want, splits = naive(8)
@@ -355,6 +408,77 @@ def test_skewed_joins(spark):
     assert skew.hot_keys(values, "k", "w", parts=2).count() <= 2
 
 
+def test_blocks_do_not_change_neighbours(spark):
+    """Small blocks against one block against all pairs; ties, fill, alignment, self and empty sides."""
+    rng = random.Random(4)
+    cell = [(i, f"t{rng.randrange(25)}", float(rng.randint(1, 3))) for i in range(60) for _ in range(4)]
+    rows = {(i, t): v for i, t, v in cell}
+    rows |= {(60 + k, t): v for (i, t), v in list(rows.items()) if i == 7 for k in range(3)}  # copies: ties
+    df = spark.createDataFrame([(i, t, v) for (i, t), v in rows.items()], "id long, term string, value double")
+    asked = df.where("id % 5 = 0").unionByName(spark.createDataFrame([(1000, "unknown", 1.0)], "id long, term string, value double"))
+
+    def brute(base_terms=None, itself=False):
+        docs = {}
+        for r in df.collect():
+            if base_terms is None or r.term in base_terms:
+                docs.setdefault(r.id, {})[r.term] = r.value
+        norm = {i: math.sqrt(sum(v * v for v in d.values()) + 1e-12) for i, d in docs.items()}
+        out = set()
+        for q in (i for i in docs if i % 5 == 0):
+            near = [(-round(sum(v * docs[b].get(t, 0) for t, v in docs[q].items()) / norm[q] / norm[b], 6), b) for b in docs if docs[q].keys() & docs[b].keys() and not (itself and b == q)]
+            out |= {(q, b, -s, k + 1) for k, (s, b) in enumerate(sorted(near)[:5])}
+        return out
+
+    for entries in (30, 10**6):
+        got = {(r.query, r.neighbour, r.score, r.place) for r in vectors.cosine_neighbours(asked, df, exclude_self=True, block_entries=entries).collect()}
+        assert got == brute(itself=True)
+        some = {f"t{i}" for i in range(12)}
+        vocabulary = spark.createDataFrame([(t,) for t in some], "term string")
+        got = {(r.query, r.neighbour, r.score, r.place) for r in vectors.cosine_neighbours(asked, df, align=True, vocabulary=vocabulary, block_entries=entries).collect()}
+        assert got == brute(base_terms=some)
+        filled = vectors.cosine_neighbours(asked, df, fill=df.select("id").distinct(), asked=asked.select("id"), block_entries=entries).collect()
+        assert Counter(r.query for r in filled) == {q: 5 for q in [*{i for i, _ in rows if i % 5 == 0}, 1000]}
+        assert [(r.neighbour, r.score) for r in sorted(filled, key=lambda r: r.place) if r.query == 1000] == [(i, 0.0) for i in range(5)]
+        k = vectors.similarity_moments(asked, df, block_entries=entries).first()
+        assert k.k == sum(1 for q in {i for i, _ in rows if i % 5 == 0} for b in {i for i, _ in rows} if {t for i, t in rows if i == q} & {t for i, t in rows if i == b})
+    none = df.where("false")
+    assert vectors.cosine_neighbours(none, df).count() == 0 and vectors.cosine_neighbours(df, none).count() == 0
+    assert vectors.similarity_moments(none, none).first().k == 0
+
+
+def test_hot_keys_are_parted(spark):
+    """A key with two thirds of the rows is spread; arrays, several keys, nulls and left joins keep their rows."""
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i % 2) for i in range(3000)] + [(-1, None, 0), (-2, "absent", 1)], "id long, k string, side int")
+    values = spark.createDataFrame([("hot", 0, 1000, 5), ("hot", 1, 1000, 6), *[(f"k{i}", i % 2, 1, i) for i in range(0, 3000, 3)]], "k string, side int, w long, v long")
+    got = {r.id: r.v for r in skew.lookup_join(rows, values, ["k", "side"], "w", "left").collect()}
+    assert got == {i: (5 + i % 2 if i % 3 else i) for i in range(3000)} | {-1: None, -2: None}
+    assert skew.lookup_join(rows, values, ["k", "side"], "w").count() == 3000
+    salts = {(r.k, r.side): r["__salts"] for r in skew.salts_of(values, ["k", "side"], "w").collect()}
+    assert salts == {("hot", 0): 334, ("hot", 1): 334}
+    arrays = skew.lookup_join(rows.select("id", F.array("k", F.lit("x")).alias("g")), spark.createDataFrame([(["hot", "x"], 9, 1)], "g array<string>, w long, v long"), "g", "w")
+    assert arrays.count() == 2000
+
+
+def test_stored_tables(spark, tmp_path):
+    from lexispark import session
+
+    kept = session.stored(spark.range(5))
+    assert kept.count() == 5 and session.drop_stored(spark) >= 1 and session.drop_stored(spark) == 0
+
+    class Elsewhere:
+        """A session on a cluster that names no shared folder."""
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+
+
 def test_core_operators_on_nothing(spark):
     """Empty tables, null arrays and extra columns with names used inside."""
     docs = spark.createDataFrame([], "id long, toks array<string>, gram int, n int, cnt int")
@@ -391,7 +515,7 @@ def test_bpe_to_the_end_against_full_scans():
             break
         best = min(stats, key=lambda p: (-stats[p], p))
         want.append((*best, stats[best]))
-        splits = {w: subword._merged(s, *best) for w, s in splits.items()}
+        splits = {w: regex_joined(s, best) for w, s in splits.items()}
     assert subword.learn_merges(freqs, 10**6) == want
     short = subword.learn_merges(freqs, 10**6, vocab_size=50)
     assert 3 + len({a + b for a, b, _ in short}) == 50 and short == want[: len(short)]
@@ -432,7 +556,7 @@ def test_next_merges_are_those_of_one_at_a_time():
                 break
             sizes.append(len(batch))
             for left, right, n in batch:
-                splits = {w: subword._merged(s, left, right) for w, s in splits.items()}
+                splits = {w: regex_joined(s, (left, right)) for w, s in splits.items()}
             got += batch
         assert got == want
     assert max(sizes) > 3
