@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import has_exclaim, has_number, has_url, message_tokens, ngrams
 from lexispark.operators.ranges import PART_ROWS, range_bounds, range_part, ranked
+from lexispark.operators.skew import lookup_join
 
 FLAGS = ("has_url", "has_number", "has_exclaim")
 
@@ -48,14 +49,14 @@ def nb_scores(docs: DataFrame, key: str, features: Column, counts: DataFrame, cl
     """(key, label, score): ln prior + flag terms + the summed ln p of all features, unknown ones smoothed or skipped.
 
     Labels are few and broadcast; features meet their counts in one join on the feature, whose counts per label travel
-    as one map, so a frequent feature is one row. ``classes`` comes from class_counts.
+    as one map; frequent features are parted (see lookup_join). ``classes`` comes from class_counts.
     """
     totals = counts.groupBy("label").agg(F.sum("cnt").alias("total"))
     v = counts.select("feature").distinct().agg(F.count(F.lit(1)).alias("v"))
     known = classes.join(F.broadcast(totals), "label", "left").crossJoin(F.broadcast(v)).withColumn("total", F.coalesce("total", F.lit(0)))
-    per_feature = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label", "cnt"))).alias("m"))
+    per_feature = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label", "cnt"))).alias("m"), F.sum("cnt").alias("w"))
     rows = docs.select(key, F.explode(features).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("times"))
-    met = rows.join(per_feature, "feature", "inner" if skip_unknown else "left")
+    met = lookup_join(rows, per_feature, "feature", "w", "inner" if skip_unknown else "left")
     p = (F.coalesce(F.element_at("m", F.col("label")), F.lit(0)) + F.lit(k)) / (F.col("total") + F.lit(k) * F.col("v"))
     sums = met.crossJoin(F.broadcast(known.select("label", "total", "v"))).groupBy(key, "label").agg(F.sum(F.col("times") * F.ln(p)).alias("s"))
     own = docs.select(key, *[F.col(f).alias(f"d_{f}") for f in FLAGS] if flags else [])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams
@@ -15,6 +15,11 @@ def join_grams(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("__h", h).join(right.withColumn("__h", h), ["__h", *keys], how).drop("__h")
 
 
+def digest(gram: Column | str, prefix: str = "h") -> list[Column]:
+    """128 bits of hash by which n-grams are told apart where only their numbers travel: two columns, <prefix>a and <prefix>b."""
+    return [F.xxhash64(gram).alias(f"{prefix}a"), F.xxhash64(F.lit(1), gram).alias(f"{prefix}b")]
+
+
 def within(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     """(gram) rows of all orders inside each row's token array: no shuffle.
 
@@ -82,9 +87,9 @@ def mle(counts: DataFrame) -> DataFrame:
     """
     total = counts.where("n = 1").agg(F.sum("cnt").alias("total"))
     ones = counts.where("n = 1").crossJoin(F.broadcast(total)).withColumn("p", F.col("cnt") / F.col("total")).drop("total")
-    history = counts.select(F.col("gram").alias("history"), F.col("cnt").alias("seen"))
-    more = counts.where("n > 1").withColumn("history", F.slice("gram", F.lit(1), F.col("n") - 1))
-    conditional = join_grams(more, history, ["history"], "left").withColumn("p", F.coalesce(F.col("cnt") / F.col("seen"), F.lit(0.0))).select("n", "gram", "cnt", "p")
+    history = counts.select(*digest("gram", "k"), F.col("cnt").alias("seen"))
+    more = counts.where("n > 1").select("n", "gram", "cnt", *digest(F.slice("gram", F.lit(1), F.col("n") - 1), "k"))
+    conditional = more.join(history, ["ka", "kb"], "left").select("n", "gram", "cnt", F.coalesce(F.col("cnt") / F.col("seen"), F.lit(0.0)).alias("p"))
     return ones.unionByName(conditional)
 
 

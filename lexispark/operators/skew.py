@@ -27,6 +27,12 @@ def salts_of(values: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     return values.join(F.broadcast(total), F.col(weight) * F.lit(HOT_PARTS) >= F.col("__total")).select(*keys, salts.alias("__salts"))
 
 
+def hot_table(values: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """salts_of as a local table (at most HOT_PARTS rows by arithmetic), for a query that needs it in several joins."""
+    found = salts_of(values, keys, weight)
+    return values.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def lookup_join(rows: DataFrame, values: DataFrame, key: str | Sequence[str], weight: str | None = None, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` to ``values`` (one row per ``key``) without sending a hot key to one task.
 

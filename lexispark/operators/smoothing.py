@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators.ngrams import join_grams
-from lexispark.operators.skew import lookup_join
+from lexispark.operators.ngrams import digest
+from lexispark.operators.skew import hot_table, lookup_join
 
 #: ln of the smallest positive double: a product below it would be 0.
 UNDERFLOW = -745.0
 
 
 def totals(counts: DataFrame) -> DataFrame:
-    """(n, total, types, vocab) per order; vocab is the number of unigram types. As many rows as orders."""
-    vocab = counts.where("n = 1").agg(F.count(F.lit(1)).alias("vocab"))
-    return counts.groupBy("n").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("types")).crossJoin(F.broadcast(vocab))
+    """(n, total, types, vocab) per order; vocab is the number of unigram types. As many rows as orders, from one scan."""
+    per = counts.groupBy("n").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("types"))
+    return per.withColumn("vocab", F.coalesce(F.max(F.when(F.col("n") == 1, F.col("types"))).over(_orders()), F.lit(0)))
+
+
+def _orders():
+    """All rows of a table with one row per order."""
+    return Window.partitionBy(F.lit(0))
 
 
 METHODS = ("add_one", "add_k", "token_type")
@@ -64,17 +69,15 @@ def sentence_grams(sentences: DataFrame, key: str, tokens: str, orders: list[int
     return windows.select(key, "place", F.explode(cells).alias("x")).where("x IS NOT NULL").select(key, "x.n", "place", "x.gram")
 
 
-def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFrame, orders: list[int], values: dict[str, Column], short: float | None = None, weight: str | None = None) -> DataFrame:
+def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFrame, orders: list[int], values: dict[str, Column], short: float | None = None, hot: DataFrame | None = None) -> DataFrame:
     """(key, n, token_count, grams, one ln p per value) of every sentence with tokens and every order.
 
-    ``model`` (n, gram, ...) meets the n-grams in one left join; each of ``values`` is the probability of one n-gram, as an
-    expression of the model's columns (null for n-grams not in it), and is multiplied over the sentence. A sentence shorter
-    than n has ln ``short``, or null (probability 0) without it. ``weight`` is the model's column by which
-    frequent n-grams are parted.
+    ``model`` (n, gram, ...) meets the n-grams in one left join by digests of 128 bits; each of ``values`` is the probability of
+    one n-gram, as an expression of the model's columns (null for n-grams not in it), and is multiplied over the sentence. A sentence
+    shorter than n has ln ``short``, or null (probability 0) without it. ``hot`` (see gram_salts) parts frequent n-grams.
     """
     filled = sentences.where(F.size(tokens) > 0)
-    grams = sentence_grams(filled, key, tokens, orders)
-    rows = join_grams(grams, model, ["gram", "n"], "left") if weight is None else lookup_join(grams, model, ["gram", "n"], weight, "left")
+    rows = _looked_up(sentence_grams(filled, key, tokens, orders).select(key, "n", "gram"), model, hot)
     sums = rows.groupBy(key, "n").agg(F.count(F.lit(1)).alias("grams"), *[F.sum(F.ln(p)).alias(name) for name, p in values.items()])
     # sentences shorter than n have no n-gram: they are known without a join
     size = F.size(tokens)
@@ -85,6 +88,18 @@ def score_sentences(sentences: DataFrame, key: str, tokens: str, model: DataFram
     return whole.unionByName(lacking.select(key, "n", "token_count", F.lit(0).cast("long").alias("grams"), *[none.alias(v) for v in values]))
 
 
+def gram_salts(counts: DataFrame) -> DataFrame:
+    """The salts of frequent n-grams (see skew.lookup_join) by their digests."""
+    return hot_table(counts.select(*digest("gram", "k"), "cnt"), ["ka", "kb"], "cnt")
+
+
+def _looked_up(rows: DataFrame, model: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The rows (n, gram, ...) with the columns of the model's n-gram, or nulls; only digests of the n-grams travel."""
+    hashed = lambda df: df.select(*[c for c in df.columns if c != "gram"], *digest("gram", "k"))
+    left, right = hashed(rows), hashed(model).drop("n")
+    return left.join(right, ["ka", "kb"], "left") if hot is None else lookup_join(left, right, ["ka", "kb"], how="left", hot=hot)
+
+
 def good_turing_counts(nc: DataFrame, threshold: int = 100) -> DataFrame:
     """(n, cnt, nc, c_star): (c+1)·N(c+1)/N(c) up to the threshold where N(c+1) > 0, else c itself."""
     following = nc.select("n", (F.col("cnt") - 1).alias("cnt"), F.col("nc").alias("next_nc"))
@@ -92,10 +107,11 @@ def good_turing_counts(nc: DataFrame, threshold: int = 100) -> DataFrame:
     return nc.join(following, ["n", "cnt"], "left").select("n", "cnt", "nc", star.alias("c_star"))
 
 
-def good_turing_unseen(counts: DataFrame, nc: DataFrame) -> DataFrame:
-    """(n, total, types, vocab, c_zero, p_unseen): N1/types shared by max(1, V^n - types) unseen n-grams."""
-    n1 = nc.where("cnt = 1").select("n", F.col("nc").alias("n1"))
-    t = totals(counts).join(F.broadcast(n1), "n", "left")
+def good_turing_unseen(nc: DataFrame) -> DataFrame:
+    """(n, total, types, vocab, c_zero, p_unseen): N1/types shared by max(1, V^n - types) unseen n-grams. ``nc``: n, cnt, nc."""
+    n1 = F.max(F.when(F.col("cnt") == 1, F.col("nc")))
+    t = nc.groupBy("n").agg(F.sum(F.col("cnt") * F.col("nc")).alias("total"), F.sum("nc").alias("types"), n1.alias("n1"))
+    t = t.withColumn("vocab", F.coalesce(F.max(F.when(F.col("n") == 1, F.col("types"))).over(_orders()), F.lit(0)))
     ones = F.coalesce(F.col("n1"), F.lit(1)).cast("double")
     free = F.greatest(F.lit(1.0), F.pow(F.col("vocab").cast("double"), F.col("n")) - F.col("types"))
     return t.select("n", "total", "types", "vocab", (ones / F.col("types")).alias("c_zero"), (ones / (F.col("types") * free)).alias("p_unseen"))
@@ -108,7 +124,7 @@ def good_turing(counts: DataFrame, threshold: int = 100) -> tuple[DataFrame, Dat
     and is broadcast: the many n-grams seen once never meet in one task.
     """
     nc = counts.groupBy("n", "cnt").agg(F.count(F.lit(1)).alias("nc"))
-    unseen = good_turing_unseen(counts, nc)
+    unseen = good_turing_unseen(nc)
     low = F.broadcast(good_turing_counts(nc, threshold).where(F.col("cnt") <= threshold).drop("nc"))
     star = F.coalesce(F.col("c_star"), F.col("cnt").cast("double"))
     model = counts.join(low, ["n", "cnt"], "left").join(F.broadcast(unseen.select("n", "total")), "n").select("n", "gram", "cnt", (star / F.col("total")).alias("p"))
@@ -117,12 +133,10 @@ def good_turing(counts: DataFrame, threshold: int = 100) -> tuple[DataFrame, Dat
 
 def good_turing_table(counts: DataFrame, rows: int = 99) -> DataFrame:
     """(n, cnt, nc, c_star): the row of unseen n-grams (cnt 0, no nc), then the ``rows`` smallest counts of each order."""
-    from pyspark.sql import Window
-
     nc = counts.groupBy("n", "cnt").agg(F.count(F.lit(1)).alias("nc"))
     place = F.row_number().over(Window.partitionBy("n").orderBy("cnt"))
     seen = good_turing_counts(nc).withColumn("place", place).where(F.col("place") <= rows).drop("place")
-    zero = good_turing_unseen(counts, nc).select("n", F.lit(0).cast("long").alias("cnt"), F.lit(None).cast("long").alias("nc"), F.col("c_zero").alias("c_star"))
+    zero = good_turing_unseen(nc).select("n", F.lit(0).cast("long").alias("cnt"), F.lit(None).cast("long").alias("nc"), F.col("c_zero").alias("c_star"))
     return zero.unionByName(seen)
 
 
@@ -141,12 +155,11 @@ def significant(x: Column, digits: int = 6) -> Column:
     return F.when(x.isNotNull(), F.format_string(f"%.{digits}e", x).cast("double"))
 
 
-def quad_probabilities(sentences: DataFrame, key: str, tokens: str, model: DataFrame, unseen: DataFrame, weight: str | None = None) -> DataFrame:
+def quad_probabilities(sentences: DataFrame, key: str, tokens: str, model: DataFrame, unseen: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """(key, place, p1..p4) of every 4-gram: the probabilities of its last 1, 2, 3 and 4 words. Short sentences have none."""
     quads = sentence_grams(sentences, key, tokens, [4]).select(key, "place", "gram")
-    parts = quads.select(key, "place", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(n.alias("n"), F.slice("gram", F.lit(5) - n, n).alias("gram")))).alias("x"))
-    parts = parts.select(key, "place", "x.n", "x.gram")
-    met = join_grams(parts, model.select("n", "gram", "p"), ["gram", "n"], "left") if weight is None else lookup_join(parts, model.select("n", "gram", "p", weight), ["gram", "n"], weight, "left")
+    ends = F.array(*[F.struct(F.lit(n).alias("n"), F.slice("gram", 5 - n, n).alias("gram")) for n in (1, 2, 3, 4)])
+    met = _looked_up(quads.select(key, "place", F.explode(ends).alias("x")).select(key, "place", "x.n", "x.gram"), model.select("n", "gram", "p"), hot)
     p = F.coalesce("p", "p_unseen")
     scored = met.join(F.broadcast(unseen.select("n", "p_unseen")), "n")
     return scored.groupBy(key, "place").agg(*[F.max(F.when(F.col("n") == i, p)).alias(f"p{i}") for i in (1, 2, 3, 4)])

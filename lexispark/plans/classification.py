@@ -11,7 +11,7 @@ from lexispark.operators import tagging as H
 from lexispark.plans.language_models import _APP, passages, rounded
 from lexispark.plans.registry import query
 from lexispark.session import stored
-from lexispark.sources.tables import latest_once_wide, table
+from lexispark.sources.tables import latest_once_wide, spread, table
 
 _M = MESSAGE_PATTERN.replace("'", "''")
 _MSG = f"""WITH m0 AS (SELECT sent_id, lang AS label, split_name, coalesce(sentence, '') AS s FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY ingested_at DESC) AS k FROM application) WHERE k = 1),
@@ -36,7 +36,7 @@ K = 0.3
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """The passages, once, with flags and bigrams; the language is the class."""
-    rows = latest_once_wide(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at"), ["sent_id"], ["ingested_at"])
+    rows = latest_once_wide(spread(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at")), ["sent_id"], ["ingested_at"])
     return C.message_features(rows.withColumn("sentence", F.coalesce("sentence", F.lit(""))), "sentence")
 
 
@@ -65,7 +65,7 @@ def nb_bigram_prob(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predict(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
+    m = stored(messages(spark, d).drop("sentence", "ingested_at"))
     test = m.where("split_name = 'test'")
     scores = C.nb_scores(test, "sent_id", F.col("bigrams"), C.feature_counts(_train(m), "lang", F.col("bigrams")), C.class_counts(_train(m), "lang"), K, True, False)
     return C.best_label(scores, "sent_id").join(test.select("sent_id", F.col("lang").alias("truth")), "sent_id")
@@ -83,9 +83,9 @@ def nb_predict(spark: SparkSession, d: str) -> DataFrame:
 SELECT sent_id, label AS predicted, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY round(score, 9) DESC, label) AS k FROM sc) WHERE k = 1"""
 )
 def nb_multinomial(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    c = C.feature_counts(_train(m), "lang", _words())
-    scores = C.nb_scores(m.where("split_name = 'test'"), "sent_id", _words(), c, C.class_counts(_train(m), "lang"), 1.0, False, True)
+    m = stored(messages(spark, d).withColumn("words", _words()).drop("sentence", "ingested_at", "bigrams"))
+    words = F.col("words")
+    scores = C.nb_scores(m.where("split_name = 'test'"), "sent_id", words, C.feature_counts(_train(m), "lang", words), C.class_counts(_train(m), "lang"), 1.0, False, True)
     return rounded(C.best_label(scores, "sent_id"), "score", places=6)
 
 

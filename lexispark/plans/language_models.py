@@ -9,7 +9,7 @@ from lexispark.functions.text import blank_tokens
 from lexispark.operators import backoff, generate, ngrams, smoothing
 from lexispark.plans.registry import query
 from lexispark.session import stored
-from lexispark.sources.tables import latest_once_wide, table
+from lexispark.sources.tables import latest_once_wide, spread, table
 
 ORDERS = [1, 2, 3, 4]
 LAMBDAS = (0.1, 0.2, 0.3, 0.4)
@@ -33,7 +33,8 @@ _J = "array_to_string(gram, ' ') AS gram"
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
     """(sent_id, lang, split_name, source, toks) of every passage, once."""
-    rows = latest_once_wide(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "source", "ingested_at"), ["sent_id"], ["ingested_at"])
+    raw = spread(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "source", "ingested_at"))
+    rows = latest_once_wide(raw, ["sent_id"], ["ingested_at"])
     return rows.select("sent_id", "lang", "split_name", "source", blank_tokens(F.col("sentence")).alias("toks"))
 
 
@@ -188,12 +189,12 @@ def _scores(spark: SparkSession, d: str, floor: bool) -> DataFrame:
     values = {m: F.coalesce(F.col(m), F.lit(1e-10)) for m in smoothing.METHODS}
     model = smoothing.additive_wide(c)
     if floor:
-        return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, values, weight="cnt")
+        return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, values, hot=smoothing.gram_salts(c))
     unseen = {r.n: 1.0 / (r.total + r.vocab) for r in smoothing.totals(c).collect()}  # one number per order
     u = F.lit(None).cast("double")
     for n, p in unseen.items():
         u = F.when(F.col("n") == n, F.lit(p)).otherwise(u)
-    return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, {m: F.coalesce(F.col(m), u) for m in smoothing.METHODS}, weight="cnt")
+    return smoothing.score_sentences(tests(spark, d), "sent_id", "toks", model, ORDERS, {m: F.coalesce(F.col(m), u) for m in smoothing.METHODS}, hot=smoothing.gram_salts(c))
 
 
 def _long(wide: DataFrame) -> DataFrame:
@@ -261,16 +262,23 @@ def _perplexity_sql(by: str, source: str) -> str:
     return f"SELECT {by}, count(*) AS sentences, count(*) FILTER (log_p >= -745) AS valid, {a} AS a, CASE WHEN -{a} > 709.78 THEN 'inf'::DOUBLE ELSE printf('%.6e', exp(-{a}))::DOUBLE END AS perplexity FROM {source} GROUP BY {by}"
 
 
-def _gt_log_p(sentences: DataFrame, model: DataFrame, unseen: DataFrame) -> DataFrame:
+def _gt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(model, unseen, salts of frequent n-grams); the row per order is known to the driver."""
+    c = kept_counts(spark, d)
+    model, unseen = smoothing.good_turing(c)
+    return model, spark.createDataFrame(unseen.collect(), unseen.schema), smoothing.gram_salts(c)
+
+
+def _gt_log_p(sentences: DataFrame, model: DataFrame, unseen: DataFrame, hot: DataFrame) -> DataFrame:
     p_unseen = F.lit(None).cast("double")
-    for r in unseen.collect():  # one row per order
+    for r in unseen.collect():
         p_unseen = F.when(F.col("n") == r.n, F.lit(r.p_unseen)).otherwise(p_unseen)
     value = F.greatest(F.coalesce("p", p_unseen), F.lit(1e-10))
-    return smoothing.score_sentences(sentences, "sent_id", "toks", model, ORDERS, {"log_p": value}, short=1e-10, weight="cnt")
+    return smoothing.score_sentences(sentences, "sent_id", "toks", model, ORDERS, {"log_p": value}, short=1e-10, hot=hot)
 
 
 def _gt_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _gt_log_p(tests(spark, d), *smoothing.good_turing(kept_counts(spark, d)))
+    return _gt_log_p(tests(spark, d), *_gt(spark, d))
 
 
 @query(f"{_G}, {_GT}, {_gts('test')} SELECT sent_id, n::INT AS n, round(log_p, 6) AS log_p FROM sc")
@@ -292,12 +300,12 @@ def _quads_sql(split: str, mark: str = "") -> str:
 _QUADS = f"{_GT}, {_quads_sql('val')}"
 
 
-def _quads(spark: SparkSession, d: str, model: DataFrame, unseen: DataFrame, split: str = "val") -> DataFrame:
-    return smoothing.quad_probabilities(tests(spark, d, split), "sent_id", "toks", model, unseen, weight="cnt")
+def _quads(spark: SparkSession, d: str, model: DataFrame, unseen: DataFrame, hot: DataFrame, split: str = "val") -> DataFrame:
+    return smoothing.quad_probabilities(tests(spark, d, split), "sent_id", "toks", model, unseen, hot)
 
 
 def _val_quads(spark: SparkSession, d: str) -> DataFrame:
-    return _quads(spark, d, *smoothing.good_turing(kept_counts(spark, d)))
+    return _quads(spark, d, *_gt(spark, d))
 
 
 def _mixed_log_p(quads: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -366,9 +374,9 @@ def _test_quads(spark: SparkSession, d: str) -> DataFrame:
 
 def _backed(spark: SparkSession, d: str, kind: str) -> DataFrame:
     c = kept_counts(spark, d)
-    model, alphas = backoff.katz_model(c) if kind == "katz" else backoff.kn_model(c)
+    entries = backoff.katz_entries(c) if kind == "katz" else backoff.kn_entries(c)
     vocab = c.where("n = 1").count()
-    return rounded(shown(backoff.score_ngrams(_test_quads(spark, d), "gram", model, alphas, vocab, 4, c)), "p")
+    return rounded(shown(backoff.score_ngrams(_test_quads(spark, d), "gram", entries, vocab, 4, backoff.word_salts(c))), "p")
 
 
 @query(f"{_G}, {_KATZ} SELECT n, {_J}, cnt, round(discounted, 9) AS discounted FROM dc")
@@ -467,8 +475,8 @@ SELECT model, sentences, valid, round(a, 6) AS avg_log_p, perplexity, best, CASE
 )
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The four Good-Turing models and their mixture, weighted as learnt on val, on the test passages; the mixture skips those of under four words."""
-    model, unseen = smoothing.good_turing(kept_counts(spark, d))
-    weights = smoothing.optimise_lambdas(stored(_quads(spark, d, model, unseen).select("p1", "p2", "p3", "p4")))[-1]
-    single = _gt_log_p(tests(spark, d), model, unseen).select(F.col("n").cast("string").alias("model"), "log_p")
-    mixed = _mixed_log_p(_quads(spark, d, model, unseen, "test"), weights).select(F.lit("mixed").alias("model"), "log_p")
+    model, unseen, hot = _gt(spark, d)
+    weights = smoothing.optimise_lambdas(stored(_quads(spark, d, model, unseen, hot).select("p1", "p2", "p3", "p4")))[-1]
+    single = _gt_log_p(tests(spark, d), model, unseen, hot).select(F.col("n").cast("string").alias("model"), "log_p")
+    mixed = _mixed_log_p(_quads(spark, d, model, unseen, hot, "test"), weights).select(F.lit("mixed").alias("model"), "log_p")
     return rounded(smoothing.compare_models(smoothing.perplexity(single.unionByName(mixed), "model")), "avg_log_p", "improvement", places=6)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import text as T
 from lexispark.operators import corpus
 from lexispark.plans.registry import query
-from lexispark.sources.tables import table
+from lexispark.sources.tables import spread, table
 
 _M = T.MESSAGE_PATTERN.replace("'", "''")
 _SENTS = f"list_filter(list_transform(regexp_split_to_array(trim(coalesce(text, ''), '{T.EDGE_BLANKS}'), '{T.SENTENCE_END}'), lambda x: trim(x, '{T.EDGE_BLANKS}')), lambda x: x <> '')"
@@ -17,7 +17,7 @@ _FREQ = f"WITH f AS (SELECT token, count(*) AS cnt FROM (SELECT unnest({_TOK}) A
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
 def token_frequency(spark: SparkSession, d: str) -> DataFrame:

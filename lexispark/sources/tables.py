@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table that is read in fewer tasks than there are cores (a small file), dealt out to all cores.
+
+    Larger tables come in more tasks than cores and stay where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def latest_once(df: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> DataFrame:
     """One row per key: the one delivered last.
 
