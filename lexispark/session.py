@@ -85,6 +85,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again, before the application ends."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        folders = {f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in df.inputFiles()}
+        for entry in [x for x in _STORED if x[1].removeprefix("file:").replace("//", "/") in folders]:
+            path = context._jvm.org.apache.hadoop.fs.Path(entry[1])
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _STORED.remove(entry)
+
+
 _STORED: list[tuple[str, str]] = []
 
 
