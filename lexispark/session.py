@@ -78,13 +78,24 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a compressed parquet table in the shared folder: columns not needed later aren't read back.
 
-    The table is deleted when the application ends, or by drop_stored().
+    The shuffle files that made the table are deleted as soon as it is written (CLEANUP), so they don't pile up on the workers'
+    disks. The table is deleted when the application ends, or by released() or drop_stored().
     """
+    conf = df.sparkSession.conf
     target = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(target)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(target)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+#: Whether Spark deletes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def released(*tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again, before the application ends."""
     for df in tables:
