@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -96,12 +97,16 @@ def stored(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def released(*tables: DataFrame) -> None:
     """Delete stored tables that nothing will read again, before the application ends."""
     for df in tables:
         context = df.sparkSession.sparkContext
-        folders = {f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in df.inputFiles()}
-        for entry in [x for x in _STORED if x[1].removeprefix("file:").replace("//", "/") in folders]:
+        folders = {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+        for entry in [x for x in _STORED if _plain(x[1]) in folders]:
             path = context._jvm.org.apache.hadoop.fs.Path(entry[1])
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
             _STORED.remove(entry)
