@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +20,22 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens) of every row; null and empty texts have 0. The vocabulary file is read by each worker once."""
+    """(key, n_tokens) of every row; null and empty texts have 0.
+
+    The vocabulary file is read by the driver alone and broadcast (its size is that of the tokenizer, a few MB), so workers need no file.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(shared.value).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, type=pa.int64())], names=[key, "n_tokens"])
