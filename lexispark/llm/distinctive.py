@@ -17,15 +17,15 @@ def white_space_words(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE_SPACE), lambda x: x != "")
 
 
-def word_entries(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(rec_id, term, weight, size): every word of a record with its occurrences, and the words of the record."""
-    words = df.select(F.col(key).alias("rec_id"), white_space_words(text).alias("w"))
-    return words.select("rec_id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("rec_id", "size", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def word_entries(df: DataFrame, key: str, words: str) -> DataFrame:
+    """(rec_id, term, weight, size): every word of a record's array with its occurrences, and the words of the record."""
+    rows = df.select(F.col(key).alias("rec_id"), F.size(words).alias("size"), F.explode(words).alias("term"))
+    return rows.groupBy("rec_id", "size", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def word_corpus(df: DataFrame, text: str) -> DataFrame:
-    """(term, df, cf) over all texts, one shuffle: words are sorted within their text, so the first of a kind is seen in place."""
-    ordered = df.select(F.array_sort(white_space_words(text)).alias("w"))
+def word_corpus(df: DataFrame, words: str) -> DataFrame:
+    """(term, df, cf) over all word arrays, one shuffle: words are sorted within their record, so the first of a kind is seen in place."""
+    ordered = df.select(F.array_sort(words).alias("w"))
     flagged = let(F.col("w"), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(w, i - 1) == x), 0).otherwise(1).alias("new"))))
     return ordered.select(F.explode(flagged).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.new").alias("df"), F.count(F.lit(1)).cast("double").alias("cf"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import cooccur, distinctive, leakage, lookalike, neighbours, overlap, packing, repetition, sentences, topn, vectors
+from lexispark.session import stored
 from lexispark.sources.tables import latest_once, latest_once_wide, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,7 +151,8 @@ def _repetition(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("repeated_share >= 0.3").select("doc_id")
+    """The cases are defined by an exact share, which no posterior decides, so none is fitted here; p10_repetition has the posteriors."""
+    return repetition.repeated_shares(table(spark, d, "documents"), "doc_id", "text").where("repeated_words >= 0.3 * n_words AND n_words > 0").select("doc_id")
 
 
 @query()
@@ -207,18 +209,20 @@ def p8_fill_report(spark: SparkSession, d: str) -> DataFrame:
 # -- problem 5 -------------------------------------------------------------------------------------
 def _distinctive_words(spark: SparkSession, d: str, **how) -> DataFrame:
     rows = latest_once_wide(table(spark, d, "application").select("sent_id", "sentence", "lang", "split_name", "ingested_at"), ["sent_id"], ["ingested_at"])
-    size = distinctive.collection_size(rows.select(F.size(distinctive.white_space_words("sentence")).alias("size")))
-    corpus = distinctive.word_corpus(rows, "sentence")
-    asked = distinctive.word_entries(rows.where("lang IN ('hi', 'mr') AND split_name IN ('val', 'test')"), "sent_id", "sentence")
-    return distinctive.distinctive_terms(asked, corpus, size, 3, **how)
+    rows = stored(rows.select("sent_id", "lang", "split_name", distinctive.white_space_words("sentence").alias("words")))
+    size = distinctive.collection_size(rows.select(F.size("words").alias("size")))
+    asked = distinctive.word_entries(rows.where("lang IN ('hi', 'mr') AND split_name IN ('val', 'test')"), "sent_id", "words")
+    return distinctive.distinctive_terms(asked, stored(distinctive.word_corpus(rows, "words")), size, 3, **how)
 
 
 def _distinctive_columns(spark: SparkSession, d: str, **how) -> DataFrame:
-    rows = vectors.vectors(vectors.once(table(spark, d, "bonus")))
-    entries = rows.select(F.col("vec").alias("rec_id"), "split_name", F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("size"), F.explode(F.arrays_zip("cols", "vals")).alias("x"))
+    rows = stored(vectors.vectors(vectors.once(table(spark, d, "bonus"))).select(F.col("vec").alias("rec_id"), "split_name", "cols", "vals"))
+    mass = F.aggregate("vals", F.lit(0.0), lambda a, x: a + x)
+    entries = rows.select("rec_id", "split_name", mass.alias("size"), F.explode(F.arrays_zip("cols", "vals")).alias("x"))
     entries = entries.select("rec_id", "split_name", "size", F.col("x.cols").alias("term"), F.col("x.vals").alias("weight"))
-    size = distinctive.collection_size(rows.select(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("size")))
-    return distinctive.distinctive_terms(entries.where("split_name IN ('val', 'test')"), distinctive.corpus_terms(entries), size, 1, share_of_record=False, **how)
+    size = distinctive.collection_size(rows.select(mass.alias("size")))
+    corpus = stored(distinctive.corpus_terms(entries))
+    return distinctive.distinctive_terms(entries.where("split_name IN ('val', 'test')"), corpus, size, 1, share_of_record=False, **how)
 
 
 def _both_kinds(spark: SparkSession, d: str, **how) -> DataFrame:
@@ -228,28 +232,38 @@ def _both_kinds(spark: SparkSession, d: str, **how) -> DataFrame:
     )
 
 
-_P5_SQL = """
+_P5_TABLES = """
 WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY ingested_at DESC) AS k FROM application) WHERE k = 1),
  w AS (SELECT sent_id, lang, split_name, list_filter(regexp_split_to_array(coalesce(sentence, ''),
    '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '') AS ws FROM a),
  t AS (SELECT sent_id, lang, split_name, len(ws) AS n, unnest(ws) AS term FROM w),
  e AS (SELECT sent_id, lang, split_name, n, term, count(*) AS tf FROM t GROUP BY ALL),
- c AS (SELECT term, count(*) AS df FROM e GROUP BY 1),
- n AS (SELECT count(*) AS big FROM w WHERE len(ws) > 0),
- s AS (SELECT sent_id, e.term, tf / n::DOUBLE * (ln((big + 1) / (df + 1)::DOUBLE) + 1) AS score FROM e JOIN c USING (term) CROSS JOIN n
-       WHERE lang IN ('hi', 'mr') AND split_name IN ('val', 'test')),
- sr AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, term) AS place FROM s),
+ c AS (SELECT term, count(*) AS df, sum(tf)::DOUBLE AS cf FROM e GROUP BY 1),
+ n AS (SELECT count(*) AS big, sum(len(ws))::DOUBLE AS mass FROM w WHERE len(ws) > 0),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC) AS k FROM bonus) WHERE k = 1),
  r AS (SELECT split_name, first_vec + i AS vec, list_slice(data, indptr[i + 1] - indptr[1] + 1, indptr[i + 2] - indptr[1]) AS vs,
    list_slice(indices, indptr[i + 1] - indptr[1] + 1, indptr[i + 2] - indptr[1]) AS cs FROM b, unnest(range(n_rows)) AS u(i)),
  x AS (SELECT split_name, vec, unnest(vs)::DOUBLE AS v, unnest(cs) AS col FROM r),
  y AS (SELECT split_name, vec, col, sum(v) AS v FROM x WHERE NOT isnan(v) AND v <> 0 GROUP BY ALL),
- yc AS (SELECT col, count(*) AS df FROM y GROUP BY 1), yn AS (SELECT count(DISTINCT vec) AS big FROM y),
+ yc AS (SELECT col, count(*) AS df, sum(v) AS cf FROM y GROUP BY 1), ys AS (SELECT vec, sum(v) AS size FROM y GROUP BY 1),
+ yn AS (SELECT count(*) AS big, sum(size) AS mass FROM ys WHERE size > 0)
+"""
+_P5_SQL = _P5_TABLES + """, s AS (SELECT sent_id, e.term, tf / n::DOUBLE * (ln((big + 1) / (df + 1)::DOUBLE) + 1) AS score FROM e JOIN c USING (term) CROSS JOIN n
+       WHERE lang IN ('hi', 'mr') AND split_name IN ('val', 'test')),
+ sr AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, term) AS place FROM s),
  vr AS (SELECT vec, col, v * (ln((big + 1) / (df + 1)::DOUBLE) + 1) AS score, row_number() OVER (PARTITION BY vec ORDER BY v * (ln((big + 1) / (df + 1)::DOUBLE) + 1) DESC, col) AS place
        FROM y JOIN yc USING (col) CROSS JOIN yn WHERE split_name IN ('val', 'test'))
 SELECT 'sentence' AS kind, sent_id AS rec_id, term FROM sr WHERE place <= 3
 UNION ALL SELECT 'vector', vec, col::VARCHAR FROM vr WHERE place = 1
 """
+_P5_DIVERGENCE = _P5_TABLES + """, s AS (SELECT sent_id, e.term, cf / mass AS q, (tf + 100 * (cf / mass)) / (n + 100.0) AS p FROM e JOIN c USING (term) CROSS JOIN n
+       WHERE lang IN ('hi', 'mr') AND split_name IN ('val', 'test') AND df >= 2),
+ sr AS (SELECT *, p * ln(p / q) AS score, row_number() OVER (PARTITION BY sent_id ORDER BY p * ln(p / q) DESC, term) AS place FROM s),
+ v0 AS (SELECT y.vec, y.col, cf / mass AS q, (v + 100 * (cf / mass)) / (size + 100.0) AS p FROM y JOIN yc USING (col) JOIN ys USING (vec) CROSS JOIN yn WHERE split_name IN ('val', 'test') AND df >= 2),
+ vr AS (SELECT *, p * ln(p / q) AS score, row_number() OVER (PARTITION BY vec ORDER BY p * ln(p / q) DESC, col) AS place FROM v0)
+SELECT 'sentence' AS kind, sent_id AS rec_id, term, round(score, 6) AS score, place::INT AS place FROM sr WHERE place <= 3
+UNION ALL SELECT 'vector', vec, col::VARCHAR, round(score, 6), place::INT FROM vr WHERE place = 1
+"""
 
 
 @query(_P5_SQL)
@@ -257,7 +271,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _both_kinds(spark, d, scoring="idf").select("kind", "rec_id", "term")
 
 
-@query()
+@query(_P5_DIVERGENCE)
 def p5_divergence(spark: SparkSession, d: str) -> DataFrame:
     """The same records scored by smoothed language-model divergence, terms of two records and more."""
     return _both_kinds(spark, d, scoring="divergence", min_df=2).withColumn("score", F.round("score", 6))

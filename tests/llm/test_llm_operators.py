@@ -184,20 +184,20 @@ def test_neighbours_of_copies_and_large_buckets(spark, monkeypatch):
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_distinctive_terms(spark):
     rows = [(1, "a b\u00a0a\u3000c"), (2, "a"), (3, None), (4, "  "), (5, "b\u200bb d d"), (6, "a d")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "id long, t string, df int")
+    df = spark.createDataFrame([(*r, 9) for r in rows], "id long, t string, df int").withColumn("w", distinctive.white_space_words("t"))
     texts = {i: [w for w in (t or "").replace("\u00a0", " ").replace("\u3000", " ").split(" ") if w] for i, t in rows}
     n = sum(1 for w in texts.values() if w)
     dfs = Counter(t for w in texts.values() for t in set(w))
-    corpus = distinctive.word_corpus(df, "t")
+    corpus = distinctive.word_corpus(df, "w")
     assert {r.term: r.df for r in corpus.collect()} == dict(dfs)
     size = distinctive.collection_size(df.select(distinctive.F.size(distinctive.white_space_words("t")).alias("size")))
-    got = distinctive.distinctive_terms(distinctive.word_entries(df, "id", "t"), corpus, size, 2, scoring="idf").collect()
+    got = distinctive.distinctive_terms(distinctive.word_entries(df, "id", "w"), corpus, size, 2, scoring="idf").collect()
     want = set()
     for i, w in texts.items():
         s = sorted((-(k / len(w)) * (math.log((n + 1) / (dfs[t] + 1)) + 1), t) for t, k in Counter(w).items())
         want |= {(i, t) for _, t in s[:2]}
     assert {(r.rec_id, r.term) for r in got} == want
-    kl = distinctive.distinctive_terms(distinctive.word_entries(df, "id", "t"), corpus, size, 1, mu=2.0, min_df=2).collect()
+    kl = distinctive.distinctive_terms(distinctive.word_entries(df, "id", "w"), corpus, size, 1, mu=2.0, min_df=2).collect()
     cf = Counter(t for w in texts.values() for t in w)
     mass = sum(cf.values())
     for r in kl:
@@ -210,7 +210,7 @@ def test_distinctive_terms(spark):
                 score[t] = p * math.log(p / q)
         assert math.isclose(r.score, max(score.values())) and math.isclose(score[r.term], r.score)
     with pytest.raises(ValueError):
-        distinctive.distinctive_terms(distinctive.word_entries(df, "id", "t"), corpus, size, 1, scoring="x")
+        distinctive.distinctive_terms(distinctive.word_entries(df, "id", "w"), corpus, size, 1, scoring="x")
 
 
 # -- 6 ---------------------------------------------------------------------------------------------
@@ -358,12 +358,26 @@ def test_contained_items_against_brute_force(spark):
     assert leakage.contained_items(dd.where("false"), "doc_id", "text", ii, "item_id", "text").count() == 0
 
 
-def test_contained_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 120)
-    items = [(i, " ".join(f"a{i}x{j}" for j in range(14))) for i in range(9)]
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_contained_items_beyond_the_table(spark, monkeypatch, bits):
+    """A table of bits far too small for the windows sends more on, and finds the same; boilerplate of many items and texts is a hot window."""
+    monkeypatch.setattr(leakage, "MOST_BITS", bits)
+    common = " ".join(f"c{j}" for j in range(12))
+    items = [(i, " ".join(f"a{i}x{j}" for j in range(14)) + (" " + common if i % 3 == 0 else "")) for i in range(30)]
     ii = spark.createDataFrame(items, "id long, text string")
-    got = leakage.contained_items(ii, "id", "text", ii, "id", "text").collect()
-    assert {(r.id, r.item_id) for r in got} == {(i, i) for i in range(9)}
+    got = {(r.id, r.item_id): (r.windows_found, r.item_windows) for r in leakage.contained_items(ii, "id", "text", ii, "id", "text").collect()}
+    plain = {(i, i): (3, 3) for i in range(30) if i % 3}
+    assert got == plain | {(i, k): (15, 15) if i == k else (1, 15) for i in range(0, 30, 3) for k in range(0, 30, 3)}
+    docs = spark.createDataFrame([(i, f"z{i} {common} y") for i in range(2000)], "id long, text string")
+    assert leakage.contained_items(docs, "id", "text", ii, "id", "text").count() == 2000 * 10
+
+
+def test_short_items(spark):
+    """Items of 5 to 11 words are size classes of their own, found only whole."""
+    items = spark.createDataFrame([(n, " ".join(f"s{n}w{j}" for j in range(n))) for n in (3, 5, 8, 11, 12)], "item long, text string")
+    docs = spark.createDataFrame([(n, "x " + " ".join(f"s{n}w{j}" for j in range(k)) + " y") for n, k in ((3, 3), (5, 5), (8, 7), (11, 11), (12, 12))], "doc long, text string")
+    assert {(r.doc, r.item) for r in leakage.contained_items(docs, "doc", "text", items, "item", "text", short=True).collect()} == {(5, 5), (11, 11), (12, 12)}
+    assert {(r.doc, r.item) for r in leakage.contained_items(docs, "doc", "text", items, "item", "text").collect()} == {(12, 12)}
 
 
 # -- 10 --------------------------------------------------------------------------------------------
@@ -408,6 +422,44 @@ def test_votes_learn_accuracies():
     assert set(repetition.fit_votes({})) == set(range(243))
 
 
+def test_posteriors_against_brute_force(spark):
+    """The same model fitted document by document, from the figures, without vote patterns."""
+    rng = random.Random(8)
+    docs = []
+    for d in range(160):
+        w = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(5, 80))]
+        if d % 4 == 0:
+            w = (w[:12] or ["a"]) * rng.randrange(2, 6)
+        docs.append((d, "\n".join(" ".join(w[i : i + 6]) for i in range(0, len(w), 6))))
+    docs += [(900, None), (901, "")]
+    got = {r.id: r for r in repetition.repetition(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()}
+    votes = {}
+    for i, r in got.items():
+        figures = [r.repeated_share, r.triple_share, r.top_word_share, r.line_share, r.poor_vocabulary]
+        votes[i] = [0 if r.n_words < repetition.LEAST_WORDS else 1 if x >= bad else -1 if x <= clean else 0 for x, (clean, bad) in zip(figures, repetition.RULES.values())]
+    prior, good, evil = 0.2, [0.8] * 5, [0.8] * 5
+
+    def belief(v):
+        bad, clean = prior, 1 - prior
+        for j, x in enumerate(v):
+            if x:
+                bad *= evil[j] if x > 0 else 1 - evil[j]
+                clean *= good[j] if x < 0 else 1 - good[j]
+        return bad / (bad + clean)
+
+    for _ in range(50):
+        q = {i: belief(v) for i, v in votes.items()}
+        prior = min(0.5, max(1e-4, sum(q.values()) / len(q)))
+        told = lambda j, right: min(0.999, max(0.5, right))
+        evil = [told(j, (0.8 + sum(q[i] for i in votes if votes[i][j] > 0)) / (1 + sum(q[i] for i in votes if votes[i][j]))) for j in range(5)]
+        good = [told(j, (0.8 + sum(1 - q[i] for i in votes if votes[i][j] < 0)) / (1 + sum(1 - q[i] for i in votes if votes[i][j]))) for j in range(5)]
+    for i, r in got.items():
+        assert math.isclose(r.posterior, belief(votes[i]), rel_tol=1e-9, abs_tol=1e-12)
+    assert got[900].n_words == 0 and math.isclose(got[900].posterior, prior)
+    exact = {r.id: (r.n_words, r.repeated_words) for r in repetition.repeated_shares(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()}
+    assert exact == {i: (r.n_words, r.repeated_words) for i, r in got.items()}
+
+
 def test_word_kernel():
     w = wordkernel.words(["Ａb, AB!", "", "café café", "दु:ख a\u200bb"])
     assert list(w.doc) == [0, 0, 2, 2, 3, 3, 3]
@@ -429,7 +481,8 @@ def test_very_long_texts(spark):
     items = spark.createDataFrame([(9, " ".join(words[30_000:30_020]))], "item long, text string")
     assert [(r.id, r.item) for r in leakage.contained_items(docs, "id", "text", items, "item", "text").collect()] == [(1, 9)]
     size = distinctive.collection_size(docs.select(distinctive.F.size(distinctive.white_space_words("text")).alias("size")))
-    best = distinctive.distinctive_terms(distinctive.word_entries(docs, "id", "text"), distinctive.word_corpus(docs, "text"), size, 1, scoring="idf").collect()
+    words_of = docs.withColumn("w", distinctive.white_space_words("text"))
+    best = distinctive.distinctive_terms(distinctive.word_entries(words_of, "id", "w"), distinctive.word_corpus(words_of, "w"), size, 1, scoring="idf").collect()
     assert {(r.rec_id, r.term) for r in best} == {(1, "t0"), (2, "one")}
     rows = [(1, long, "train", "s", NOW, 0), (2, long + " more", "val", None, NOW, 0), (3, "x", "val", "s", None, 0)]
     pairs, members = overlap.split_overlaps(overlap.sentence_terms(spark.createDataFrame(rows, APP)))
