@@ -216,15 +216,50 @@ def _continues(text: str, line_low: int, high: int, opened: int, sentence_low: i
     return j < sentence_low or text[j] not in ",:，：、"
 
 
-def _line_spans(text: str, low: int, high: int, out: list[int]) -> None:
+def _marker_kind(marker: str) -> str:
+    """The style of a list marker: what counts in it, and its marks."""
+    core = marker.strip("().")
+    style = "bullet" if not core or core in "-•*–" else "number" if core[0].isdigit() else "letter" if len(core) == 1 else "roman"
+    return style + marker.replace(core, "", 1) if style != "bullet" else "bullet" + marker
+
+
+class _ListLevels:
+    """The open levels of a text's lists, a stack of (indent, style) kept from line to line.
+
+    A marker further in, or of another style below an open one on its line, opens a level; one of an open level's style
+    closes the levels within it; a line without a marker at the margin closes all.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, str]] = []
+        self.depth = 0  # the deepest level so far
+
+    def enter(self, line: str) -> None:
+        if self.stack and line[:1].strip() and _LIST.match(line) is None:
+            self.stack.clear()
+
+    def open(self, marker: str, indent: int) -> None:
+        level = (indent, _marker_kind(marker))
+        while self.stack and self.stack[-1][0] > indent:
+            self.stack.pop()
+        if self.stack and self.stack[-1][0] == indent and self.stack[-1][1] != level[1] and level in self.stack:
+            del self.stack[self.stack.index(level) + 1 :]
+        if level not in self.stack:
+            self.stack.append(level)
+        self.depth = max(self.depth, len(self.stack))
+
+
+def _line_spans(text: str, low: int, high: int, out: list[int], levels: _ListLevels) -> None:
     """Sentences of one line, appended to ``out`` as start, end, start, end..."""
     line = text[low:high] if low or high < len(text) else text
     events = [(m.start(), m.group()) for m in _EVENT.finditer(line)]
     n = len(line)
     begin = 0
     skip_to = 0
-    if (m := _LIST.match(line)) is not None:
-        skip_to = m.end()  # a list marker opens a level of the line, its dot ends nothing
+    levels.enter(line)
+    while (m := _LIST.match(line, skip_to)) is not None:
+        levels.open(m.group().strip(), m.end() - len(m.group().lstrip()))
+        skip_to = m.end()  # a list marker opens a level, its dot ends nothing; the next marker on the line opens one below
     if events:
         pairs = _matched(line, events) if any(ch in OPEN or ch in BRACKET or ch in "\"'" for _, ch in events) else {}
         stack: list[int] = []  # where the open levels close
@@ -315,8 +350,9 @@ def sentence_spans(text: str | None) -> list[int]:
     """
     out: list[int] = []
     if text:
+        levels = _ListLevels()
         for m in _LINES.finditer(text):
-            _line_spans(text, m.start(), m.end(), out)
+            _line_spans(text, m.start(), m.end(), out, levels)
     return out
 
 
@@ -334,14 +370,16 @@ def sentences(df: DataFrame, key: str, text: str, delivered: str | None = None)
     """One row per sentence: (key, start_char, end_char), code points from 0, end exclusive.
 
     Only offsets travel: texts never enter a shuffle. With ``delivered`` a key counts once, as delivered
-    last; without it every row counts. Null, empty and blank texts give no rows.
+    last (rows with a null key can't be known as copies and all count, but for equal ones); without it every row counts. Null, empty and blank
+    texts give no rows.
     """
     kept = [F.col(key).alias("__key"), *([F.col(delivered).alias("__at")] if delivered else []), F.col(text).alias("__text")]
     source = df.select(*kept)
     fields = [f"__key {dict(df.dtypes)[key]}", *([f"__at {dict(df.dtypes)[delivered]}"] if delivered else []), "__spans array<int>"]
     spans = source.mapInArrow(_spans_of, ", ".join(fields))
     if delivered:
-        spans = spans.groupBy("__key").agg(F.max(F.struct("__at", "__spans")).alias("m")).select("__key", F.col("m.__spans").alias("__spans"))
+        own = F.when(F.col("__key").isNull(), F.xxhash64("__at", "__spans"))  # rows without a key can't be known as copies
+        spans = spans.groupBy("__key", own).agg(F.max(F.struct("__at", "__spans")).alias("m")).select("__key", F.col("m.__spans").alias("__spans"))
     place = F.explode(F.sequence(F.lit(1), F.size("__spans"), F.lit(2)))
     return (
         spans.where(F.size("__spans") > 0)
