@@ -13,43 +13,51 @@ from pyspark.sql import functions as F
 
 # Letters and signs that are drawn alike, first the plain form.
 ALIKE = """
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-F Ϝ
-G Ԍ
-H Н Η
-I І Ι Ӏ
-J Ј
-K К Κ K
-M М Μ
-N Ν
-O О Ο
-P Р Ρ
+A А Α Ꭺ ꓮ Ⲁ
+B В Β Ᏼ ꓐ Ⲃ
+C С Ϲ Ꮯ ꓚ Ⲥ
+D Ꭰ ꓓ
+E Е Ε Ꭼ ꓰ
+F Ϝ ꓝ
+G Ԍ Ꮐ ꓖ
+H Н Η Ꮋ ꓧ Ⲏ
+I І Ι Ӏ ꓲ Ⲓ
+J Ј Ꭻ ꓙ
+K К Κ K Ꮶ ꓗ Ⲕ
+L Ꮮ ꓡ
+M М Μ Ꮇ ꓟ Ⲙ
+N Ν ꓠ Ⲛ
+O О Ο Օ ꓳ Ⲟ
+P Р Ρ Ꮲ ꓑ Ⲣ
 Q Ԛ
-S Ѕ
-T Т Τ
-W Ԝ
-X Х Χ
-Y Ү Υ
-Z Ζ
+R Ꭱ ꓣ
+S Ѕ Ꮪ ꓢ Տ
+T Т Τ Ꭲ ꓔ Ⲧ
+U ꓴ Ս
+V Ꮩ ꓦ Ѵ
+W Ԝ Ꮤ ꓪ
+X Х Χ ꓫ Ⲭ
+Y Ү Υ ꓬ Ⲩ
+Z Ζ Ꮓ ꓜ Ⲍ
 Å Å
-a а
-c с ϲ
+a а ɑ
+c с ϲ ᴄ ⲥ
 d ԁ
 e е
-h һ
+g ɡ
+h һ հ
 i і
 j ј ϳ
-o о ο
-p р ρ
+o о ο օ ᴏ ⲟ
+p р ρ ⲣ
 q ԛ
-s ѕ
-v ѵ ν
-w ԝ
+s ѕ ꜱ
+u ս
+v ѵ ν ᴠ
+w ԝ ᴡ
 x х
 y у
+z ᴢ
 Ω Ω
 µ μ
 : ः ։ ∶ ꞉
@@ -135,10 +143,35 @@ def script_of(ch: str) -> str:
     return unicodedata.name(ch, "UNKNOWN").split(" ", 1)[0]
 
 
-def _width(ch: str) -> str:
-    """Full-width and half-width forms become plain ones; other compatibility forms (raised digits) stay."""
+#: Letters whose compatibility form is drawn differently, so they stay as they are.
+DRAWN_APART = "ſẛϐϑϒϓϔϕϖϰϱϴϵϷ"
+#: The kinds of compatibility form that change width, font or position in a word, not the letter.
+SAME_LETTER = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
+
+
+@functools.lru_cache(maxsize=65536)
+def _compatible(ch: str) -> str:
+    """The plain form of a compatibility character that is drawn as that form.
+
+    Width, font and positional forms give their letter; ligatures, radicals and letter numerals (<compat>) give their letters if they
+    consist of letters alone. Raised, lowered, circled and squared forms and fractions stay, as do DRAWN_APART and
+    the Hangul jamo that would compose into syllables.
+    """
     how = unicodedata.decomposition(ch)
-    return unicodedata.normalize("NFKC", ch) if how.startswith(("<wide>", "<narrow>")) else ch
+    if not how.startswith("<") or ch in DRAWN_APART or "\u3131" <= ch <= "\u318e":
+        return ch
+    form = unicodedata.normalize("NFKC", ch)
+    if how.startswith(SAME_LETTER):
+        return ch if form.startswith(" ") else form
+    letter = unicodedata.category(ch)[0] == "L" or unicodedata.category(ch) == "Nl" or "\u2e80" <= ch <= "\u2fdf"
+    return form if how.startswith("<compat>") and letter and all(unicodedata.category(c)[0] in "LM" for c in form) else ch
+
+
+@functools.cache
+def compatible_map() -> dict[int, str]:
+    """Code point -> plain form of every character that has one."""
+    found = ((i, _compatible(chr(i))) for i in (*range(0xA0, 0xD800), *range(0xF900, 0x1FFFF)))
+    return {i: form for i, form in found if form != chr(i)}
 
 
 _ARABIC = ("\u0600", "ۿ")
@@ -161,7 +194,7 @@ def _joiner_counts(text: str, i: int) -> bool:
 
 
 def plain(text: str) -> str:
-    """Compatibility step: width, composition, blanks and ignorable characters made one; case and accents stay."""
+    """Compatibility step: width, font, ligatures, composition, blanks and ignorable characters made one; case and accents stay."""
     if text.isascii() and text.isprintable():
         return text.strip(" ")
     out = []
@@ -172,7 +205,7 @@ def plain(text: str) -> str:
         elif ch in BLANKS:
             out.append(" ")
         elif not ignorable(ch):
-            out.append(_width(ch) if ch > "⿿" else ch)
+            out.append(_compatible(ch))
     return unicodedata.normalize("NFC", "".join(out)).strip(" ")
 
 

@@ -104,14 +104,21 @@ def p1_sentence_stats(spark: SparkSession, d: str) -> DataFrame:
 _P7_FIELDS = {"hindi_unigrams": "token", "marathi_trigrams": "w1"}
 
 
-def _forms(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return lookalike.canonical_forms(table(spark, d, name), _P7_FIELDS[name])
+def _script_model(spark: SparkSession, d: str) -> lookalike.ScriptModel:
+    """One model over the distinct strings of both fields, so equal prints get one form wherever they are stored."""
+    strings = [table(spark, d, name).select(F.col(column).alias("s")) for name, column in _P7_FIELDS.items()]
+    return lookalike.train_script_model(strings[0].unionByName(strings[1]).where("s IS NOT NULL").distinct(), "s")
+
+
+def _forms(spark: SparkSession, d: str, name: str, model: lookalike.ScriptModel) -> DataFrame:
+    return lookalike.canonical_forms(table(spark, d, name), _P7_FIELDS[name], model)
 
 
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    model = _script_model(spark, d)
     parts = [
-        lookalike.same_print_pairs(_forms(spark, d, name), column).select(F.lit(f"{name}.{column}").alias("field_name"), "form_lo", "form_hi")
+        lookalike.same_print_pairs(_forms(spark, d, name, model), column).select(F.lit(f"{name}.{column}").alias("field_name"), "form_lo", "form_hi")
         for name, column in _P7_FIELDS.items()
     ]
     return parts[0].unionByName(parts[1])
@@ -122,7 +129,7 @@ def p7_canonical_counts(spark: SparkSession, d: str) -> DataFrame:
     """Token counts brought to one form: spellings and summed counts per canonical form."""
     rows = latest_once(table(spark, d, "hindi_unigrams"), ["uni_id"], ["cnt"])
     return (
-        rows.join(_forms(spark, d, "hindi_unigrams"), "token")
+        rows.join(_forms(spark, d, "hindi_unigrams", _script_model(spark, d)), "token")
         .groupBy("canonical")
         .agg(F.countDistinct("token").alias("spellings"), F.sum("cnt").alias("cnt"))
     )

@@ -46,10 +46,9 @@ def char_table() -> np.ndarray:
         ch = chr(i)
         if ch in lookalike.JOINERS or lookalike.ignorable(ch):
             table[i] = _DELETE
-        elif unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) == "Nd" or unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
-            wide = unicodedata.normalize("NFKC", ch) if unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")) else ch
-            lower = wide.casefold()
-            plain[i] = lower[0] if lower else wide
+        elif unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) == "Nd":
+            lower = ch.casefold()
+            plain[i] = lower[0] if lower else ch
     for member, form in lookalike.alike_classes().items():
         merge(member.casefold()[0], form.casefold()[0])
     for i, ch in plain.items():
@@ -60,6 +59,14 @@ def char_table() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _compatibility() -> np.ndarray:
+    """Which code points have a plain form (see lookalike.compatible_map)."""
+    table = np.zeros(0x110000, dtype=bool)
+    table[list(lookalike.compatible_map())] = True
+    return table
+
+
 @functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -113,6 +120,8 @@ def words(texts: Sequence[str]) -> Words:
         code = code[~absent]
         joined = code.tobytes().decode("utf-32-le", "replace")
     changed = False
+    if _compatibility()[code].any():
+        joined, changed = joined.translate(lookalike.compatible_map()), True
     if not unicodedata.is_normalized("NFC", joined):
         joined, changed = unicodedata.normalize("NFC", joined), True
     for sequence, single in lookalike.alike_sequences():

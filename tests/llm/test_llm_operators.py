@@ -74,7 +74,36 @@ def test_sentences_long_and_table(spark):
     assert sentences.sentences(df.where("false"), "sent_id", "sentence", "ingested_at").count() == 0
 
 
+def test_nested_list_levels(spark):
+    assert cut("1. a) One two. Three.") == ["1. a) One two.", "Three."]
+    assert cut("2. b. Lower marker. Next.") == ["2. b. Lower marker.", "Next."]
+    assert cut("- 1. (i) Deep. Out.") == ["- 1. (i) Deep.", "Out."]
+    text = "1. One\n  a) in\n  b) in\n    - deep\n  c) in\n2. Two\nplain\n  a) again"
+    levels, seen = sentences._ListLevels(), []
+    for line in text.split("\n"):
+        sentences._line_spans(line, 0, len(line), [], levels)
+        seen.append([style for _, style in levels.stack])
+    one, letter, dash = "number.", "letter)", "bullet-"
+    assert seen == [[one], [one, letter], [one, letter], [one, letter, dash], [one, letter], [one], [], [letter]] and levels.depth == 3
+    unkeyed = spark.createDataFrame([(None, "A. b", NOW), (None, "C d. E f.", NOW), (None, "C d. E f.", NOW), (1, "X y.", NOW)], "sent_id long, sentence string, ingested_at timestamp")
+    got = sentences.sentences(unkeyed, "sent_id", "sentence", "ingested_at").collect()
+    assert Counter(r.sent_id for r in got) == {None: 3, 1: 1}
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
+def test_many_giant_baskets(spark):
+    """Equal giant baskets collapse; as many as make a pair count are enumerated like all others."""
+    big = [f"g{i}" for i in range(600)]
+    rows = [(r, w) for r in range(9) for w in big] + [(100 + r, w) for r in range(4000) for w in (f"o{r % 50}", f"o{(r + 1) % 50}")]
+    df = spark.createDataFrame(rows, "rec long, w string")
+    members = cooccur.baskets(df, "rec", ["w"])
+    kinds = cooccur.collapsed(members).collect()
+    assert [(r.n, r.weight) for r in kinds if r.n > 2] == [(600, 9)] and sum(r.weight for r in kinds) == 4009
+    got = cooccur.pair_scores(df, "rec", ["w"], 9, 2.0)
+    pairs = {(r.word_lo, r.word_hi): r.n_both for r in got.collect()}
+    assert {p for p in pairs if p[0][0] == "g"} == {(a, b) for a in big for b in big if a < b} and set(pairs.values()) == {9, 80}
+
+
 @pytest.mark.parametrize("giant", [512, 100, 4])
 def test_pairs_against_brute_force(spark, monkeypatch, giant):
     monkeypatch.setattr(cooccur, "GIANT", giant)
@@ -256,6 +285,18 @@ SAME = [
 DIFFERENT = [("A", "a"), ("१२", "12"), ("m²", "m2"), ("resume", "résumé"), ("र्\u200dया", "र्या"), ("ab", "a b"), ("l", "1")]
 
 
+@pytest.mark.parametrize(
+    "a, b", [("ﬁne", "fine"), ("ﺍﺏ", "اب"), ("𝐀b", "Ab"), ("ｶﾞ", "ガ"), ("Ⅷ", "VIII"), ("օ", "o"), ("ɑ", "a"), ("ᴏ", "o"), ("ꓮ", "A"), ("Ꭺ", "A"), ("⼀", "一"), ("x\u00a0y", "x y")]
+)
+def test_compatibility_forms_print_alike(a, b):
+    assert lookalike.skeleton(a) == lookalike.skeleton(b)
+
+
+@pytest.mark.parametrize("a, b", [("x²", "x2"), ("①", "1"), ("½", "1/2"), ("ſ", "s"), ("ϑ", "θ"), ("१", "1"), ("A", "a"), ("é", "e"), ("ı", "i"), ("№", "No"), ("ㄱㅏ", "가"), ("㎞", "km")])
+def test_forms_that_stay_apart(a, b):
+    assert lookalike.skeleton(a) != lookalike.skeleton(b)
+
+
 def test_same_print():
     for a, b in SAME:
         assert a != b
@@ -467,6 +508,12 @@ def test_word_kernel():
     assert w.text(0, 2) == "ab ab"
 
 
+def test_words_of_compatibility_forms():
+    a, b = wordkernel.words(["ﬁne ｶﾞ ﺍﺏ 𝐀x Ⅷ ｆｕｌｌ １２"]), wordkernel.words(["fine ガ اب ax viii full 12"])
+    assert list(a.hash) == list(b.hash) and len(a.hash) == 7
+    assert list(wordkernel.words(["x² y"]).hash) != list(wordkernel.words(["x2 y"]).hash)
+
+
 def test_quotations_of_uncased_scripts():
     assert cut("‘तो आला? मग?’ असा सवाल केला. दुसरे.") == ["‘तो आला? मग?’ असा सवाल केला.", "दुसरे."]
     assert cut("ते म्हणाले, “आला. गेला.” या गावात.") == ["ते म्हणाले, “आला. गेला.”", "या गावात."]
