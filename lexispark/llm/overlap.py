@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexispark.llm import vectors, wordkernel
 from lexispark.llm.frequency import CELLS, cell_frequencies, touched
 from lexispark.operators.skew import salted_join
-from lexispark.session import checkpointed, stored
+from lexispark.session import stored
 from lexispark.sources.tables import latest_once
 
 TERMS = "kind string, id long, split_name string, source string, at timestamp, set_id binary, terms array<long>"
@@ -66,7 +66,7 @@ def vector_terms(df: DataFrame) -> DataFrame:
     return df.select("vec", "split_name", "source", "loaded_at", "cols").mapInArrow(step, TERMS)
 
 
-POSTING = "term long, cid long, held boolean, size int, place int, bits_a long, bits_b long"
+POSTING = "term long, cid long, held boolean, size int, place int, weight double, rest double, bits_a long, bits_b long"
 #: Sets whose postings a task remembers having sent, so that copies are sent once per task.
 REMEMBERED = 500_000
 
@@ -80,12 +80,47 @@ def _bits(term: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.bitwise_or.reduceat(np.where(m, one, zero), bounds[:-1]).view(np.int64) for m in (~high, high))
 
 
-def _postings(records: DataFrame, frequency: np.ndarray, cosine: float) -> DataFrame:
-    """The indexed entries of every set: rarest first, until the norm of what is left falls below the threshold."""
-    shared = records.sparkSession.sparkContext.broadcast(frequency)
+def _unit_weights(batch: pa.RecordBatch, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Weights of the entries in vectors of length one: those of the column weights, or equal ones."""
+    if batch.num_columns < 4:
+        return 1 / np.sqrt(size[row])
+    weight = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    return weight / np.sqrt(np.bincount(row, weight * weight, minlength=len(size)))[row]
+
+
+def _greatest_weights(records: DataFrame) -> np.ndarray:
+    """Per side (train, held out) and cell of terms the greatest weight of an entry; at most 2 * CELLS rows reach the driver."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, sent = shared.value, set()
+        top = np.zeros(2 * CELLS)
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(2)
+                size = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), size)
+                side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row] * CELLS
+                cell = side + (lists.flatten().to_numpy(zero_copy_only=False) & (CELLS - 1))
+                np.maximum.at(top, cell, np.abs(_unit_weights(batch, size, row)))
+        held = np.flatnonzero(top)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(top[held])], names=["cell", "w"])
+
+    rows = records.mapInArrow(step, "cell int, w double").groupBy("cell").agg(F.max("w").alias("w")).toArrow()
+    out = np.zeros(2 * CELLS)
+    out[rows["cell"].to_numpy()] = rows["w"].to_numpy()
+    return out.reshape(2, CELLS)
+
+
+def _postings(records: DataFrame, frequency: np.ndarray, greatest: np.ndarray, cosine: float) -> DataFrame:
+    """The indexed entries of every vector: rarest first, until what is left can't reach the threshold any more.
+
+    What is left is bounded by its norm, and by its weights times the greatest weight the other side has in each cell. Every
+    entry carries its weight and the norm of the entries after it.
+    """
+    shared = records.sparkSession.sparkContext.broadcast((frequency, greatest))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (cells, top), sent = shared.value, set()
         for batch in batches:
             if len(sent) > REMEMBERED:
                 sent.clear()
@@ -103,18 +138,46 @@ def _postings(records: DataFrame, frequency: np.ndarray, cosine: float) -> DataF
             size = np.diff(bounds)
             low, high = _bits(term, bounds)
             row = np.repeat(np.arange(batch.num_rows), size)
+            weight = _unit_weights(batch, size, row)
             order = np.lexsort((term, cells[term & (CELLS - 1)], row))
+            term, weight = term[order], weight[order]
             place = np.arange(len(term)) - np.repeat(bounds[:-1], size)
-            kept = np.maximum(0, size - np.ceil(cosine * cosine * size - 1e-9).astype(np.int64) + 1)
-            keep = place < np.repeat(kept, size)
+            other = 1 - batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            past = lambda x: np.repeat(np.add.reduceat(x, bounds[:-1]), size) - np.cumsum(x) + np.repeat(np.concatenate(([0.0], np.cumsum(x)))[bounds[:-1]], size)
+            after = np.maximum(0, past(weight * weight))
+            bound = np.abs(weight) * top[other, term & (CELLS - 1)]
+            keep = (after + weight * weight >= cosine * cosine - 1e-9) & (past(bound) + bound >= cosine - 1e-9)
             at = row[keep]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term[order][keep]), batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (size[at].astype(np.int32), place[keep].astype(np.int32), low[at], high[at]))],
-                names=["term", "cid", "held", "size", "place", "bits_a", "bits_b"],
-            )
+            numbers = (size[at].astype(np.int32), place[keep].astype(np.int32), weight[keep], np.sqrt(after[keep]), low[at], high[at])
+            yield pa.RecordBatch.from_arrays([pa.array(term[keep]), batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, numbers)], names=["term", "cid", "held", "size", "place", "weight", "rest", "bits_a", "bits_b"])
 
-    return records.select("cid", "held", "terms").mapInArrow(step, POSTING)
+    return records.mapInArrow(step, POSTING)
+
+
+def _met(records: DataFrame, cosine: float, near) -> DataFrame:
+    """(cid_t, cid_e) of a train and a held-out vector that may reach the cosine: they share an indexed entry, and the bounds there allow it.
+
+    At their rarest common entry, two vectors' product is at most that of the entry and the norms of both rests.
+    ``near`` adds bounds of its own from the columns of both sides.
+    """
+    weights = ["weights"] if "weights" in records.columns else []
+    rows = records.select("cid", "held", "terms", *weights)
+    postings = _postings(rows, cell_frequencies(records.select(F.explode("terms").alias("term"))), _greatest_weights(rows), cosine)
+    fields = ("cid", "size", "weight", "rest", "bits_a", "bits_b")
+    side = lambda flag, s: postings.where(flag).select("term", *(F.col(c).alias(f"{c}_{s}") for c in fields))
+    allowed = F.col("weight_t") * F.col("weight_e") + F.col("rest_t") * F.col("rest_e") >= F.lit(cosine - 1e-9)
+    found = salted_join(side("held", "e"), side("NOT held", "t"), ["term"], "cid_t").where(allowed & near).select("cid_t", "cid_e").distinct()
+    return stored(found)
+
+
+def _with_sets(records: DataFrame, candidates: DataFrame, *columns: str) -> DataFrame:
+    """The candidates with set_id and the columns of both sides; of the records only those asked for travel."""
+    asked = candidates.select("cid_t").unionByName(candidates.select(F.col("cid_e").alias("cid_t")))
+    first = [F.first(c).alias(c) for c in columns]
+    sets = touched(records.select("cid", "set_id", *columns), "cid", asked).groupBy("cid", "set_id").agg(*first)
+    named = lambda s: sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cid", "set_id", *columns)))
+    return candidates.join(named("e"), "cid_e").join(named("t"), "cid_t")
 
 
 def set_pairs(records: DataFrame, share: float) -> DataFrame:
@@ -122,31 +185,19 @@ def set_pairs(records: DataFrame, share: float) -> DataFrame:
 
     shared / all >= share implies a cosine of at least 2·share/(1+share) between the two sets seen as unit
     vectors of equal weights, so the cosine join finds every such pair. Its inverted lists are pruned by
-    the greatest product the matched entry and the norms of both rests still allow, by size, and by
-    pictures of 128 bits that bound the number of entries not shared; the exact product decides.
+    greatest weights and residual norms (see _postings, _met), by size, and by pictures of 128 bits that bound the number of
+    entries not shared; the exact product decides.
     """
-    cosine = 2 * share / (1 + share)
-    postings = _postings(records, cell_frequencies(records.select(F.explode("terms").alias("term"))), cosine)
-    fields = ("cid", "size", "place", "bits_a", "bits_b")
-    side = lambda flag, s: postings.where(flag).select("term", *(F.col(c).alias(f"{c}_{s}") for c in fields))
-    weight = F.sqrt(F.col("size_t").cast("double") * F.col("size_e"))
-    residual = F.sqrt((F.col("size_t") - F.col("place_t") - 1).cast("double") * (F.col("size_e") - F.col("place_e") - 1))
     entries = F.col("size_t") + F.col("size_e")
     apart = F.bit_count(F.col("bits_a_t").bitwiseXOR(F.col("bits_a_e"))) + F.bit_count(F.col("bits_b_t").bitwiseXOR(F.col("bits_b_e")))
     near = (
         (F.col("size_t") >= F.ceil(F.col("size_e") * F.lit(share) - F.lit(1e-9)))
         & (F.col("size_e") >= F.ceil(F.col("size_t") * F.lit(share) - F.lit(1e-9)))
-        & ((F.lit(1.0) + residual) >= weight * F.lit(cosine - 1e-9))
         & (apart <= entries - 2 * F.ceil(entries * F.lit(share / (1 + share)) - F.lit(1e-9)))
     )
-    found = salted_join(side("held", "e"), side("NOT held", "t"), ["term"], "cid_t").where(near).select("cid_t", "cid_e").distinct()
-    candidates = checkpointed(found)
-    asked = candidates.select("cid_t").unionByName(candidates.select(F.col("cid_e").alias("cid_t")))
-    sets = touched(records.select("cid", "set_id", "terms"), "cid", asked).groupBy("cid", "set_id").agg(F.first("terms").alias("terms"))
-    named = lambda s: sets.select(F.col("cid").alias(f"cid_{s}"), F.col("set_id").alias(f"set_id_{s}"), F.col("terms").alias(f"terms_{s}"))
+    candidates = _met(records.select("cid", "held", "set_id", "terms"), 2 * share / (1 + share), near)
     return (
-        candidates.join(named("e"), "cid_e")
-        .join(named("t"), "cid_t")
+        _with_sets(records, candidates, "terms")
         .withColumn("shared", F.size(F.array_intersect("terms_t", "terms_e")))
         .withColumn("similarity", F.col("shared") / (F.size("terms_t") + F.size("terms_e") - F.col("shared")))
         .where(F.col("similarity") >= F.lit(share - 1e-12))
@@ -154,6 +205,66 @@ def set_pairs(records: DataFrame, share: float) -> DataFrame:
     )
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id_t, set_id_e, terms_t, weights_t, terms_e, weights_e) -> their exact cosines."""
+    for batch in batches:
+        n, sides = batch.num_rows, []
+        if not n:
+            continue
+        for c in (2, 4):
+            lists = batch.column(c)
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            weight = batch.column(c + 1).flatten().to_numpy(zero_copy_only=False)
+            norm = np.sqrt(np.bincount(row, weight * weight, minlength=n))
+            sides.append((row, lists.flatten().to_numpy(zero_copy_only=False), weight / norm[row]))
+        row, term = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+        order = np.lexsort((term, row))
+        same = np.flatnonzero((row[order][1:] == row[order][:-1]) & (term[order][1:] == term[order][:-1]))
+        weight = np.concatenate([s[2] for s in sides])[order]
+        cosine = np.bincount(row[order][same], weight[same] * weight[same + 1], minlength=n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(cosine, 9))], names=["set_id_t", "set_id_e", "similarity"])
+
+
+def weighted_pairs(records: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (set_id_t of train, set_id_e held out) of vectors whose weights have a cosine of at least ``cosine``.
+
+    ``records``: cid, held, set_id, terms, weights (one per term, terms once each). The same join as set_pairs, with real weights.
+    """
+    candidates = _met(records, cosine, F.lit(True))
+    columns = ["set_id_t", "set_id_e", "terms_t", "weights_t", "terms_e", "weights_e"]
+    exact = _with_sets(records, candidates, "terms", "weights").select(*columns).mapInArrow(_products, "set_id_t binary, set_id_e binary, similarity double")
+    return exact.where(F.col("similarity") >= cosine)
+
+
+def weighted_overlaps(vectors_: DataFrame, cosine: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership) as split_overlaps, of sparse vectors (see vectors.vectors) by the cosine of their values between splits."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bounds = batch.column(4).offsets.to_numpy()
+                bounds = bounds - bounds[0]
+                cols = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                vals = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+                ids = [hashlib.blake2b(cols[a:b].tobytes() + vals[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
+                offsets = pa.array(bounds.astype(np.int32))
+                terms = wordkernel.mix(cols.astype(np.uint64) + np.uint64(0xA0761D6478BD642F)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(ids, type=pa.binary()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (terms, vals))], names=["id", "split_name", "source", "at", "set_id", "terms", "weights"])
+
+    rows = vectors_.mapInArrow(named, "id long, split_name string, source string, at timestamp, set_id binary, terms array<long>, weights array<double>")
+    kept = stored(rows.where((F.size("terms") > 0) & F.col("split_name").isNotNull()))
+    members = latest_once(kept.select("id", "at", "split_name", "source", "set_id"), ["id"], ["at"]).drop("at")
+    return weighted_pairs(kept.select(F.xxhash64("set_id").alias("cid"), (F.col("split_name") != "train").alias("held"), "set_id", "terms", "weights"), cosine), members.withColumn("kind", F.lit("vector"))
+
+
+def linked_records(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, id, split_name, source, class_id, links, best): a row per held-out record, its class of equal records, and how many train records it meets."""
+    train = members.where("split_name = 'train'").groupBy(F.col("set_id").alias("set_id_t")).agg(F.count(F.lit(1)).alias("copies"))
+    links = pairs.join(train, "set_id_t").groupBy(F.col("set_id_e").alias("set_id")).agg(F.sum("copies").alias("links"), F.max("similarity").alias("best"))
+    held = members.where("split_name <> 'train'").join(links, "set_id", "left")
+    return held.select("kind", "id", "split_name", "source", F.hex("set_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.round("best", 6).alias("best"))
+
+
 def split_overlaps(records: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(set pairs, membership) of records in TERMS form between split 'train' and all other splits.
 
@@ -201,5 +312,3 @@ def overlap_report(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def table_records(application: DataFrame, bonus: DataFrame) -> DataFrame:
     """The records of both tables; a block delivered twice gives equal records, of which one counts."""
     return sentence_terms(application).unionByName(vector_terms(vectors.vectors(bonus)))
-
-

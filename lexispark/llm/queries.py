@@ -183,6 +183,12 @@ def p6_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*_overlaps(spark, d))
 
 
+@query()
+def p6_weighted_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out vectors and how many train vectors have a cosine of 0.9 or more with them, by their values."""
+    return overlap.linked_records(*overlap.weighted_overlaps(vectors.vectors(table(spark, d, "bonus"))))
+
+
 # -- problem 4 -------------------------------------------------------------------------------------
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_vectors(vectors.vectors(table(spark, d, "bonus")))

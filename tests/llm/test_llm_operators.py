@@ -285,6 +285,30 @@ SAME = [
 DIFFERENT = [("A", "a"), ("१२", "12"), ("m²", "m2"), ("resume", "résumé"), ("र्\u200dया", "र्या"), ("ab", "a b"), ("l", "1")]
 
 
+def test_weighted_overlaps_against_brute_force(spark):
+    rng = random.Random(6)
+    made = []
+    for i in range(120):
+        v = {rng.randrange(300): rng.choice([0.25, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(1, 12))}
+        made.append(v)
+        if i % 3 == 0:  # a near copy: other weights, one entry more
+            made.append({**{c: w * rng.choice([1.0, 1.1]) for c, w in v.items()}, rng.randrange(300): 0.25})
+        if i % 10 == 0:
+            made.append(dict(v))
+    rows = [(i, rng.choice(["train", "train", "val", "test", None]), "s", NOW, [int(c) for c in sorted(v)], [v[c] for c in sorted(v)]) for i, v in enumerate(made)] + [(900, "val", None, NOW, [], [])]
+    df = spark.createDataFrame(rows, "vec long, split_name string, source string, loaded_at timestamp, cols array<int>, vals array<double>")
+    pairs, members = overlap.weighted_overlaps(df, 0.9)
+    got = {r.id: r.links for r in overlap.linked_records(pairs, members).collect()}
+
+    def cosine(a, b):
+        return sum(w * b.get(c, 0) for c, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    train = [v for v, r in zip(made, rows) if r[1] == "train"]
+    want = {r[0]: sum(cosine(v, t) >= 0.9 - 1e-9 for t in train) for v, r in zip(made, rows) if r[1] in ("val", "test")}
+    assert got == want and sum(want.values()) > 10
+    assert overlap.linked_records(*overlap.weighted_overlaps(df.where("false"))).count() == 0
+
+
 @pytest.mark.parametrize(
     "a, b", [("ﬁne", "fine"), ("ﺍﺏ", "اب"), ("𝐀b", "Ab"), ("ｶﾞ", "ガ"), ("Ⅷ", "VIII"), ("օ", "o"), ("ɑ", "a"), ("ᴏ", "o"), ("ꓮ", "A"), ("Ꭺ", "A"), ("⼀", "一"), ("x\u00a0y", "x y")]
 )
