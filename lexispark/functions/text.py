@@ -41,6 +41,8 @@ MESSAGE_PATTERN = rf"https?://{NOT_BLANK}+|www\.{NOT_BLANK}+|[a-zA-Z0-9._%+-]+@[
 SUBWORD_PATTERN = r"[\x{900}-\x{97f}]+|[a-zA-Z]+|\p{Nd}+|[^\p{L}\p{N}_\s\p{Z}]"
 SENTENCE_END = r"[.!?।॥]\s*"
 EDGE_BLANKS = " \t\n\r\x0b\x0c"
+#: Fixed value: what counts as white space when files are parted and stripped.
+WHITE = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Lists of the plural analyser.
 IRREGULAR_PLURALS = {
     "children": "child", "feet": "foot", "teeth": "tooth", "men": "man", "women": "woman", "mice": "mouse", "geese": "goose", "people": "person",
@@ -63,10 +65,15 @@ def _all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space (WHITE) at its edges."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def sentence_split(text: Column) -> Column:
     """Parts between sentence ends (also danda), trimmed, empty ones dropped. Abbreviations and decimals split too."""
-    strip = lambda x: F.trim(x, F.lit(EDGE_BLANKS))
-    return _nonempty(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), SENTENCE_END), strip))
+    edges = lambda x: F.trim(x, F.lit(EDGE_BLANKS))
+    return _nonempty(F.transform(F.split(edges(F.coalesce(text, F.lit(""))), SENTENCE_END), edges))
 
 
 def word_tokens(sentence: Column) -> Column:

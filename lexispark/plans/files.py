@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
@@ -24,6 +24,15 @@ FIRST = 1000
 _LINE = "regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+
+
+def _one_field(word: Column) -> Column:
+    """A word as one field of a file: white space inside it would part it."""
+    return F.regexp_replace(word, T.WHITE, "·")
+
+
 def _written_lines(spark: SparkSession, d: str) -> str:
     """The texts as files of one line each, in the order of their ids."""
     path = scratch(spark)
@@ -31,7 +40,7 @@ def _written_lines(spark: SparkSession, d: str) -> str:
     return path
 
 
-@query(f"SELECT doc_id, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {FIRST}) WHERE length(trim(text)) > 0")
+@query(f"SELECT doc_id, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {FIRST}) WHERE length({_strip('text')}) > 0")
 def load_texts(spark: SparkSession, d: str) -> DataFrame:
     """The first rows of a corpus, empty texts then left out, so fewer may remain."""
     return readers.first_texts(documents(spark, d).select("doc_id", "text"), "text", FIRST, "doc_id")
@@ -54,7 +63,7 @@ def io_sentence_documents(spark: SparkSession, d: str) -> DataFrame:
     return readers.sentence_documents(spark, path)
 
 
-@query(f"SELECT trim(t) AS token, count(*) AS cnt FROM (SELECT unnest(flatten(list_transform({_SENTS}, lambda x: regexp_split_to_array(x, '[ ]')))) AS t FROM documents) WHERE trim(t) <> '' GROUP BY 1")
+@query(f"SELECT {_strip('t')} AS token, count(*) AS cnt FROM (SELECT unnest(flatten(list_transform({_SENTS}, lambda x: regexp_split_to_array(x, '[ ]')))) AS t FROM documents) WHERE {_strip('t')} <> '' GROUP BY 1")
 def flat_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of nested arrays, flattened, trimmed, blank ones dropped, counted."""
     nested = documents(spark, d).select(F.transform(T.sentence_split(F.col("text")), lambda s: F.split(s, "[ ]")).alias("v"))
@@ -62,8 +71,8 @@ def flat_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT trim(unnest(string_split({_LINE}, '.'))) AS s FROM documents)
-SELECT s || '.' AS sentence, count(*) AS cnt FROM p WHERE len(list_filter(regexp_split_to_array(s, '[ \\t\\n\\x{{0b}}\\f\\r]+'), lambda x: x <> '')) > 2 GROUP BY 1"""
+    f"""WITH r AS (SELECT unnest(string_split({_LINE}, '.')) AS t FROM documents), p AS (SELECT {_strip('t')} AS s FROM r)
+SELECT s || '.' AS sentence, count(*) AS cnt FROM p WHERE len(list_filter(regexp_split_to_array(s, '{T.WHITE}+'), lambda x: x <> '')) > 2 GROUP BY 1"""
 )
 def io_text_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Text files parted at full stops: sentences of more than two words, the stop put back. Read through the chain of fallbacks."""
@@ -71,18 +80,18 @@ def io_text_sentences(spark: SparkSession, d: str) -> DataFrame:
     return readers.sentences_with_fallback(spark, [f"{path}/none.json"], [path]).groupBy("sentence").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, line FROM (SELECT doc_id, trim({_LINE}) AS line FROM documents) WHERE line <> ''")
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, line FROM (SELECT doc_id, {_strip(_LINE)} AS line FROM documents) WHERE line <> ''")
 def io_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines numbered over all files and splits, blank ones left out."""
     return readers.lines(spark, _written_lines(spark, d))
 
 
-@query(f"SELECT lower(trim({_LINE})) AS word, count(*) AS cnt FROM documents WHERE trim({_LINE}) <> '' GROUP BY 1")
+@query(f"SELECT lower({_strip(_LINE)}) AS word, count(*) AS cnt FROM documents WHERE {_strip(_LINE)} <> '' GROUP BY 1")
 def io_word_list(spark: SparkSession, d: str) -> DataFrame:
     return readers.word_list(spark, _written_lines(spark, d)).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query(f"SELECT word, count(*) AS cnt FROM (SELECT regexp_replace(unnest(regexp_split_to_array({_LINE}, '[ \\t\\n\\x{{0b}}\\f\\r]+')), '[^\\p{{L}}]', '', 'g') AS word FROM documents) WHERE word <> '' GROUP BY 1")
+@query(f"SELECT word, count(*) AS cnt FROM (SELECT regexp_replace(unnest(regexp_split_to_array({_LINE}, '{T.WHITE}+')), '[^\\p{{L}}]', '', 'g') AS word FROM documents) WHERE word <> '' GROUP BY 1")
 def io_corpus_words(spark: SparkSession, d: str) -> DataFrame:
     return readers.corpus_words(spark, _written_lines(spark, d)).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -99,20 +108,20 @@ def io_ngram_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("gram", F.array_join("gram", " "))
 
 
-@query(f"{_HMM}, x AS (SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, toks, tags FROM tg) SELECT sent_id, i AS pos, toks[i + 1] AS word, tags[i + 1] AS tag FROM x, unnest(range(len(toks))) AS u(i)")
+@query(f"{_HMM}, x AS (SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, list_transform(toks, lambda w: regexp_replace(w, '{T.WHITE}', '·', 'g')) AS toks, tags FROM tg) SELECT sent_id, i AS pos, toks[i + 1] AS word, tags[i + 1] AS tag FROM x, unnest(range(len(toks))) AS u(i)")
 def io_tagged_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Tagged passages written as word/TAG lines and read back, sentences numbered over all splits."""
     path = scratch(spark)
-    pairs = F.zip_with("words", "tags", lambda w, t: F.concat(w, F.lit("/"), t))
+    pairs = F.zip_with("words", "tags", lambda w, t: F.concat(_one_field(w), F.lit("/"), t))
     _tagged(spark, d).orderBy("sent_id").select(F.array_join(pairs, " ").alias("value")).write.text(path)
     return readers.tagged_corpus(spark, path, "/")
 
 
-@query(f"{_HMM}, x AS (SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, toks, tags FROM tg) SELECT sent_id, i AS pos, toks[i + 1] AS word, tags[i + 1] AS tag FROM x, unnest(range(len(toks))) AS u(i)")
+@query(f"{_HMM}, x AS (SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, list_transform(toks, lambda w: regexp_replace(w, '{T.WHITE}', '·', 'g')) AS toks, tags FROM tg) SELECT sent_id, i AS pos, toks[i + 1] AS word, tags[i + 1] AS tag FROM x, unnest(range(len(toks))) AS u(i)")
 def io_tagged_columns(spark: SparkSession, d: str) -> DataFrame:
     """The same as columns, a line per word and a blank one after every sentence."""
     path = scratch(spark)
-    rows = F.concat(F.zip_with("words", "tags", lambda w, t: F.concat(w, F.lit(" x "), t)), F.array(F.lit("")))
+    rows = F.concat(F.zip_with("words", "tags", lambda w, t: F.concat(_one_field(w), F.lit(" x "), t)), F.array(F.lit("")))
     _tagged(spark, d).orderBy("sent_id").select(F.explode(rows).alias("value")).write.text(path)
     return readers.tagged_corpus(spark, path, "")
 

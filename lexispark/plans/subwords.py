@@ -49,8 +49,8 @@ def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     f"""{_W}, l AS (SELECT word, list_filter(regexp_split_to_array(word, ''), lambda x: x <> '') AS s FROM w),
  tp AS (SELECT substr(word, i, 1) AS a, substr(word, i + 1, 1) AS b FROM w, unnest(range(1, length(word))) AS u(i) GROUP BY 1, 2 ORDER BY sum(freq) DESC, 1, 2 LIMIT 1),
  hit AS (SELECT word, a, b, len(s) AS n, list_filter(range(1, len(s)), lambda i: s[i] = a AND s[i + 1] = b) AS p FROM l CROSS JOIN tp)
-SELECT word, CASE WHEN a = b THEN (SELECT sum(len(x) // 2) FROM (SELECT unnest(regexp_extract_all(hit.word, '(?:' || regexp_escape(a) || ')+')) AS x))::INTEGER ELSE len(p) END AS joined,
- n - CASE WHEN a = b THEN (SELECT sum(len(x) // 2) FROM (SELECT unnest(regexp_extract_all(hit.word, '(?:' || regexp_escape(a) || ')+')) AS x))::INTEGER ELSE len(p) END AS symbols FROM hit WHERE len(p) > 0"""
+SELECT word, (CASE WHEN a = b THEN (SELECT sum(len(x) // 2) FROM (SELECT unnest(regexp_extract_all(hit.word, '(?:' || regexp_escape(a) || ')+')) AS x))::INTEGER ELSE len(p) END)::INTEGER AS joined,
+ (n - CASE WHEN a = b THEN (SELECT sum(len(x) // 2) FROM (SELECT unnest(regexp_extract_all(hit.word, '(?:' || regexp_escape(a) || ')+')) AS x))::INTEGER ELSE len(p) END)::INTEGER AS symbols FROM hit WHERE len(p) > 0"""
 )
 def bpe_merge_step(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent pair merged in every word type that holds it: merges made, and symbols left."""

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import WHITE, strip
 from lexispark.operators.ranges import range_bounds, range_part, ranked
 
 #: Text used when no corpus file can be read (see sentences_with_fallback).
@@ -22,7 +23,7 @@ BUILT_IN = (
 def first_texts(df: DataFrame, text: str, n: int, order: str | None = None) -> DataFrame:
     """The first ``n`` rows scanned, then without empty texts, so fewer may remain."""
     rows = df.orderBy(order) if order else df
-    return rows.limit(n).where(F.length(F.trim(F.col(text))) > 0)
+    return rows.limit(n).where(F.length(strip(F.col(text))) > 0)
 
 
 def nested_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -45,13 +46,13 @@ def flat_tokens(df: DataFrame, column: str, depth: int) -> DataFrame:
     value = F.col(column)
     for _ in range(depth - 1):
         value = F.flatten(value)
-    return df.select(F.explode(value).alias("token")).select(F.trim("token").alias("token")).where(F.col("token") != "")
+    return df.select(F.explode(value).alias("token")).select(strip(F.col("token")).alias("token")).where(F.col("token") != "")
 
 
 def text_sentences(spark: SparkSession, path: str, least_words: int = 0, end: str = "") -> DataFrame:
     """Sentences of text files parted at full stops, trimmed, with more than ``least_words`` words, ``end`` put back."""
-    parts = spark.read.text(path).select(F.explode(F.split("value", "\\.")).alias("s")).select(F.trim("s").alias("s"))
-    words = F.size(F.filter(F.split("s", "\\s+"), lambda x: x != ""))
+    parts = spark.read.text(path).select(F.explode(F.split("value", "\\.")).alias("s")).select(strip(F.col("s")).alias("s"))
+    words = F.size(F.filter(F.split("s", WHITE + "+"), lambda x: x != ""))
     return parts.where((F.col("s") != "") & (words > least_words)).select(F.concat("s", F.lit(end)).alias("sentence"))
 
 
@@ -89,18 +90,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     Splits of a file are ranked on their own and offset by one row per split, so no task holds a file.
     """
-    rows = numbered_lines(spark, path).select("part", "at", F.trim("value").alias("line")).where("line <> ''")
+    rows = numbered_lines(spark, path).select("part", "at", strip(F.col("value")).alias("line")).where("line <> ''")
     return ranked(rows, "part", [F.col("at")], "place").select((F.col("place") - 1).alias("idx"), "line")
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """(word): one word a line, trimmed, lower case, repetitions kept."""
-    return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where(F.col("word") != "")
+    return spark.read.text(path).select(F.lower(strip(F.col("value"))).alias("word")).where(F.col("word") != "")
 
 
 def corpus_words(spark: SparkSession, path: str) -> DataFrame:
     """(word): words between blanks with everything but letters taken out, empty ones dropped."""
-    words = spark.read.text(path).select(F.explode(F.split("value", "\\s+")).alias("w"))
+    words = spark.read.text(path).select(F.explode(F.split("value", WHITE + "+")).alias("w"))
     return words.select(F.regexp_replace("w", "[^\\p{L}]", "").alias("word")).where(F.col("word") != "")
 
 
@@ -125,14 +126,14 @@ def tagged_corpus(spark: SparkSession, path: str, mark: str | None = None) -> Da
         mark = "/" if "/" in sample and many else "_" if "_" in sample and many else ""
     rows = numbered_lines(spark, path)
     if mark:
-        items = F.filter(F.split("value", "\\s+"), lambda x: x.contains(mark))
+        items = F.filter(F.split("value", WHITE + "+"), lambda x: x.contains(mark))
         kept = rows.select("part", "at", items.alias("items")).where(F.size("items") > 0)
         sents = ranked(kept, "part", [F.col("at")], "place").select((F.col("place") - 1).alias("sent_id"), F.posexplode("items").alias("pos", "x"))
         of = lambda i: F.regexp_extract("x", f"^(.*){mark}([^{mark}]*)$", i)
         return sents.select("sent_id", "pos", of(1).alias("word"), of(2).alias("tag"))
     # the block of a line is the number of blank lines before it: within its split, plus those of earlier splits
-    blank = (F.trim("value") == "").cast("int")
-    marked = rows.select("part", "at", F.split(F.trim("value"), "\\s+").alias("f"), blank.alias("blank"))
+    blank = (strip(F.col("value")) == "").cast("int")
+    marked = rows.select("part", "at", F.split(strip(F.col("value")), WHITE + "+").alias("f"), blank.alias("blank"))
     inside = F.sum("blank").over(Window.partitionBy("part").orderBy("at"))
     before = F.coalesce(F.sum("blanks").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = marked.groupBy("part").agg(F.sum("blank").alias("blanks")).select("part", before.alias("earlier"))
@@ -176,7 +177,7 @@ def corpus_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(sentence) of several nested JSON files (one per language), those that exist; built-in sentences where none does. Blank ones are dropped."""
     found = [nested_sentences(spark, p).select("sentence") for p in paths if _exists(spark, p)]
     rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([(s,) for s in BUILT_IN], "sentence string")
-    return rows.where(F.trim("sentence") != "")
+    return rows.where(strip(F.col("sentence")) != "")
 
 
 def smoothing_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
