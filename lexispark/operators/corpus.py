@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def explode_tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, pos, token), pos from 0; rows without tokens give nothing."""
-    return df.select(F.col(key), F.posexplode(tokens).alias("pos", "token"))
-
-
 def frequency(tokens: DataFrame, column: str = "token") -> DataFrame:
     """(token, cnt): one shuffle, counted map-side first. Null tokens are counted as one key."""
     return tokens.groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -441,13 +443,15 @@ def next_word_probs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(generate.next_word_probs([context], words, model, alphas, vocab, 4).select("word", "p"), "p")
 
 
-def _texts(spark: SparkSession, d: str, how: str) -> list[tuple[str, list[str]]]:
-    make = {"greedy": lambda m: generate.greedy(*m, 4, max_length=15), "beam_search": lambda m: generate.beam(*m, 4, max_length=15, width=20)}[how]
-    return [(kind, make(_model(spark, d, kind))) for kind in ("katz", "kn")]
+def _texts(spark: SparkSession, d: str, *hows: str) -> list[tuple[str, str, list[str]]]:
+    """(model, method, text) of both models; each model is made once."""
+    make = {"greedy": lambda m: generate.greedy(*m, 4, max_length=15), "beam_search": lambda m: generate.beam(*m, 4, max_length=15, width=20)}
+    models = {kind: _model(spark, d, kind) for kind in ("katz", "kn")}
+    return [(kind, how, make[how](model)) for kind, model in models.items() for how in hows]
 
 
-def _positions(spark: SparkSession, texts: list[tuple[str, list[str]]]) -> DataFrame:
-    return spark.createDataFrame([(kind, i, w) for kind, text in texts for i, w in enumerate(text)], "model string, pos int, word string")
+def _positions(spark: SparkSession, texts: list[tuple[str, str, list[str]]]) -> DataFrame:
+    return spark.createDataFrame([(kind, i, w) for kind, _, text in texts for i, w in enumerate(text)], "model string, pos int, word string")
 
 
 @query()
@@ -462,9 +466,10 @@ def beam_generate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def generated_copies(spark: SparkSession, d: str) -> DataFrame:
-    """(model, method, number, sentence): 100 copies of the text each model generates greedily. The seed is not used, so all are equal."""
-    parts = [generate.copies(spark, text).select(F.lit(kind).alias("model"), F.lit("greedy").alias("method"), "number", "sentence") for kind, text in _texts(spark, d, "greedy")]
-    return parts[0].unionByName(parts[1])
+    """(model, method, number, sentence): 100 copies of the texts each model generates, greedily and by beam. The seed is not used, so all are equal."""
+    texts = _texts(spark, d, "greedy", "beam_search")
+    parts = [generate.copies(spark, text).select(F.lit(kind).alias("model"), F.lit(how).alias("method"), "number", "sentence") for kind, how, text in texts]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
