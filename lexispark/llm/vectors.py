@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lexispark.sources.tables import latest_once_wide
@@ -13,56 +15,59 @@ from lexispark.sources.tables import latest_once_wide
 SCHEMA = "vec long, split_name string, source string, loaded_at timestamp, cols array<int>, vals array<double>"
 
 
-def _unpack(data: np.ndarray, columns: np.ndarray, bounds: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, value) of one block, sorted, equal columns added, zeros and NaN left out."""
-    bounds = np.clip(bounds - (bounds[0] if len(bounds) else 0), 0, min(len(data), len(columns)))
-    bounds = np.maximum.accumulate(bounds[: rows + 1]) if len(bounds) else np.zeros(1, dtype=np.int64)
-    sizes = np.diff(bounds)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    low = bounds[0] if len(bounds) else 0
-    value, column = data[low : low + len(row)].astype(np.float64), columns[low : low + len(row)].astype(np.int64)
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... anew for each of the sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows per block, row, column, value) of whole blocks at once: entries sorted by row and column, equal columns added, zeros and NaN left out.
+
+    Bounds that fall or point outside the block are held within it, and rows without bounds are empty.
+    """
+    data, columns, bounds = (batch.column(c) for c in (0, 1, 2))
+    at = [x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py() for x in (data, columns, bounds)]
+    length = [np.diff(x) for x in at]
+    rows = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+    limit = np.minimum(length[0], length[1])
+    # bounds from 0 in every block; shifted by the blocks before, one running maximum serves all blocks
+    flat = bounds.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.repeat(np.arange(len(rows)), length[2])
+    place = _steps(length[2])
+    first = flat[np.minimum(at[2][:-1], max(0, len(flat) - 1))] if len(flat) else np.zeros(len(rows), dtype=np.int64)
+    shift = np.cumsum(limit) - limit
+    inside = place <= rows[block]
+    block, place = block[inside], place[inside]
+    low = np.maximum.accumulate(np.clip(flat[inside] - first[block], 0, limit[block]) + shift[block]) if len(block) else flat[:0]
+    begins = np.flatnonzero(block[1:] == block[:-1])
+    size = low[begins + 1] - low[begins]
+    own = block[begins]
+    row = np.repeat((np.cumsum(rows) - rows)[own] + place[begins], size)
+    entry = np.repeat(low[begins] - shift[own], size) + _steps(size)
+    whole = np.repeat(own, size)
+    value = data.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)[at[0][whole] + entry].astype(np.float64)
+    column = columns.flatten().fill_null(0).to_numpy(zero_copy_only=False)[at[1][whole] + entry].astype(np.int64)
     keep = np.isfinite(value) & (value != 0)
-    row, column, value = row[keep], column[keep], value[keep]
-    key, inverse = np.unique((row << 32) | column, return_inverse=True)
-    total = np.zeros(len(key))
-    np.add.at(total, inverse, value)
-    keep = total != 0
-    key, total = key[keep], total[keep]
-    return key >> 32, key & 0xFFFFFFFF, total
+    key, inverse = np.unique((row[keep] << 32) | column[keep], return_inverse=True)
+    total = np.bincount(inverse, value[keep], minlength=len(key)) if len(key) else np.zeros(0)
+    key, total = key[total != 0], total[total != 0]
+    return rows, key >> 32, key & 0xFFFFFFFF, total
 
 
 def _rows_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vec, split, source, at, sizes, cols, vals = [], [], [], [], [], [], []
-        moments = batch.column(7)
-        for i in range(batch.num_rows):
-            first, rows = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-            lists = [batch.column(c)[i].values for c in (0, 1, 2)]
-            if first is None or not rows or any(x is None for x in lists):
-                continue
-            data, columns, bounds = (np.asarray(x.fill_null(float("nan") if k == 0 else 0).to_numpy(zero_copy_only=False)) for k, x in enumerate(lists))
-            r, c, v = _unpack(data, columns, bounds.astype(np.int64), rows)
-            vec.append(np.arange(first, first + rows, dtype=np.int64))
-            split += [batch.column(5)[i].as_py()] * rows
-            source += [batch.column(6)[i].as_py()] * rows
-            at.append(np.full(rows, i))
-            sizes.append(np.bincount(r, minlength=rows)[:rows])
-            cols.append(c)
-            vals.append(v)
-        if not vec:
+        whole = [c.is_valid() for c in batch.columns[:5]]
+        usable = functools.reduce(pc.and_, [*whole, pc.fill_null(pc.greater(batch.column(4), 0), False)])
+        batch = batch.filter(usable)
+        if not batch.num_rows:
             continue
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(vec)),
-                pa.array(split, type=pa.string()),
-                pa.array(source, type=pa.string()),
-                moments.take(pa.array(np.concatenate(at))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cols).astype(np.int32))),
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(vals))),
-            ],
-            names=["vec", "split_name", "source", "loaded_at", "cols", "vals"],
-        )
+        rows, row, column, value = _entries(batch)
+        block = pa.array(np.repeat(np.arange(len(rows)), rows))
+        vec = np.repeat(batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64), rows) + _steps(rows)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(vec))))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (column.astype(np.int32), value)]
+        yield pa.RecordBatch.from_arrays([pa.array(vec), *(batch.column(c).take(block) for c in (5, 6, 7)), *lists], names=["vec", "split_name", "source", "loaded_at", "cols", "vals"])
 
 
 def vectors(blocks: DataFrame) -> DataFrame:
