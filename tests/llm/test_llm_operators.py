@@ -4,12 +4,13 @@ import math
 import random
 import unicodedata
 from collections import Counter
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
 from lexispark.llm import cooccur, distinctive, leakage, lookalike, neighbours, overlap, packing, repetition, sentences, topn, vectors, wordkernel
+from lexispark.llm.queries import QUERIES
 
 NOW = datetime(2024, 1, 1)
 
@@ -210,6 +211,29 @@ def test_neighbours_of_copies_and_large_buckets(spark, monkeypatch):
     assert neighbours.nearest_vectors(vectors.vectors(empty)).count() == 0
 
 
+def test_neighbours_of_vectors_sent_again_otherwise(spark, tmp_path):
+    """Of several deliveries the last counts, also where it is another vector, empty, or a block of fewer rows."""
+    rows, made = random_blocks(seed=6, blocks=16)
+    later = NOW + timedelta(days=1)
+    again = [rows[b] for b in (1, 4, 9, 12)]
+    others = [rows[b] for b in (2, 7, 0, 3)]
+    changed = [(a[0], a[1], a[2], a[3], 5, o[5], o[6], o[7], later, 1) for a, o in zip(again, others)]
+    for a, o in zip(again, others):
+        for i in range(5):
+            made[a[3] + i] = made[o[3] + i]
+    changed.append((6, "train", "s0", 30, 5, [], [], [0] * 6, later, 1))
+    made[30:35] = [{}] * 5
+    got = neighbours.nearest_vectors(vectors.vectors(spark.createDataFrame(changed + rows, BLOCK)))
+    want = brute_neighbours(made)
+    assert {(r.vec, r.near) for r in got.collect()} == want
+    shorter = (*rows[10][:4], 2, *rows[10][5:8], later, 1)
+    made[52:55] = [{}] * 3
+    spark.createDataFrame([*changed, shorter, *rows], BLOCK).write.parquet(str(tmp_path / "bonus.parquet"))
+    found = {(r.vec_lo, r.vec_hi) for r in QUERIES["p4_found"](spark, str(tmp_path)).collect()}
+    left = brute_neighbours(made)
+    assert left != want and found == {(min(p), max(p)) for p in left}
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 def test_distinctive_terms(spark):
     rows = [(1, "a b\u00a0a\u3000c"), (2, "a"), (3, None), (4, "  "), (5, "b\u200bb d d"), (6, "a d")]
