@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-START, END = "<s>", "</s>"
+from lexispark.operators.continuations import END, START, Continuations
 
 
 def _factors(contexts: list[tuple[str, ...]], alphas: DataFrame, max_n: int) -> list[tuple[list[str], int, list[str], float]]:
@@ -51,8 +51,14 @@ def next_word_probs(contexts: list[tuple[str, ...]], words: DataFrame, model: Da
     return scored.join(F.broadcast(totals), "context").select("context", "word", p.alias("p"))
 
 
-def _best(contexts: list[tuple[str, ...]], k: int, words, model, alphas, vocab, max_n) -> dict[tuple[str, ...], list[tuple[str, float]]]:
-    """The k best next words per context: k rows per context reach the driver."""
+def _best(contexts: list[tuple[str, ...]], k: int, words, model, alphas, vocab, max_n, zeros: bool = False) -> dict[tuple[str, ...], list[tuple[str, float]]]:
+    """The k best next words per context: k rows per context reach the driver. Without ``zeros`` words of p = 0 may be missing.
+
+    ``model`` may be Continuations, which answers from counts and makes a model only for contexts it can't decide.
+    """
+    if isinstance(model, Continuations):
+        whole = lambda cs: _best(cs, k, *model.whole, max_n)
+        return whole(contexts) if zeros else model.best(contexts, k, whole)
     ranked = Window.partitionBy("context").orderBy(F.col("p").desc(), F.col("word").asc())
     rows = next_word_probs(contexts, words, model, alphas, vocab, max_n).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)
     out: dict[tuple[str, ...], list[tuple[str, float]]] = {c: [] for c in contexts}
@@ -70,6 +76,8 @@ def greedy(words: DataFrame, model: DataFrame, alphas: DataFrame, vocab: int, ma
         if best and best[0][0] == END:
             if len(text) >= min_length:
                 break
+            if len(best) < 2:
+                best = _best([tuple(text[-keep:])], 2, words, model, alphas, vocab, max_n, zeros=True)[tuple(text[-keep:])]
             best = best[1:]
         if not best:
             break

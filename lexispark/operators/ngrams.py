@@ -31,17 +31,14 @@ def within(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
     return windows.select(F.explode(F.array(*[F.when(F.size("w") >= n, F.slice("w", 1, n)) for n in orders])).alias("gram")).where("gram IS NOT NULL")
 
 
-def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], part_rows: int = PART_ROWS, keys: DataFrame | None = None) -> DataFrame:
-    """(gram) rows that begin in one row and end in a later one, rows taken in the order of their integer key.
+def _borders(df: DataFrame, key: str, tokens: str, reach: int, part_rows: int = PART_ROWS, keys: DataFrame | None = None) -> DataFrame:
+    """(tail, halo): the last ``reach`` tokens of every row and the ``reach`` that follow them, rows taken in the order of their integer key.
 
     Only the key, the first and the last few tokens of every row move. Rows are cut into ranges of about ``part_rows``
     by the quantiles of the key, however its values are spread, and each range is walked in its own window; what follows a
     range comes from a table of one row per range. Rows without tokens are passed over. Keys must be unique and not null.
     ``keys`` (a table with the column ``key``) may name where the quantiles are cheaper to read.
     """
-    reach = max(orders) - 1
-    if reach < 1:
-        return within(df, tokens, [1]).where("false")
     ends = (
         df.where(F.col(key).isNotNull() & (F.size(tokens) > 0))
         .select(F.col(key).alias("k"), F.slice(tokens, 1, reach).alias("head"), F.reverse(F.slice(F.reverse(tokens), 1, reach)).alias("tail"))
@@ -54,7 +51,15 @@ def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], part_rows:
     starts = walked.where(F.col("place") == 1).select("part", F.slice(F.concat("head", "after"), 1, reach).alias("start"))
     following = starts.select("part", nexts("start", Window.orderBy("part")).alias("beyond"))
     halo = F.slice(F.concat("after", "beyond"), 1, reach)
-    joined = walked.join(F.broadcast(following), "part").select("tail", halo.alias("halo"))
+    return walked.join(F.broadcast(following), "part").select("tail", halo.alias("halo"))
+
+
+def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], part_rows: int = PART_ROWS, keys: DataFrame | None = None) -> DataFrame:
+    """(gram) rows that begin in one row and end in a later one, rows taken in the order of their integer key (see _borders)."""
+    reach = max(orders) - 1
+    if reach < 1:
+        return within(df, tokens, [1]).where("false")
+    joined = _borders(df, key, tokens, reach, part_rows, keys)
     own = []
     for n in orders:
         if n > 1:
@@ -62,6 +67,19 @@ def crossing(df: DataFrame, key: str, tokens: str, orders: list[int], part_rows:
     return joined.select(F.explode(F.flatten(F.array(*own))).alias("gram"))
 
 
+def corpus_windows(df: DataFrame, key: str, tokens: str, n: int, part_rows: int = PART_ROWS, keys: DataFrame | None = None) -> DataFrame:
+    """(w): the n words from every word on, all rows in the order of their integer key as one text; fewer at its end.
+
+    Windows inside a row are cut where it is read, those that begin in its last n - 1 words come from _borders. A row with a null key has no
+    place among the others and is a text of its own.
+    """
+    cut = lambda words, last: F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(words, i, F.lit(n)))).alias("w")
+    loose = F.col(key).isNull()
+    last = F.when(loose, F.size(tokens)).otherwise(F.size(tokens) - (n - 1))
+    inside = df.where((F.size(tokens) > 0) & (last > 0)).select(cut(F.col(tokens), last))
+    return inside.unionByName(_borders(df, key, tokens, n - 1, part_rows, keys).select(cut(F.concat("tail", "halo"), F.size("tail"))))
+
+
 def ngram_counts(df: DataFrame, key: str, tokens: str, orders: list[int], boundary: str = "row", keys: DataFrame | None = None) -> DataFrame:
     """(n, gram, cnt) of all orders in one aggregation, counted map-side first.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import blank_tokens
-from lexispark.operators import backoff, generate, ngrams, smoothing
+from lexispark.operators import backoff, continuations, generate, ngrams, smoothing
 from lexispark.plans.registry import query
 from lexispark.session import stored
 from lexispark.sources.tables import latest_once_wide, spread, table
@@ -422,13 +423,25 @@ def katz_textbook_weights(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backoff.katz_model(kept_counts(spark, d), textbook=True)[1].withColumn("history", F.array_join("history", " ")), "alpha")
 
 
-def _model(spark: SparkSession, d: str, kind: str):
+def _full_model(spark: SparkSession, d: str, kind: str):
     c = kept_counts(spark, d)
     model, alphas = backoff.katz_model(c) if kind == "katz" else backoff.kn_model(c)
     words = c.where("n = 1").select(F.element_at("gram", 1).alias("word"))
     return words, stored(model), stored(alphas), words.count()
 
 
+def kept_continuations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(table, words) of the train split taken as one text (see operators/continuations.py)."""
+    keys = table(spark, d, "application").select("sent_id")
+    made = continuations.continuation_table(passages(spark, d).where("split_name = 'train'"), "sent_id", "toks", keys)
+    return made, continuations.word_table(made)
+
+
+def _model(spark: SparkSession, made: Callable[[], tuple[DataFrame, DataFrame]], kind: str):
+    """What generate takes for a model, answered from the counts that ``made`` gives."""
+    return None, continuations.Continuations(*made(), kind), None, 0
+
+
 @query(
     f"""{_G}, {_KN}, top AS (SELECT gram[1] AS c FROM g WHERE n = 1 ORDER BY cnt DESC, gram[1] LIMIT 1), w AS (SELECT gram[1] AS word FROM g WHERE n = 1 AND gram[1] <> '<s>' UNION SELECT '</s>'),
  s AS (SELECT word, coalesce(m2.p, coalesce(a.alpha, 1) * coalesce(m1.p, 1.0 / (1000 * (SELECT count(*) FROM g WHERE n = 1)))) AS p FROM w CROSS JOIN top
@@ -437,16 +450,17 @@ SELECT word, round(p / (SELECT sum(p) FROM s), 9) AS p FROM s"""
 )
 def next_word_probs(spark: SparkSession, d: str) -> DataFrame:
     """The distribution of the word after the most frequent word, by the Kneser-Ney model."""
-    words, model, alphas, vocab = _model(spark, d, "kn")
+    words, model, alphas, vocab = _full_model(spark, d, "kn")
     top = counts(spark, d).where("n = 1").orderBy(F.col("cnt").desc(), F.element_at("gram", 1)).select("gram").first()
     context = tuple(top.gram) if top else ()
     return rounded(generate.next_word_probs([context], words, model, alphas, vocab, 4).select("word", "p"), "p")
 
 
 def _texts(spark: SparkSession, d: str, *hows: str) -> list[tuple[str, str, list[str]]]:
-    """(model, method, text) of both models; each model is made once."""
+    """(model, method, text) of both models; the text is counted once for both."""
     make = {"greedy": lambda m: generate.greedy(*m, 4, max_length=15), "beam_search": lambda m: generate.beam(*m, 4, max_length=15, width=20)}
-    models = {kind: _model(spark, d, kind) for kind in ("katz", "kn")}
+    made = cache(lambda: kept_continuations(spark, d))
+    models = {kind: _model(spark, made, kind) for kind in ("katz", "kn")}
     return [(kind, how, make[how](model)) for kind, model in models.items() for how in hows]
 
 

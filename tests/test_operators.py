@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import backoff, classify, corpus, generate, morphology, ngrams, ranges, skew, smoothing, subword, tagging, vectors
+from lexispark.operators import backoff, classify, continuations, corpus, generate, morphology, ngrams, ranges, skew, smoothing, subword, tagging, vectors
 from lexispark.sources.tables import latest_once, latest_once_wide
 
 DOCS = [(1, ["a", "b"]), (2, []), (3, ["a"]), (4, ["a", "b", "c", "a"]), (7, ["c"]), (250_000, ["a", "b", "c"])]
@@ -579,3 +579,38 @@ def test_alignment_uses_the_whole_query_side(spark):
     held = spark.createDataFrame([(50, "x", 1.0), (51, "y", 3.0)], "id long, term string, value double")
     got = vectors.cosine_neighbours(held.where("id % 50 = 0"), base, align=True, vocabulary=held.select("term")).orderBy("place").collect()
     assert [(r.query, r.neighbour, r.score) for r in got] == [(50, 2, 1.0), (50, 1, 0.707107)]
+
+
+@pytest.mark.parametrize("top_words", [1, 1000])
+@pytest.mark.parametrize("kind", ["katz", "kn"])
+def test_generation_from_counts_gives_the_models_words(spark, docs, monkeypatch, kind, top_words):
+    monkeypatch.setattr(continuations, "TOP_WORDS", top_words)
+    docs = docs.unionByName(spark.createDataFrame([(None, ["c", "b"]), (None, ["c", "b", "c", "b", "a"])], docs.schema))
+    table = continuations.continuation_table(docs, "id", "toks")
+    words = continuations.word_table(table)
+    counts = ngrams.ngram_counts(docs, "id", "toks", [1, 2, 3, 4], "corpus")
+    listed = lambda df: sorted((r.n, tuple(r.gram), r.cnt) for r in df.collect())
+    assert listed(continuations.ngram_table(table, words)) == listed(counts)
+    made = (words.select("word"), *(backoff.katz_model(counts) if kind == "katz" else backoff.kn_model(counts)), words.count())
+    asked = [(), ("a",), ("b", "a"), ("z", "a", "b"), ("z",)]
+    source, undecided = continuations.Continuations(table, words, kind), []
+    got = source.best(asked, 3, lambda cs: undecided.extend(cs) or generate._best(cs, 3, *made, 4))
+    want = generate._best(asked, 3, *made, 4)
+    assert bool(undecided) == (top_words == 1)
+    for c in asked:
+        positive = [(w, p) for w, p in want[c] if p > 0]
+        assert [w for w, p in got[c] if p > 0] == [w for w, _ in positive]
+        assert all(math.isclose(p, q, rel_tol=1e-9) for (_, p), (_, q) in zip(got[c], positive))
+
+
+def test_generation_queries_make_no_model(spark, docs, monkeypatch):
+    from lexispark.plans import language_models
+
+    def refuse(*_, **__):
+        raise AssertionError("a model of all n-grams was made")
+
+    monkeypatch.setattr(backoff, "katz_model", refuse)
+    monkeypatch.setattr(backoff, "kn_model", refuse)
+    monkeypatch.setattr(language_models, "passages", lambda spark, d: docs.select(F.col("id").alias("sent_id"), F.lit("train").alias("split_name"), "toks"))
+    monkeypatch.setattr(language_models, "table", lambda spark, d, name: docs.select(F.col("id").alias("sent_id")))
+    assert {(r.model, r.method) for r in language_models.generated_copies(spark, "").collect()} == {(m, h) for m in ("katz", "kn") for h in ("greedy", "beam_search")}
