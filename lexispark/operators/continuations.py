@@ -18,6 +18,8 @@ START, END = "<s>", "</s>"
 ORDERS = (2, 3, 4)
 #: Most frequent words known to the driver. A context that needs a further one is scored over the whole vocabulary.
 TOP_WORDS = 1000
+#: Rows of a page of the stored table: what a step skips or reads.
+PAGE_ROWS = 1000
 
 
 def continuation_table(df: DataFrame, key: str, tokens: str, keys: DataFrame | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def continuation_table(df: DataFrame, key: str, tokens: str, keys: DataFrame | N
         inside = Window.partitionBy(*[f"w{i}" for i in range(1, n + 1)]).orderBy(*[f"w{i}" for i in range(n + 1, 5)])
         whole = F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         out.append(F.when((F.row_number().over(inside) == 1) & F.col(f"w{n}").isNotNull(), whole).alias(f"c{n}"))
-    return stored(rows.select("w1", "w2", "w3", "w4", "c", *out))
+    return stored(rows.select("w1", "w2", "w3", "w4", "c", *out), **{"parquet.page.row.count.limit": str(PAGE_ROWS)})
 
 
 def word_table(table: DataFrame) -> DataFrame:

@@ -614,3 +614,10 @@ def test_generation_queries_make_no_model(spark, docs, monkeypatch):
     monkeypatch.setattr(language_models, "passages", lambda spark, d: docs.select(F.col("id").alias("sent_id"), F.lit("train").alias("split_name"), "toks"))
     monkeypatch.setattr(language_models, "table", lambda spark, d, name: docs.select(F.col("id").alias("sent_id")))
     assert {(r.model, r.method) for r in language_models.generated_copies(spark, "").collect()} == {(m, h) for m in ("katz", "kn") for h in ("greedy", "beam_search")}
+
+
+def test_continuations_are_stored_in_small_pages(docs, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(continuations, "stored", lambda df, **options: asked.update(options) or df)
+    continuations.continuation_table(docs, "id", "toks")
+    assert asked == {"parquet.page.row.count.limit": "1000"}
